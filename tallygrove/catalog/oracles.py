@@ -82,7 +82,7 @@ STORED = f"""stored AS (
 # The ignore files of the query, one rule a row: directory, its depth, line, re-include,
 # directories only, and the regular expression of the path below that directory.
 IGNORE = rf"""WITH {PATHS},
-rules(base, level, at, line, neg, dironly, rx) AS (VALUES
+rules(base, kind, depth, line, neg, dironly, rx) AS (VALUES
   ('', 1, 0, 2, false, false, '(.*/)?[^/]*7\.txt'),
   ('', 1, 0, 3, true, false, '(.*/)?[^/]*77\.txt'),
   ('', 1, 0, 4, false, true, '(.*/)?fr'),
@@ -104,7 +104,7 @@ prefixes AS (
   FROM files, unnest([1, 2, 3]) AS u(k)
 ),
 verdicts AS (
-  SELECT path, node, max_by(neg, level * 10000 + at * 100 + line) AS kept
+  SELECT path, node, max_by(neg, kind * 10000 + depth * 100 + line) AS kept
   FROM prefixes JOIN rules ON (base = '' OR starts_with(node, base || '/'))
     AND (is_dir OR NOT dironly)
     AND regexp_full_match(CASE WHEN base = '' THEN node ELSE node[len(base) + 2:] END, rx)
@@ -138,7 +138,7 @@ lines AS (
   SELECT 0 AS line_no, '' AS line
   UNION ALL SELECT 1, 'Token Statistics:'
   UNION ALL SELECT 2, repeat('─', width + 20) FROM sums
-  UNION ALL SELECT 2 + n, rpad(path, width, ' ') || ' │ '
+  UNION ALL SELECT 2 + n, path || repeat(' ', width - strlen(path)) || ' │ '
     || lpad(tokens::VARCHAR, greatest(8, len(tokens::VARCHAR))::INTEGER, ' ') || ' tokens' FROM rows, sums
   UNION ALL SELECT 3 + (SELECT count(*) FROM rows), repeat('─', width + 20) FROM sums
   UNION ALL SELECT 4 + (SELECT count(*) FROM rows), 'Total tokens: ' || total FROM sums
@@ -165,9 +165,9 @@ steps AS (
   SELECT h, list_transform(range(0, len(h) // 2), lambda i: h[2 * i + 1 : 2 * i + 2]) AS parts
   FROM (SELECT DISTINCT h FROM found) WHERE h NOT IN (SELECT token FROM vocab)
   UNION ALL
-  SELECT h, list_concat(list_concat(parts[1:at - 1], [parts[at] || parts[at + 1]]), parts[at + 2:])
+  SELECT h, list_concat(list_concat(parts[1:spot - 1], [parts[spot] || parts[spot + 1]]), parts[spot + 2:])
   FROM (
-    SELECT h, any_value(parts) AS parts, arg_min(i, rank * 1000000 + i) AS at
+    SELECT h, any_value(parts) AS parts, arg_min(i, rank * 1000000 + i) AS spot
     FROM steps, unnest(range(1, len(parts))) AS u(i) JOIN vocab ON token = parts[i] || parts[i + 1]
     GROUP BY h
   )

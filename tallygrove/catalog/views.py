@@ -81,12 +81,12 @@ def stand_in_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.unhex(F.lpad(F.hex("id"), 2, "0")).alias("token"), F.col("id").cast("int").alias("rank")
     )
     words = table(spark, sf_dir, "benchmark").select(
-        F.explode(pieces(F.col("text"))).cast("binary").alias("bytes")
+        F.explode(pieces(F.col("text"))).alias("piece")
     )
     sizes = F.explode(F.array(F.lit(2), F.lit(3))).alias("size")
     runs = (
         words.distinct()
-        .select("bytes", sizes)
+        .select(F.col("piece").cast("binary").alias("bytes"), sizes)
         .where(F.octet_length("bytes") >= F.col("size"))
         .select(
             "bytes", "size", F.explode(F.expr("sequence(1, octet_length(bytes) - size + 1)")).alias("at")
