@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallygrove.functions.pieces import pieces
 from tallygrove.operators.ignore_rules import parse_ignore_files
+from tallygrove.session import materialise
 from tallygrove.sources.corpus import corpus_files
 
 
@@ -96,7 +97,7 @@ def stand_in_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     value = F.conv(F.hex("token"), 16, 10).cast("int")
     shift = F.when(F.octet_length("token") == 2, F.lit(256)).otherwise(F.lit(65792))
-    return one.unionByName(runs.select("token", (shift + value).alias("rank")))
+    return materialise(one.unionByName(runs.select("token", (shift + value).alias("rank"))))
 
 
 # Ignore files of the `ignore_rules` query, by path.

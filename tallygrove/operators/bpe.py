@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tallygrove.functions.pieces import SPECIAL_TOKENS, pieces
 from tallygrove.operators.skew import join_salted
+from tallygrove.session import materialise
 
 # A vocabulary within both bounds is broadcast; a larger one is joined.
 BROADCAST_ENTRIES = 1_000_000
@@ -125,31 +126,42 @@ def _join_vocab(files: DataFrame, vocab: DataFrame) -> DataFrame:
     """
     vocab = vocab.select("token", "rank")
     longest = vocab.agg(F.max(F.octet_length("token")).alias("longest"))
-    text = F.col("content")
-    files = files.withColumn("_text", F.sha2(text, 256))
-    texts = files.select("_text", "content").dropDuplicates(["_text"])
-
-    found = texts.select("_text", F.explode(pieces(text)).alias("piece"))
-    found = found.groupBy("_text", "piece").agg(F.count("*").alias("n"))
-    distinct = found.select("piece").distinct().withColumn("bytes", F.col("piece").cast("binary"))
-
-    starts = F.explode(F.sequence(F.lit(1), F.octet_length("piece")))
-    room = F.least(F.octet_length("piece") - F.col("start") + 1, longest.scalar())
-    inner = (
-        distinct.select("piece", "bytes", starts.alias("start"))
-        .select("piece", "bytes", "start", F.explode(F.sequence(F.lit(1), room)).alias("size"))
+    files = files.withColumn("_text", F.sha2("content", 256))
+
+    # Partial counts first, then one row per text and piece: copies of a text collapse.
+    copies = F.count("*").alias("copies")
+    found = files.select("_text", F.explode(pieces(F.col("content"))).alias("piece"))
+    found = found.groupBy("_text", "piece").agg(copies)
+    files_of = files.groupBy("_text").agg(F.count("*").alias("files"))
+    found = materialise(
+        join_salted(found, files_of, on="_text", spread_by="piece", how="inner").select(
+            "_text", "piece", (F.col("copies") / F.col("files")).cast("bigint").alias("n")
+        )
+    )
+
+    distinct = found.select("piece").distinct().withColumn("token", F.col("piece").cast("binary"))
+    distinct = materialise(distinct.join(vocab, "token", "left"))
+    is_token = F.col("rank").isNotNull() | F.col("piece").isin(*SPECIAL_TOKENS)
+    rest = distinct.where(~is_token).select("piece", F.col("token").alias("bytes"))
+
+    # Runs of two bytes or more; longer than any entry, they cannot be one.
+    starts = F.explode(F.sequence(F.lit(1), F.octet_length("bytes") - 1)).alias("start")
+    room = F.least(F.octet_length("bytes") - F.col("start") + 1, longest.scalar())
+    sizes = F.explode(F.when(room >= 2, F.sequence(F.lit(2), room))).alias("size")
+    runs = (
+        rest.where(F.octet_length("bytes") > 1)
+        .select("piece", "bytes", starts)
+        .select("piece", "bytes", "start", sizes)
         .select("piece", F.expr("substring(bytes, start, size)").alias("token"))
-        .distinct()
     )
-    entries = join_salted(inner, vocab, on="token", spread_by="piece", how="inner")
-    own = entries.groupBy("piece").agg(F.collect_list(F.struct("token", "rank")).alias("own"))
-    whole = F.col("piece").isin(*SPECIAL_TOKENS) | F.exists(
-        "own", lambda entry: entry["token"] == F.col("bytes")
+    entries = join_salted(runs, vocab, on="token", spread_by="piece", how="inner")
+    own = entries.groupBy("piece").agg(F.collect_set(F.struct("token", "rank")).alias("own"))
+    merged = rest.join(own, "piece", "left").select(
+        "piece",
+        _merge_with_own_tokens("bytes", F.col("own.token"), F.col("own.rank")).alias("each"),
     )
-    counted = (
-        distinct.join(own, "piece", "left")
-        .withColumn("merged", _merge_with_own_tokens("bytes", F.col("own.token"), F.col("own.rank")))
-        .select("piece", F.when(whole, F.lit(1)).otherwise(F.col("merged")).alias("each"))
+    counted = merged.unionByName(
+        distinct.where(is_token).select("piece", F.lit(1).cast("bigint").alias("each"))
     )
     totals = (
         join_salted(found, counted, on="piece", spread_by="_text", how="inner")
@@ -159,6 +171,6 @@ def _join_vocab(files: DataFrame, vocab: DataFrame) -> DataFrame:
     keyed = files.withColumn("_row", F.monotonically_increasing_id())
     return (
         join_salted(keyed, totals, on="_text", spread_by="_row", how="left")
-        .withColumn("tokens", F.coalesce("_tokens", F.lit(0)))
+        .withColumn("tokens", F.coalesce("_tokens", F.lit(0).cast("bigint")))
         .drop("_text", "_tokens", "_row")
     )

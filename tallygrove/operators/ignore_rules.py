@@ -81,84 +81,58 @@ def compile_rules(lines: DataFrame) -> DataFrame:
 
 
 def _ignored(key: Column, rules: Column, is_dir: bool) -> Column:
-    """Does the strongest of the rules that match say ignore? `rules` come strongest first."""
+    """Does the strongest rule that matches say ignore? `rules` come strongest first.
+
+    Rules of the directory itself, and of those below, do not judge it.
+    """
 
     def applies(rule):
-        below = F.substring(key, rule["skip"], F.lit(1 << 30))
-        hit = F.call_function("rlike", below, rule["rx"])
+        below = F.substring(key, rule["at"] + 2, F.lit(1 << 30))
+        hit = (rule["at"] < F.length(key)) & F.call_function("rlike", below, rule["rx"])
         return hit if is_dir else hit & ~rule["dironly"]
 
     return F.coalesce(~F.get(F.filter(rules, applies), F.lit(0))["neg"], F.lit(False))
 
 
+def _with_ancestors(key: str) -> Column:
+    """Keys of all directories above, the root first, and the key itself."""
+    return F.when(F.col(key) == "", F.array(key)).otherwise(
+        F.concat(ancestor_keys(F.col(key)), F.array(key))
+    )
+
+
 def drop_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows of (path, …) that no ignore rule hides.
 
     A file goes if its own strongest rule ignores it, or if any directory above it is
     ignored, whatever rules say about what lies beneath. `base` and `path` are relative to
-    the same root.
+    the same root. Give a listing, as the rows are joined on their directory.
     """
     keyed = files.withColumn("_key", node_key(F.col("path")))
     keyed = keyed.withColumn("_dir", parent_key(F.col("_key")))
 
-    # Every directory of the listing, with the rules of itself and of those above it.
-    leaf_dirs = keyed.select("_dir").distinct()
-    up = F.when(F.col("_dir") == "", F.array("_dir")).otherwise(
-        F.concat(ancestor_keys(F.col("_dir")), F.array("_dir"))
-    )
-    dirs = leaf_dirs.select(F.explode(up).alias("dir")).distinct()
-    pairs = dirs.select(
-        "dir",
-        F.explode(
-            F.when(F.col("dir") == "", F.array("dir")).otherwise(
-                F.concat(ancestor_keys(F.col("dir")), F.array("dir"))
-            )
-        ).alias("base"),
-    )
-    base_key = F.when(F.col("base") == "", F.lit("")).otherwise(node_key(F.col("base")))
+    base = F.when(F.col("base") == "", F.lit("")).otherwise(node_key(F.col("base")))
+    # Sorted descending by these fields, the strongest rule comes first.
+    rule = F.struct("level", F.length(base).alias("at"), "line", "neg", "dironly", "rx")
     packed = (
-        rules.select(
-            base_key.alias("base"),
-            F.struct(
-                # Sorting descending puts the strongest rule first.
-                "level",
-                F.length(base_key).alias("at"),
-                "line",
-                "neg",
-                "dironly",
-                (F.length(base_key) + 2).alias("skip"),
-                "rx",
-            ).alias("rule"),
-        )
+        rules.select(base.alias("base"), rule.alias("rule"))
         .groupBy("base")
         .agg(F.collect_list("rule").alias("rules"))
     )
+    # Directories that hold files, each with the rules of itself and of those above it.
+    above = keyed.select("_dir").distinct().select("_dir", F.explode(_with_ancestors("_dir")).alias("base"))
     stacks = (
-        join_salted(pairs, packed, on="base", spread_by="dir", how="inner")
-        .groupBy("dir")
+        join_salted(above, packed, on="base", spread_by="_dir", how="inner")
+        .groupBy("_dir")
         .agg(F.sort_array(F.flatten(F.collect_list("rules")), asc=False).alias("rules"))
     )
-
-    # A directory is judged by the rules above it, then hides all directories below it.
-    children = dirs.where("dir <> ''").select("dir", parent_key(F.col("dir")).alias("up"))
-    judged = join_salted(
-        children, stacks.withColumnRenamed("dir", "up"), on="up", spread_by="dir", how="inner"
-    )
-    ignored = judged.where(_ignored(F.col("dir"), F.col("rules"), is_dir=True)).select(
-        F.col("dir").alias("base")
-    )
-    hidden = (
-        join_salted(pairs, ignored.withColumn("hides", F.lit(True)), "base", "dir", "inner")
-        .select("dir")
-        .distinct()
-        .withColumn("hidden", F.lit(True))
-    )
-    verdicts = stacks.join(hidden, "dir", "full").withColumnRenamed("dir", "_dir")
-
-    own = _ignored(F.col("_key"), F.col("rules"), is_dir=False)
-    return (
-        join_salted(keyed, verdicts, on="_dir", spread_by="_key", how="left")
-        .where(F.col("hidden").isNull() & ~own)
-        .select(*files.columns)
+    # Such a directory is hidden if it or one above it is ignored.
+    judged = F.exists(
+        _with_ancestors("_dir"),
+        lambda key: (key != "") & _ignored(key, F.col("rules"), is_dir=True),
     )
+    stacks = stacks.withColumn("hidden", judged)
 
+    gone = F.coalesce("hidden", F.lit(False)) | _ignored(F.col("_key"), F.col("rules"), is_dir=False)
+    joined = join_salted(keyed, stacks, on="_dir", spread_by="_key", how="left")
+    return joined.where(~gone).select(*files.columns)

@@ -20,13 +20,14 @@ def normalise(files: DataFrame) -> DataFrame:
     return files.withColumn("content", F.when(drop, F.lit("")).otherwise(text))
 
 
-def measure(files: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
+def measure(files: DataFrame, vocab: DataFrame | None = None, table: bool = True) -> DataFrame:
     """Adds `tokens` (and `error`, if missing) to (path, content, …).
 
     With a vocabulary (token, rank) the byte-pair token count; without one the number of
-    pieces, a lower bound of it. Narrow either way: content is not shuffled.
+    pieces, a lower bound of it. Narrow either way: contents are not shuffled, but for a
+    `table` too small to fill the cluster.
     """
-    files = normalise(spread(files))
+    files = normalise(spread(files) if table else files)
     if vocab is not None:
         return with_bpe_tokens(files, vocab)
     # A generator keeps later filters on `tokens` from repeating the regex below it.

@@ -1,13 +1,26 @@
-"""Joins whose left side may hold a very frequent key."""
+"""Joins for a very frequent key on the left, and for wide rows that should stay where they are."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallygrove.session import fits_one_wave, materialise
+
 HOT_SHARE = 512  # a hot key holds more than 1/512 of the rows, so there are fewer than 512
 HOT_ROWS = 1_000_000  # and at least this many rows, so small inputs are never salted
 SALTS = 64
 
 
+# Bounds of a checked broadcast.
+SMALL_ROWS = 200_000
+SMALL_BYTES = 32 << 20
+
+
+def is_small(keys: DataFrame) -> bool:
+    """Within both bounds. One pass over one string column, which is all it moves."""
+    size = keys.agg(F.count("*"), F.sum(F.octet_length(keys.columns[0]).cast("bigint"))).first()
+    return size[0] <= SMALL_ROWS and (size[1] or 0) <= SMALL_BYTES
+
+
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys above both limits. At most HOT_SHARE rows, whatever the size of `df`."""
     counts = df.groupBy(key).agg(F.count("*").alias("_n"))
@@ -41,3 +54,19 @@ def join_salted(
         "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
     )
     return salted.drop("_hot").join(copied.drop("_hot"), [on, "_salt"], how).drop("_salt")
+
+
+def keep_rows(rows: DataFrame, keys: DataFrame, on: list) -> DataFrame:
+    """Rows whose unique key `on` is among `keys`, which all are keys of `rows`.
+
+    For rows with contents: if they are many, the keys and their complement are written as
+    slim tables and the smaller of the two is joined, by broadcast wherever it is small. So
+    contents move only if both sets are large.
+    """
+    if fits_one_wave(rows):
+        return rows.join(keys, on, "left_semi")
+    keys = materialise(keys.select(*on))
+    others = materialise(rows.select(*on).join(keys, on, "left_anti"))
+    if others.count() < keys.count():
+        return rows.join(others, on, "left_anti")
+    return rows.join(keys, on, "left_semi")

@@ -1,14 +1,14 @@
 """The result store: an append log of measured files keyed by (path, version).
 
-Requests and log meet in joins. Exchanges carry keys and versions only, until it is known
-which rows are hits; content follows for those alone.
+Requests and log meet in joins of their keys and versions only. Contents come last, for the
+rows then known to be needed; (path, seq) is unique in a log, `pos` in requests.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrove.functions.text import whole_mb
-from tallygrove.operators.skew import join_salted
+from tallygrove.operators.skew import is_small, join_salted, keep_rows
 
 def latest_versions(log: DataFrame) -> DataFrame:
     """(path, mtime, seq) of the last write of every path, whatever its mtime."""
@@ -19,7 +19,7 @@ def latest_versions(log: DataFrame) -> DataFrame:
 
 def latest_rows(log: DataFrame) -> DataFrame:
     """The store as a table: the last write of every path."""
-    return log.join(latest_versions(log).select("path", "seq"), ["path", "seq"], "left_semi")
+    return keep_rows(log, latest_versions(log).select("path", "seq"), ["path", "seq"])
 
 
 def wanted_versions(requests: DataFrame) -> DataFrame:
@@ -32,12 +32,20 @@ def wanted_versions(requests: DataFrame) -> DataFrame:
     )
 
 
-def _met(requests: DataFrame, log: DataFrame, exact: bool) -> DataFrame:
+def few(requests: DataFrame) -> bool:
+    """Few enough for their paths to be broadcast."""
+    return is_small(requests.select("path"))
+
+
+def _met(requests: DataFrame, log: DataFrame, exact: bool, cut: bool | None) -> DataFrame:
     """Wanted versions with the `seq` of the write that answers them, null for a miss.
 
     A stored version answers if it is as new as the wanted one. `exact` asks for the very
-    version instead, so that a restored older file is a miss.
+    version instead, so that a restored older file is a miss. For few requests the log is
+    first cut down to their paths, without an exchange.
     """
+    if few(requests) if cut is None else cut:
+        log = log.join(F.broadcast(requests.select("path")), "path", "left_semi")
     stored = latest_versions(log)
     mtime, wanted = F.col("mtime"), F.col("wanted")
     meets = mtime == wanted if exact else mtime >= wanted
@@ -48,16 +56,23 @@ def _met(requests: DataFrame, log: DataFrame, exact: bool) -> DataFrame:
     )
 
 
-def lookup_hits(requests: DataFrame, log: DataFrame, exact: bool = False) -> DataFrame:
-    """Stored rows, once for every requested path that hits. Requests: (pos, path, mtime, …)."""
-    keys = _met(requests, log, exact).where("seq is not null").select("path", "seq")
-    return log.join(keys, ["path", "seq"], "left_semi")
+def lookup_hits(
+    requests: DataFrame, log: DataFrame, exact: bool = False, cut: bool | None = None
+) -> DataFrame:
+    """Stored rows, once for every requested path that hits. Requests: (pos, path, mtime, …).
+
+    `cut` is the value of `few(requests)`, if known.
+    """
+    keys = _met(requests, log, exact, cut).where("seq is not null").select("path", "seq")
+    return keep_rows(log, keys, ["path", "seq"])
 
 
-def lookup_misses(requests: DataFrame, log: DataFrame, exact: bool = False) -> DataFrame:
+def lookup_misses(
+    requests: DataFrame, log: DataFrame, exact: bool = False, cut: bool | None = None
+) -> DataFrame:
     """Requests without a hit, each path once, at its newest version."""
-    keys = _met(requests, log, exact).where("seq is null").select("pos")
-    return requests.join(keys, "pos", "left_semi")
+    keys = _met(requests, log, exact, cut).where("seq is null").select("pos")
+    return keep_rows(requests, keys, ["pos"])
 
 
 def answer(requests: DataFrame, results: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def measured_files(
     if options.limit_low:
         listing = prune_by_length(listing, options.min_tokens)
     if store is None:
-        measured = measure(read_text(listing), vocab)
+        measured = measure(read_text(listing), vocab, table=False)
     else:
         requests = listing.withColumn("pos", F.col("path"))
         measured = incremental_run(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrove.operators.measure import measure, normalise
-from tallygrove.operators.store import answer, lookup_hits, lookup_misses
+from tallygrove.operators.store import answer, few, lookup_hits, lookup_misses
 from tallygrove.sinks.store import ResultStore
 
 
@@ -14,7 +14,7 @@ def incremental_run(
     requests: DataFrame,
     store: ResultStore,
     vocab: DataFrame | None = None,
-    read: Callable[[DataFrame], DataFrame] = lambda missing: missing,
+    read: Callable[[DataFrame], DataFrame] | None = None,
     exact: bool = False,
     unique: bool = False,
     seq: int | None = None,
@@ -29,18 +29,24 @@ def incremental_run(
     """
     seq = store.next_seq() if seq is None else seq
     log = store.log().where(F.col("seq") < seq)
+    cut = few(requests)
     if unique and log.isEmpty():
         missing = requests
     else:
-        missing = lookup_misses(requests, log, exact)
-    store.append(measure(read(missing), vocab), seq=seq)
+        missing = lookup_misses(requests, log, exact, cut)
+    texts = read(missing) if read else missing
+    store.append(measure(texts, vocab, table=read is None), seq=seq)
 
     log = store.log()
     fields = ["path", "content", "tokens", "error"]
-    known = lookup_hits(requests, log, exact).select(*fields)
-    # What still misses after the write could not be read.
-    failed = normalise(read(lookup_misses(requests, log, exact)))
-    results = known.unionByName(failed.withColumn("tokens", F.lit(0).cast("bigint")).select(*fields))
+    results = lookup_hits(requests, log, exact, cut).select(*fields)
+    if read or "error" in requests.columns:
+        # What still misses after the write could not be read.
+        missing = lookup_misses(requests, log, exact, cut)
+        failed = normalise(read(missing) if read else missing)
+        results = results.unionByName(
+            failed.withColumn("tokens", F.lit(0).cast("bigint")).select(*fields)
+        )
     if unique:
         return requests.select("pos", "path").join(results, "path")
     return answer(requests, results)

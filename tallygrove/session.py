@@ -41,27 +41,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return os.path.join(shared, f"tallygrove-{uuid.uuid4().hex}")
 
 
+def fits_one_wave(df: DataFrame) -> bool:
+    """By Spark's own estimate, less than one full-size scan partition per core."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return size < spark.sparkContext.defaultParallelism * split
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Even out an input too small to fill the cluster, e.g. one file with one row group.
 
-    An input of at least one full-size scan partition per core is returned as it is, so
-    a large corpus is never shuffled for this.
+    A larger one is returned as it is, so a large corpus is never shuffled for this.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    size = int(stats.sizeInBytes())
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    if size >= cores * split:
-        return df
-    return df.repartition(cores)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if fits_one_wave(df) else df
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """The same rows as a table in the scratch folder.
 
     For rows that several branches read: they are computed once, each branch then reads the
-    columns it needs, and a lost executor costs no recomputation of what lies before.
+    columns it needs, and a lost executor costs no recomputation of what lies before. Spark
+    knows the size of a table, and so broadcasts it in a join only where it is small.
     """
     location = scratch_dir(df.sparkSession)
     df.write.parquet(location)

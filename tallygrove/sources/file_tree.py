@@ -22,6 +22,8 @@ from tallygrove.sources.decode import READ_ERROR
 
 ENTRIES_PER_BATCH = 10_000
 BYTES_PER_BATCH = 32 << 20
+BYTES_PER_TASK = 256 << 20
+MAX_WAVES = 16
 
 _ENTRY = "path string, length bigint, mtime bigint, is_dir boolean"
 
@@ -130,9 +132,13 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_contents(listing: DataFrame, tasks: int | None = None) -> DataFrame:
     """Adds `content` (binary) and `error` to (path, length, …); empty files are not opened.
 
-    The listing is spread anew first, so that one large directory is read by all tasks.
+    The listing is spread anew first, so that one large directory is read by all tasks:
+    as many as its bytes ask for, but between one and MAX_WAVES for each core.
     """
-    tasks = tasks or listing.sparkSession.sparkContext.defaultParallelism
+    if tasks is None:
+        cores = listing.sparkSession.sparkContext.defaultParallelism
+        total = listing.agg(F.sum("length")).first()[0] or 0
+        tasks = min(max(cores, total // BYTES_PER_TASK), MAX_WAVES * cores)
     schema = T.StructType(listing.schema.fields).add("content", "binary").add("error", "string")
     return listing.repartition(tasks).mapInArrow(_read_files, schema)
 

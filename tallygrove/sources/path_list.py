@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrove.functions.text import is_blank
-from tallygrove.operators.skew import join_salted
+from tallygrove.operators.skew import is_small, join_salted
 from tallygrove.sources.decode import READ_ERROR
 
 
@@ -26,11 +26,13 @@ def read_path_list(spark: SparkSession, location: str) -> DataFrame:
 def lookup_paths(requests: DataFrame, corpus: DataFrame) -> DataFrame:
     """One row per request with the corpus columns; an unknown path gets an `error`.
 
-    `corpus` holds each path once. A path requested very often is salted.
+    `corpus` holds each path once. It is cut down to the listed paths first, without moving
+    it if the list is small. A path requested very often is salted.
     """
-    found = join_salted(
-        requests, corpus.withColumn("_found", F.lit(True)), on="path", spread_by="pos", how="left"
-    )
+    paths = requests.select("path")
+    paths = F.broadcast(paths) if is_small(paths) else paths.distinct()
+    listed = corpus.join(paths, "path", "left_semi").withColumn("_found", F.lit(True))
+    found = join_salted(requests, listed, on="path", spread_by="pos", how="left")
     earlier = F.col("error") if "error" in corpus.columns else F.lit(None).cast("string")
     return found.withColumn(
         "error", F.when(F.col("_found").isNull(), F.lit(READ_ERROR)).otherwise(earlier)

@@ -16,7 +16,7 @@ def start_incremental(
     store: ResultStore,
     checkpoint: str,
     vocab: DataFrame | None = None,
-    read: Callable[[DataFrame], DataFrame] = lambda missing: missing,
+    read: Callable[[DataFrame], DataFrame] | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Every micro-batch of (path, mtime, …) measures what the store does not have as new.
@@ -33,7 +33,9 @@ def start_incremental(
         seq = first + batch_id
         requests = batch.withColumn("pos", F.monotonically_increasing_id())
         log = store.log().where(F.col("seq") < seq)
-        store.append(measure(read(lookup_misses(requests, log)), vocab), seq=seq)
+        missing = lookup_misses(requests, log)
+        texts = read(missing) if read else missing
+        store.append(measure(texts, vocab, table=read is None), seq=seq)
 
     return (
         stream.writeStream.foreachBatch(process)
