@@ -83,7 +83,7 @@ def special_token_count(spark, sf_dir):
 @query
 def blank_rows(spark, sf_dir):
     documents = views.table(spark, sf_dir, "documents")
-    blank = F.lit(" \t  \u0085\n")
+    blank = F.lit(" \t\u00a0\u2003\u0085\n")
     content = F.when(F.col("doc_id") % 5 == 0, blank).otherwise(F.col("text"))
     files = documents.select(views.document_path().alias("path"), content.alias("content"))
     return measure(files).select("path", F.length("content").alias("n_chars"), "tokens")
