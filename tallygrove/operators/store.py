@@ -85,15 +85,9 @@ def answer(requests: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def store_info(log: DataFrame) -> DataFrame:
-    """(records, allocated): paths in the store and bytes of its files."""
+def store_info(log: DataFrame, files: DataFrame) -> DataFrame:
+    """(records, allocated, mb): paths in the log, and the `length` of all files that hold it."""
     records = log.agg(F.countDistinct("path").alias("records"))
-    files = log.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")
-    ).distinct()
-    allocated = files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("allocated"))
-    return records.select("records", allocated.scalar().cast("bigint").alias("allocated"))
-
-
-def with_megabytes(info: DataFrame) -> DataFrame:
+    allocated = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("allocated"))
+    info = records.select("records", allocated.scalar().cast("bigint").alias("allocated"))
     return info.withColumn("mb", whole_mb(F.col("allocated")))

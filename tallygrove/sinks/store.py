@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tallygrove.operators import store as ops
 from tallygrove.schemas import STORED
+from tallygrove.sources.file_tree import scan_visible_files
 
 _WRITTEN = T.StructType([field for field in STORED.fields if field.name != "seq"])
 
@@ -66,7 +67,7 @@ class ResultStore:
         return compacted
 
     def info(self) -> DataFrame:
-        return ops.with_megabytes(ops.store_info(self.log()))
+        return ops.store_info(self.log(), scan_visible_files(self.spark, self.location))
 
     def _directory(self, seq: int) -> str:
         return os.path.join(self.location, f"seq={seq}")

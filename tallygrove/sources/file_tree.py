@@ -146,8 +146,8 @@ def read_contents(listing: DataFrame, tasks: int | None = None) -> DataFrame:
 def scan_visible_files(spark: SparkSession, root: str, min_length: int = 0) -> DataFrame:
     """(path, length, mtime, content binary) by Spark's own binary reader.
 
-    It leaves out every name that starts with `.` or `_`. `min_length` is pushed into the
-    scan; columns not used are not read.
+    It leaves out empty files and every name that starts with `.` or `_`, and follows links.
+    `min_length` is pushed into the scan; columns not used are not read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.where(F.col("length") >= min_length).select(

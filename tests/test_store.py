@@ -1,0 +1,159 @@
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+import tallygrove.operators.skew as skew
+import tallygrove.operators.store as ops
+from tallygrove.operators.measure import measure
+from tallygrove.plans.incremental import incremental_run
+from tallygrove.sinks.store import ResultStore
+from tallygrove.streaming.incremental import start_incremental
+
+REQUEST = "pos bigint, path string, content string, mtime bigint"
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    return ResultStore.create(spark, str(tmp_path / "store"))
+
+
+def requests(spark, *rows):
+    return spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], REQUEST)
+
+
+def answers(frame):
+    return [(r["path"], r["content"], r["tokens"]) for r in frame.orderBy("pos").collect()]
+
+
+def writes(store):
+    return {r["seq"]: r["count"] for r in store.log().groupBy("seq").count().collect()}
+
+
+@pytest.fixture(params=["moved", "in place", "many paths"])
+def layout(request, monkeypatch):
+    """Both ways to fetch contents, and both ways to look paths up."""
+    if request.param == "in place":
+        monkeypatch.setattr(skew, "fits_one_wave", lambda rows: False)
+    if request.param == "many paths":
+        monkeypatch.setattr(ops, "is_small", lambda keys: False)
+
+
+def test_version_decides(spark, store, layout):
+    incremental_run(requests(spark, ("a", "one", 10), ("b", "two", 10), ("c", "three", 10)), store)
+    changed = [("a", "one", 10), ("b", "new words", 9), ("c", "new words", 11), ("d", "x y", 0)]
+    found = answers(incremental_run(requests(spark, *changed), store))
+    assert found == [("a", "one", 1), ("b", "two", 1), ("c", "new words", 2), ("d", "x y", 2)]
+    assert writes(store) == {1: 3, 2: 2}
+
+
+def test_exact_version(spark, store, layout):
+    incremental_run(requests(spark, ("a", "one", 10)), store)
+    older = requests(spark, ("a", "restored text", 9))
+    assert answers(incremental_run(older, store)) == [("a", "one", 1)]
+    assert answers(incremental_run(older, store, exact=True)) == [("a", "restored text", 2)]
+
+
+def test_repeated_requests(spark, store, layout):
+    rows = [("a", "one", 1), ("b", "two", 1), ("a", "one", 1), ("a", "newer one", 2)]
+    found = answers(incremental_run(requests(spark, *rows), store))
+    assert found == [("a", "newer one", 2), ("b", "two", 1)] + [("a", "newer one", 2)] * 2
+    assert writes(store) == {1: 2}
+
+
+def test_second_run_measures_nothing(spark, store, layout):
+    wanted = requests(spark, ("a", "one", 1), ("b", " \n", 1), ("c", "x", 5))
+    first = answers(incremental_run(wanted, store, unique=True))
+    assert first == [("a", "one", 1), ("b", "", 0), ("c", "x", 1)]
+    assert answers(incremental_run(wanted, store, unique=True)) == first
+    assert writes(store) == {1: 3}
+
+
+def test_error_rows_are_answered_but_not_kept(spark, store):
+    read = lambda missing: missing.withColumn(
+        "error", F.when(F.col("path") == "bad", F.lit("Failed to read file"))
+    )
+    wanted = requests(spark, ("a", "one", 1), ("bad", None, 7))
+    rows = incremental_run(wanted, store, read=read).orderBy("pos").collect()
+    assert [(r["path"], r["tokens"], r["error"]) for r in rows] == [
+        ("a", 1, None),
+        ("bad", 0, "Failed to read file"),
+    ]
+    assert store.log().count() == 1
+    # Readable later, even with an older version.
+    later = requests(spark, ("bad", "now here", 3))
+    assert answers(incremental_run(later, store)) == [("bad", "now here", 2)]
+
+
+def test_same_write_again_changes_nothing(spark, store):
+    rows = measure(requests(spark, ("a", "one", 1), ("b", "two", 1)))
+    assert store.append(rows, seq=4) == store.append(rows, seq=4) == 4
+    assert sorted(r["path"] for r in store.latest().collect()) == ["a", "b"]
+    assert store.written(4).count() == 2
+    assert store.next_seq() == 5
+
+
+def test_a_failed_write_fails(spark, store):
+    broken = measure(requests(spark, ("a", "one", 1))).withColumn(
+        "tokens", F.raise_error(F.lit("no")).cast("bigint")
+    )
+    with pytest.raises(Exception, match="no"):
+        store.append(broken)
+    assert store.log().count() == 0
+
+
+def test_info_compact_clear(spark, store, tmp_path):
+    for version in (1, 2):
+        incremental_run(requests(spark, ("a", "one", version), ("b", "two", 1)), store)
+    info = store.info().first()
+    assert info["records"] == 2
+    parts = [
+        os.path.getsize(os.path.join(folder, name))
+        for folder, _, names in os.walk(store.location)
+        for name in names
+        if name.endswith(".parquet")
+    ]
+    assert info["allocated"] == sum(parts) > 0
+    assert info["mb"] == 0.0
+
+    compacted = store.compact(str(tmp_path / "compacted"))
+    latest = lambda s: sorted(map(tuple, s.latest().drop("seq").collect()), key=str)
+    assert latest(compacted) == latest(store)
+    assert writes(compacted) == {2: 2}
+
+    store.clear()
+    assert tuple(store.info().first()) == (0, 0, 0.0)
+    assert store.next_seq() == 1
+    assert writes(compacted) == {2: 2}
+
+
+def test_a_store_is_not_created_over_another(spark, store):
+    with pytest.raises(Exception):
+        ResultStore.create(spark, store.location)
+
+
+VERSION = "path string, content string, mtime bigint"
+
+
+def test_stream(spark, store, tmp_path):
+    source = str(tmp_path / "in")
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), VERSION).coalesce(1).write.mode("append").parquet(source)
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(VERSION).option("maxFilesPerTrigger", 1).parquet(source)
+        start_incremental(stream, store, str(tmp_path / checkpoint)).awaitTermination()
+        return {r["path"]: (r["tokens"], r["mtime"]) for r in store.latest().collect()}
+
+    arrive(("a", "one", 5), ("b", "one two", 5), ("a", "one two three", 6))
+    assert run("first") == {"a": (3, 6), "b": (2, 5)}
+    arrive(("a", "late", 4), ("c", "x", 1))
+    assert run("first") == {"a": (3, 6), "b": (2, 5), "c": (1, 1)}
+    arrive(("b", "x y z", 9))
+    assert run("first")["b"] == (3, 9)
+    assert sum(writes(store).values()) == 4
+    # All of it again, with nothing remembered: nothing is measured.
+    before = writes(store)
+    assert run("second") == {"a": (3, 6), "b": (3, 9), "c": (1, 1)}
+    assert writes(store) == before
