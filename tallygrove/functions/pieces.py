@@ -13,14 +13,15 @@ SPECIAL_TOKENS = (
     "<|fim_suffix|>",
     "<|endofprompt|>",
 )
-_SPECIAL = "|".join(token.replace("|", r"\|") for token in SPECIAL_TOKENS)
+_SPECIAL = rf"<\|(?:{'|'.join(token[2:-2] for token in SPECIAL_TOKENS)})\|>"
 
 # The public cl100k split pattern, its \s written out as White_Space and its
 # ignore-case suffixes written as classes (long s included), so that no flag is needed.
-# Special tokens come first and end the text before them: no punctuation run goes into one,
-# and blanks before one are blanks at an end.
+# Special tokens end the text before them: no punctuation run goes into one, and blanks
+# before one are blanks at an end. Plain words, the commonest pieces, are tried first.
 PIECE_PATTERN = (
-    rf"{_SPECIAL}"
+    r"[ ]?+\p{L}++"
+    rf"|{_SPECIAL}"
     r"|'(?:[sSſtTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])"
     r"|[^\r\n\p{L}\p{N}]?+\p{L}++"
     r"|\p{N}{1,3}+"

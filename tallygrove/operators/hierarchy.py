@@ -11,7 +11,7 @@ from tallygrove.operators.paths import (
     node_key,
     parent_key,
 )
-from tallygrove.operators.skew import join_salted
+from tallygrove.operators.skew import join_lookup
 from tallygrove.session import materialise
 
 # The parts of a tree line.
@@ -126,14 +126,14 @@ def tree_lines(measured: DataFrame, order_col: str | None = None) -> DataFrame:
     ).where("above <> ''")
     steps = F.array_sort(F.collect_list(F.struct(F.length("above").alias("at"), "pad")))
     indents = (
-        join_salted(chain, pads, on="above", spread_by="key", how="inner")
+        join_lookup(chain, pads, on="above", spread_by="key", how="inner")
         .groupBy("key")
         .agg(F.array_join(F.transform(steps, lambda step: step["pad"]), "").alias("indent"))
         .withColumnRenamed("key", "parent")
     )
     shown = flagged.where("name <> ''").withColumn("parent", parent_key(key))
     marker = F.when(F.col("is_last"), F.lit(LAST_BRANCH)).otherwise(F.lit(BRANCH))
-    return join_salted(shown, indents, on="parent", spread_by="key", how="left").select(
+    return join_lookup(shown, indents, on="parent", spread_by="key", how="left").select(
         components(key).alias("node"),
         F.concat(
             F.coalesce("indent", F.lit("")),

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tallygrove.functions.globs import glob_to_regex
 from tallygrove.operators.paths import ancestor_keys, name_of, node_key, parent_key
-from tallygrove.operators.skew import join_salted
+from tallygrove.operators.skew import join_lookup
 
 # Names of ignore files, later ones overruling earlier ones at any depth.
 IGNORE_FILES = (".gitignore", ".ignore")
@@ -122,7 +122,7 @@ def drop_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     # Directories that hold files, each with the rules of itself and of those above it.
     above = keyed.select("_dir").distinct().select("_dir", F.explode(_with_ancestors("_dir")).alias("base"))
     stacks = (
-        join_salted(above, packed, on="base", spread_by="_dir", how="inner")
+        join_lookup(above, packed, on="base", spread_by="_dir", how="inner")
         .groupBy("_dir")
         .agg(F.sort_array(F.flatten(F.collect_list("rules")), asc=False).alias("rules"))
     )
@@ -134,5 +134,5 @@ def drop_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     stacks = stacks.withColumn("hidden", judged)
 
     gone = F.coalesce("hidden", F.lit(False)) | _ignored(F.col("_key"), F.col("rules"), is_dir=False)
-    joined = join_salted(keyed, stacks, on="_dir", spread_by="_key", how="left")
+    joined = join_lookup(keyed, stacks, on="_dir", spread_by="_key", how="left")
     return joined.where(~gone).select(*files.columns)

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.session import fits_one_wave, materialise
+from tallygrove.session import estimated_bytes, fits_one_wave, materialise
 
 HOT_SHARE = 512  # a hot key holds more than 1/512 of the rows, so there are fewer than 512
 HOT_ROWS = 1_000_000  # and at least this many rows, so small inputs are never salted
@@ -13,6 +13,7 @@ SALTS = 64
 # Bounds of a checked broadcast.
 SMALL_ROWS = 200_000
 SMALL_BYTES = 32 << 20
+LOOKUP_BYTES = 8 << 20
 
 
 def is_small(keys: DataFrame) -> bool:
@@ -56,6 +57,20 @@ def join_salted(
     return salted.drop("_hot").join(copied.drop("_hot"), [on, "_salt"], how).drop("_salt")
 
 
+def join_lookup(
+    left: DataFrame, right: DataFrame, on: str, spread_by: str, how: str = "left"
+) -> DataFrame:
+    """`join_salted` for a slim `right`, e.g. one row per directory.
+
+    It is written as a table first. With its size known, it is broadcast within
+    LOOKUP_BYTES of files, and salted beyond.
+    """
+    right = materialise(right)
+    if estimated_bytes(right) <= LOOKUP_BYTES:
+        return left.join(F.broadcast(right), on, how)
+    return join_salted(left, right, on, spread_by, how)
+
+
 def keep_rows(rows: DataFrame, keys: DataFrame, on: list) -> DataFrame:
     """Rows whose unique key `on` is among `keys`, which all are keys of `rows`.
 

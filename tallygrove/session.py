@@ -41,12 +41,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return os.path.join(shared, f"tallygrove-{uuid.uuid4().hex}")
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own estimate; the size of its files for a table as it was written."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def fits_one_wave(df: DataFrame) -> bool:
-    """By Spark's own estimate, less than one full-size scan partition per core."""
+    """Less than one full-size scan partition per core."""
     spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return size < spark.sparkContext.defaultParallelism * split
+    return estimated_bytes(df) < spark.sparkContext.defaultParallelism * split
 
 
 def spread(df: DataFrame) -> DataFrame:
