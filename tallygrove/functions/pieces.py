@@ -39,5 +39,9 @@ def pieces(text: Column) -> Column:
 
 
 def piece_count(text: Column) -> Column:
-    """Their number: a lower bound of the token count that needs no vocabulary."""
-    return F.regexp_count(text, F.lit(PIECE_PATTERN)).cast("bigint")
+    """Their number: a lower bound of the token count that needs no vocabulary.
+
+    The pieces cover the text, so that with one letter put for each the length is their
+    number. A list of them would take many times the memory of a large text.
+    """
+    return F.length(F.regexp_replace(text, PIECE_PATTERN, "x")).cast("bigint")

@@ -18,7 +18,7 @@ from tallygrove.session import materialise
 BROADCAST_ENTRIES = 1_000_000
 BROADCAST_BYTES = 64 << 20
 
-TASK_MEMO = 500_000  # distinct pieces a task remembers
+MEMO = 1_000_000  # distinct pieces a worker process remembers
 
 
 def read_vocab(spark: SparkSession, location: str) -> DataFrame:
@@ -73,7 +73,8 @@ def with_bpe_tokens(
         return _join_vocab(files, vocab)
     table = vocab.select("token", "rank").toArrow()
     ranks = dict(zip(table["token"].to_pylist(), table["rank"].to_pylist()))
-    tally = _piece_tally(files.sparkSession.sparkContext.broadcast(ranks))
+    # The memo lies next to the ranks, so that all tasks of a worker process share it.
+    tally = _piece_tally(files.sparkSession.sparkContext.broadcast((ranks, {})))
     return files.withColumn("tokens", tally(pieces(F.col("content"))))
 
 
@@ -85,7 +86,7 @@ def _piece_tally(shared):
 
     @F.arrow_udf(T.LongType())
     def tally(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        ranks, memo = shared.value, {}
+        ranks, memo = shared.value
 
         def tokens(piece):
             raw = piece.encode()
@@ -93,7 +94,7 @@ def _piece_tally(shared):
 
         for batch in batches:
             coded = batch.flatten().dictionary_encode()
-            if len(memo) > TASK_MEMO:
+            if len(memo) > MEMO:
                 memo.clear()
             counts = []
             for piece in coded.dictionary.to_pylist():

@@ -1,5 +1,7 @@
 import pytest
 import regex
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallygrove.functions import text as scalar
@@ -49,6 +51,19 @@ def test_pieces(rows):
         assert row["p"] == split(row["text"]), row["text"]
 
 
+ALPHABET = "ab Z'sStTlLrReEvVmMdD09½Ⅷé́\u017f\u00a0\u2003\u3000\u0085\u200b\t\n\r.!<|>語🙂\u0000\u0001$\\"
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(texts=st.lists(st.text(ALPHABET, max_size=40), min_size=40, max_size=40))
+def test_random_pieces(rows, texts):
+    table = rows([(t,) for t in texts], "text string")
+    text = F.col("text")
+    for row in table.select(text, pieces(text).alias("p"), piece_count(text).alias("n")).collect():
+        assert row["p"] == regex.findall(PATTERN, row["text"]), row["text"]
+        assert row["n"] == len(row["p"])
+
+
 @pytest.mark.parametrize("special", SPECIAL_TOKENS)
 def test_special_tokens_end_the_text_before_them(rows, special):
     texts = [f"a{special}b", special, f"x  {special}  y", f"!!{special}!!", f"\n{special}\n"]
