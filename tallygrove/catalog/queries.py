@@ -12,7 +12,7 @@ from tallygrove.functions import text as scalar
 from tallygrove.functions.pieces import piece_count
 from tallygrove.operators import hierarchy, ranking, store
 from tallygrove.operators.bpe import with_bpe_tokens
-from tallygrove.operators.budgets import apply_budgets
+from tallygrove.operators.budgets import apply_budgets, prune_by_length
 from tallygrove.operators.ignore_rules import drop_ignored
 from tallygrove.operators.measure import measure
 from tallygrove.operators.path_rules import (
@@ -108,7 +108,8 @@ def bpe_count_joined(spark, sf_dir):
 
 @query
 def budget_low(spark, sf_dir):
-    return apply_budgets(counts(spark, sf_dir), min_tokens=600, limit_low=True)
+    long = prune_by_length(views.files(spark, sf_dir), F.octet_length("content"), min_tokens=600)
+    return apply_budgets(measure(long), min_tokens=600, limit_low=True).select("path", "tokens")
 
 
 @query

@@ -1,6 +1,6 @@
 """Token budgets per file."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_BUDGET = 0
@@ -25,10 +25,20 @@ def apply_budgets(
 
 
 def prune_by_length(
-    listing: DataFrame, min_tokens: int, length: str = "length"
+    files: DataFrame,
+    length: Column,
+    min_tokens: int | None = None,
+    max_tokens: int | None = None,
+    longest_token: int | None = None,
 ) -> DataFrame:
-    """Rows that can still reach `min_tokens`: a token covers at least one byte.
+    """Rows whose length in bytes leaves them a chance to meet the budgets.
 
-    A necessary condition to apply before content is read; keep the exact filter after.
+    A token covers at least one byte, and at most `longest_token` if the vocabulary (with
+    its special tokens) is known. Necessary conditions, to spare the measure; the exact
+    filter comes after it.
     """
-    return listing.where(F.col(length) >= min_tokens)
+    if min_tokens is not None:
+        files = files.where(length >= min_tokens)
+    if max_tokens is not None and longest_token is not None:
+        files = files.where(length <= max_tokens * longest_token)
+    return files

@@ -16,8 +16,11 @@ from tallygrove.functions.globs import glob_to_regex
 from tallygrove.operators.paths import ancestor_keys, name_of, node_key, parent_key
 from tallygrove.operators.skew import join_lookup
 
-# Names of ignore files, later ones overruling earlier ones at any depth.
-IGNORE_FILES = (".gitignore", ".ignore")
+# Names of ignore files with their levels; a higher level overrules a lower
+# one at any depth. The exclude file speaks for the directory that holds `.git`.
+EXCLUDE_FILE, EXCLUDE = "/.git/info/exclude", 0
+IGNORE_FILES = {".gitignore": 1, ".ignore": 2}
+ALWAYS = 2  # from this level on, rules hold outside repositories, too
 
 
 @F.arrow_udf(T.StringType())
@@ -40,25 +43,50 @@ def _pattern_regex(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([regex(p) for p in batch.to_pylist()], pa.string())
 
 
+def _level(key: Column) -> Column:
+    """Level of an ignore file; null for any other file."""
+    level = F.when(key.endswith(EXCLUDE_FILE), F.lit(EXCLUDE))
+    for name, value in IGNORE_FILES.items():
+        level = level.when(name_of(key) == name, F.lit(value))
+    return level
+
+
+def is_ignore_file(path: Column) -> Column:
+    return _level(node_key(path)).isNotNull()
+
+
 def parse_ignore_files(files: DataFrame) -> DataFrame:
     """Rules (base, level, line, neg, dironly, rx) of the ignore files among (path, content).
 
-    `base` is the path of the directory, '' at the top; `level` the kind of file.
+    `base` is the path of the directory they hold for, '' at the top.
     """
-    key = node_key(F.col("path"))
-    kinds = F.array(*(F.lit(name) for name in IGNORE_FILES))
+    key = F.col("key")
+    exclude = F.substring(key, F.lit(1), F.length(key) - len(EXCLUDE_FILE))
+    holds_for = F.when(key.endswith(EXCLUDE_FILE), exclude).otherwise(parent_key(key))
     lines = (
-        files.select(key.alias("key"), "content")
-        .where(name_of(F.col("key")).isin(*IGNORE_FILES))
+        files.select(node_key(F.col("path")).alias("key"), "content")
+        .withColumn("level", _level(key))
+        .where("level is not null")
         .select(
-            F.substring(parent_key(F.col("key")), 2, 1 << 30).alias("base"),
-            F.array_position(kinds, name_of(F.col("key"))).cast("int").alias("level"),
+            F.substring(holds_for, 2, 1 << 30).alias("base"),
+            "level",
             F.posexplode(F.split("content", "\r?\n", -1)).alias("line", "value"),
         )
     )
     return compile_rules(lines)
 
 
+def repositories(files: DataFrame) -> DataFrame:
+    """(base) of the directories that hold a `.git`, by the paths of a listing."""
+    key = node_key(F.col("path"))
+    base = F.regexp_extract(key, r"^(.*?)/\.git(?:/|$)", 1)
+    return (
+        files.where(key.rlike(r"/\.git(?:/|$)"))
+        .select(F.substring(base, 2, 1 << 30).alias("base"))
+        .distinct()
+    )
+
+
 def compile_rules(lines: DataFrame) -> DataFrame:
     """The same of (base, level, line, value), one ignore-file line a row."""
     # Trailing blanks go unless escaped; comments and empty lines are no rules.
@@ -101,12 +129,16 @@ def _with_ancestors(key: str) -> Column:
     )
 
 
-def drop_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
+def drop_ignored(
+    files: DataFrame, rules: DataFrame, repositories: DataFrame | None = None
+) -> DataFrame:
     """Rows of (path, …) that no ignore rule hides.
 
     A file goes if its own strongest rule ignores it, or if any directory above it is
     ignored, whatever rules say about what lies beneath. `base` and `path` are relative to
-    the same root. Give a listing, as the rows are joined on their directory.
+    the same root. With `repositories` (base), rules of the git kinds hold only below one,
+    and those from above the innermost one do not reach into it. Give a listing, as the
+    rows are joined on their directory.
     """
     keyed = files.withColumn("_key", node_key(F.col("path")))
     keyed = keyed.withColumn("_dir", parent_key(F.col("_key")))
@@ -119,18 +151,27 @@ def drop_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
         .groupBy("base")
         .agg(F.collect_list("rule").alias("rules"))
     )
+    if repositories is not None:
+        tops = repositories.select(base.alias("base"), F.length(base).alias("top"))
+        packed = packed.join(tops, "base", "full")
+    else:
+        packed = packed.withColumn("top", F.lit(0))
     # Directories that hold files, each with the rules of itself and of those above it.
     above = keyed.select("_dir").distinct().select("_dir", F.explode(_with_ancestors("_dir")).alias("base"))
     stacks = (
         join_lookup(above, packed, on="base", spread_by="_dir", how="inner")
         .groupBy("_dir")
-        .agg(F.sort_array(F.flatten(F.collect_list("rules")), asc=False).alias("rules"))
+        .agg(F.max("top").alias("top"), F.flatten(F.collect_list("rules")).alias("rules"))
     )
+    if repositories is not None:
+        within = F.filter("rules", lambda r: (r["level"] >= ALWAYS) | (r["at"] >= F.col("top")))
+        stacks = stacks.withColumn("rules", within)
     # Such a directory is hidden if it or one above it is ignored.
     judged = F.exists(
         _with_ancestors("_dir"),
         lambda key: (key != "") & _ignored(key, F.col("rules"), is_dir=True),
     )
+    stacks = stacks.select("_dir", F.sort_array("rules", asc=False).alias("rules"))
     stacks = stacks.withColumn("hidden", judged)
 
     gone = F.coalesce("hidden", F.lit(False)) | _ignored(F.col("_key"), F.col("rules"), is_dir=False)

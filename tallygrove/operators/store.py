@@ -22,8 +22,10 @@ def latest_rows(log: DataFrame) -> DataFrame:
     return keep_rows(log, latest_versions(log).select("path", "seq"), ["path", "seq"])
 
 
-def wanted_versions(requests: DataFrame) -> DataFrame:
+def wanted_versions(requests: DataFrame, unique: bool = False) -> DataFrame:
     """(path, wanted, pos): each requested path once, at its newest version, last asked."""
+    if unique:
+        return requests.select("path", F.col("mtime").alias("wanted"), "pos")
     newest = F.max(F.struct("mtime", "pos"))
     return (
         requests.groupBy("path")
@@ -37,7 +39,9 @@ def few(requests: DataFrame) -> bool:
     return is_small(requests.select("path"))
 
 
-def _met(requests: DataFrame, log: DataFrame, exact: bool, cut: bool | None) -> DataFrame:
+def _met(
+    requests: DataFrame, log: DataFrame, exact: bool, cut: bool | None, unique: bool
+) -> DataFrame:
     """Wanted versions with the `seq` of the write that answers them, null for a miss.
 
     A stored version answers if it is as new as the wanted one. `exact` asks for the very
@@ -50,28 +54,36 @@ def _met(requests: DataFrame, log: DataFrame, exact: bool, cut: bool | None) ->
     mtime, wanted = F.col("mtime"), F.col("wanted")
     meets = mtime == wanted if exact else mtime >= wanted
     return (
-        wanted_versions(requests)
+        wanted_versions(requests, unique)
         .join(stored, "path", "left")
         .select("path", "wanted", "pos", F.when(meets, F.col("seq")).alias("seq"))
     )
 
 
 def lookup_hits(
-    requests: DataFrame, log: DataFrame, exact: bool = False, cut: bool | None = None
+    requests: DataFrame,
+    log: DataFrame,
+    exact: bool = False,
+    cut: bool | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Stored rows, once for every requested path that hits. Requests: (pos, path, mtime, …).
 
-    `cut` is the value of `few(requests)`, if known.
+    `cut` is the value of `few(requests)`, if known; `unique` says that no path repeats.
     """
-    keys = _met(requests, log, exact, cut).where("seq is not null").select("path", "seq")
+    keys = _met(requests, log, exact, cut, unique).where("seq is not null").select("path", "seq")
     return keep_rows(log, keys, ["path", "seq"])
 
 
 def lookup_misses(
-    requests: DataFrame, log: DataFrame, exact: bool = False, cut: bool | None = None
+    requests: DataFrame,
+    log: DataFrame,
+    exact: bool = False,
+    cut: bool | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Requests without a hit, each path once, at its newest version."""
-    keys = _met(requests, log, exact, cut).where("seq is null").select("pos")
+    keys = _met(requests, log, exact, cut, unique).where("seq is null").select("pos")
     return keep_rows(requests, keys, ["pos"])
 
 

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 from tallygrove.functions.text import relative_path
 from tallygrove.operators.budgets import MAX_BUDGET, MIN_BUDGET, apply_budgets, prune_by_length
 from tallygrove.operators.hierarchy import tree_lines
-from tallygrove.operators.ignore_rules import IGNORE_FILES, drop_ignored, parse_ignore_files
+from tallygrove.operators.ignore_rules import (
+    drop_ignored,
+    is_ignore_file,
+    parse_ignore_files,
+    repositories,
+)
 from tallygrove.operators.measure import measure
 from tallygrove.operators.path_rules import RuleSet, effective_rules, select_paths
-from tallygrove.operators.paths import name_of
 from tallygrove.operators.ranking import DEFAULT_TOP
 from tallygrove.plans.incremental import incremental_run
 from tallygrove.sinks.merged import merged_blocks, merged_json
@@ -24,12 +28,16 @@ from tallygrove.sources.file_tree import list_files, read_contents
 
 @dataclass(frozen=True)
 class Options:
-    """What to select and which budgets to apply. Budgets are per file."""
+    """What to select and which budgets to apply. Budgets are per file.
+
+    Ignore files of the git kinds count inside repositories only, unless that is lifted.
+    """
 
     include: Sequence[str] = ()
     ignore: Sequence[str] = ()
     rule_set: RuleSet | None = None
     ignore_files: bool = True
+    repositories_only: bool = True
     min_tokens: int = MIN_BUDGET
     max_tokens: int = MAX_BUDGET
     limit_high: bool = False
@@ -52,13 +60,11 @@ def select_files(spark: SparkSession, root: str, options: Options = Options()) -
     chosen = select_paths(listing, rules.filters, rules.ignores, inner)
     if not options.ignore_files:
         return chosen
-    ignore_files = listing.where(name_of(F.col("path")).isin(*IGNORE_FILES))
-    texts = read_text(ignore_files).withColumn("path", inner)
-    kept = drop_ignored(
-        chosen.withColumn("full", F.col("path")).withColumn("path", inner),
-        parse_ignore_files(texts),
-    )
-    return kept.withColumn("path", F.col("full")).drop("full")
+    ignore_files = read_text(listing.where(is_ignore_file(inner)))
+    rules = parse_ignore_files(ignore_files.withColumn("path", inner))
+    relative = chosen.withColumn("full", F.col("path")).withColumn("path", inner)
+    tops = repositories(listing.withColumn("path", inner)) if options.repositories_only else None
+    return drop_ignored(relative, rules, tops).withColumn("path", F.col("full")).drop("full")
 
 
 def measured_files(
@@ -71,7 +77,7 @@ def measured_files(
     """(path, content, tokens, error) of the selected files within budget."""
     listing = select_files(spark, root, options)
     if options.limit_low:
-        listing = prune_by_length(listing, options.min_tokens)
+        listing = prune_by_length(listing, F.col("length"), options.min_tokens)
     if store is None:
         measured = measure(read_text(listing), vocab, table=False)
     else:
@@ -88,13 +94,15 @@ def within_budget(measured: DataFrame, options: Options) -> DataFrame:
     )
 
 
-def merge(measured: DataFrame, form: str = "text") -> DataFrame:
-    """Blocks of the merged output, in path order."""
+def merge(measured: DataFrame, form: str = "text", ordered: bool = True) -> DataFrame:
+    """Blocks of the merged output, in path order unless that is not needed."""
     if form == "text":
-        return merged_blocks(measured).orderBy("path")
-    if form == "json":
-        return merged_json(measured).orderBy("path")
-    raise ValueError(f"Unsupported format: {form}")
+        blocks = merged_blocks(measured)
+    elif form == "json":
+        blocks = merged_json(measured)
+    else:
+        raise ValueError(f"Unsupported format: {form}")
+    return blocks.orderBy("path") if ordered else blocks
 
 
 def tree(measured: DataFrame, order_col: str | None = None) -> DataFrame:

@@ -33,16 +33,16 @@ def incremental_run(
     if unique and log.isEmpty():
         missing = requests
     else:
-        missing = lookup_misses(requests, log, exact, cut)
+        missing = lookup_misses(requests, log, exact, cut, unique)
     texts = read(missing) if read else missing
     store.append(measure(texts, vocab, table=read is None), seq=seq)
 
     log = store.log()
     fields = ["path", "content", "tokens", "error"]
-    results = lookup_hits(requests, log, exact, cut).select(*fields)
+    results = lookup_hits(requests, log, exact, cut, unique).select(*fields)
     if read or "error" in requests.columns:
         # What still misses after the write could not be read.
-        missing = lookup_misses(requests, log, exact, cut)
+        missing = lookup_misses(requests, log, exact, cut, unique)
         failed = normalise(read(missing) if read else missing)
         results = results.unionByName(
             failed.withColumn("tokens", F.lit(0).cast("bigint")).select(*fields)

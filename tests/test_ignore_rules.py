@@ -4,7 +4,7 @@ import subprocess
 
 import pytest
 
-from tallygrove.operators.ignore_rules import drop_ignored, parse_ignore_files
+from tallygrove.operators.ignore_rules import drop_ignored, parse_ignore_files, repositories
 
 RULES = {
     ".gitignore": "*.log\n!keep.log\nbuild/\n/tmp\n# c\n\nsrc/**/n.txt\n",
@@ -76,3 +76,29 @@ def test_no_rules_keep_all(spark):
 
 def test_a_pattern_that_is_not_valid_is_left_out(spark):
     assert kept(spark, ["a", "b"], {".gitignore": "[z\nb\n"}) == {"a"}
+
+
+def test_exclude_file_is_the_weakest(spark):
+    rules = {"r/.git/info/exclude": "*.x\n*.y\n", "r/a/.gitignore": "!k.x\n"}
+    paths = ["r/a/k.x", "r/k.x", "r/b.y", "q.x", "r/z"]
+    assert kept(spark, paths, rules) == {"r/a/k.x", "q.x", "r/z"}
+
+
+def test_git_rules_hold_in_their_repository_only(spark):
+    rules = {
+        ".gitignore": "*.x\n",
+        "r/.gitignore": "*.y\n",
+        "r/s/.gitignore": "*.z\n",
+        "o/.gitignore": "*\n",
+        ".ignore": "*.w\n",
+    }
+    paths = ["r/a.x", "r/a.y", "r/s/a.x", "r/s/a.y", "r/s/a.z", "o/a.x", "o/a.w", "r/s/a.w", "a.x"]
+    listing = spark.createDataFrame(
+        [(p,) for p in paths + ["r/.git/config", "r/s/.git"]], "path string"
+    )
+    tops = repositories(listing)
+    assert {r["base"] for r in tops.collect()} == {"r", "r/s"}
+    parsed = parse_ignore_files(spark.createDataFrame(list(rules.items()), "path string, content string"))
+    found = {r["path"] for r in drop_ignored(listing, parsed, tops).collect()}
+    inside = {"r/a.x", "r/s/a.x", "r/s/a.y", "r/.git/config", "r/s/.git"}
+    assert found == inside | {"o/a.x", "a.x"}
