@@ -201,8 +201,8 @@ FROM documents WHERE {where}"""
 
 
 ORACLES = {
-    "piece_count_documents": f"SELECT {PATH} AS path, {piece_len('text')} AS pieces FROM documents",
-    "piece_count_pages": f"WITH {WEB} SELECT seq, path, tokens AS pieces FROM web",
+    "piece_count": f"SELECT {PATH} AS path, {piece_len('text')} AS pieces FROM documents",
+    "piece_count_web": f"WITH {WEB} SELECT seq, path, tokens AS pieces FROM web",
     "piece_count_chat": f"SELECT {CHAT_PATH} AS path, {piece_len('text')} AS pieces FROM conversations",
     "special_token_count": f"SELECT {PATH} AS path, {SPECIAL} AS pieces FROM documents",
     "blank_rows": f"""SELECT {PATH} AS path,
@@ -230,15 +230,15 @@ SELECT to_json({{
   'total': (SELECT sum(tokens)::BIGINT FROM files)
 }})::VARCHAR AS json""",
     "tree_rollup": f"WITH {FILES}, {nodes('files')} {ROLLUP}",
-    "tree_rollup_pages": f"WITH {WEB}, {LATEST_WEB}, {nodes('files')} {ROLLUP}",
+    "tree_rollup_web": f"WITH {WEB}, {LATEST_WEB}, {nodes('files')} {ROLLUP}",
     "tree_rollup_chat": f"""WITH files AS (
   SELECT {CHAT_PATH} AS path, {piece_len('text')} AS tokens FROM conversations
 ), {nodes('files')} {ROLLUP}""",
     "tree_last_children": f"""WITH {FILES}, {nodes('files')}
 SELECT array_to_string(max(parts), '/') AS path FROM nodes WHERE len(parts) > 0
 GROUP BY parts[1:len(parts) - 1]""",
-    "tree_listing": f"WITH {FILES}, {nodes('files')} {LINES}",
-    "tree_listing_pages": f"WITH {WEB}, {LATEST_WEB}, {nodes('files')} {LINES}",
+    "tree_lines": f"WITH {FILES}, {nodes('files')} {LINES}",
+    "tree_lines_web": f"WITH {WEB}, {LATEST_WEB}, {nodes('files')} {LINES}",
     "merge_blocks": f"""WITH {FILES}
 SELECT path, 'File: ' || path || chr(10) || content AS block FROM files WHERE tokens > 0""",
     "merge_json": f"""WITH {FILES}
@@ -273,13 +273,13 @@ SELECT path, tokens, mtime, seq FROM latest WHERE mtime = 1000 + doc_id % 4""",
 SELECT path, 1000 + doc_id % 4 AS mtime, len(text)::INTEGER AS n_chars
 FROM files JOIN documents USING (doc_id)
 WHERE doc_id NOT IN (SELECT doc_id FROM latest WHERE mtime >= 1000 + doc_id % 4)""",
-    "store_latest": f"WITH {PATHS}, {STORED} SELECT path, tokens, mtime, seq FROM latest",
+    "store_upsert_latest": f"WITH {PATHS}, {STORED} SELECT path, tokens, mtime, seq FROM latest",
     "store_info": f"""WITH {PATHS}, {STORED}
 SELECT count(*) AS records, true AS allocated FROM latest""",
     "store_compacted": f"WITH {PATHS}, {STORED} SELECT path, tokens, mtime, 2::BIGINT AS seq FROM latest",
     "store_cleared": f"""WITH {PATHS}, {STORED}
 SELECT path, tokens, mtime, 1::BIGINT AS seq FROM log WHERE seq = 2""",
-    "incremental_measure": f"""WITH {FILES}, {STORED}, answers AS (
+    "incremental_run": f"""WITH {FILES}, {STORED}, answers AS (
   SELECT f.doc_id, f.path, len(content)::INTEGER AS n_chars, coalesce(l.tokens, f.tokens) AS tokens
   FROM files f LEFT JOIN latest l ON l.doc_id = f.doc_id AND l.mtime >= 1000 + f.doc_id % 4
 )

@@ -8,8 +8,8 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 
 from tallygrove.catalog import views
+from tallygrove.functions import pieces
 from tallygrove.functions import text as scalar
-from tallygrove.functions.pieces import piece_count
 from tallygrove.operators import hierarchy, ranking, store
 from tallygrove.operators.bpe import with_bpe_tokens
 from tallygrove.operators.budgets import apply_budgets, prune_by_length
@@ -21,7 +21,7 @@ from tallygrove.operators.path_rules import (
     select_by_rule_sets,
     select_paths,
 )
-from tallygrove.plans.incremental import incremental_run
+from tallygrove.plans import incremental
 from tallygrove.session import scratch_dir, spread
 from tallygrove.sinks.merged import merged_blocks, merged_json
 from tallygrove.sinks.reports import report_json, report_lines
@@ -58,12 +58,12 @@ def counts(spark, sf_dir):
 
 
 @query
-def piece_count_documents(spark, sf_dir):
+def piece_count(spark, sf_dir):
     return measure(views.files(spark, sf_dir)).select("path", F.col("tokens").alias("pieces"))
 
 
 @query
-def piece_count_pages(spark, sf_dir):
+def piece_count_web(spark, sf_dir):
     files = measure(views.web(spark, sf_dir))
     return files.select("seq", "path", F.col("tokens").alias("pieces"))
 
@@ -77,7 +77,7 @@ def piece_count_chat(spark, sf_dir):
 def special_token_count(spark, sf_dir):
     doubled = F.concat("content", F.lit("  <|endoftext|> "), "content", F.lit("<|fim_prefix|>"))
     files = spread(views.files(spark, sf_dir))
-    return files.select("path", piece_count(doubled).alias("pieces"))
+    return files.select("path", pieces.piece_count(doubled).alias("pieces"))
 
 
 @query
@@ -200,7 +200,7 @@ def tree_rollup(spark, sf_dir):
 
 
 @query
-def tree_rollup_pages(spark, sf_dir):
+def tree_rollup_web(spark, sf_dir):
     pages = apply_budgets(measure(views.web(spark, sf_dir)))
     return _listed(hierarchy.pre_order(hierarchy.rollup(pages, order_col="seq")))
 
@@ -218,13 +218,13 @@ def tree_last_children(spark, sf_dir):
 
 
 @query
-def tree_listing(spark, sf_dir):
+def tree_lines(spark, sf_dir):
     lines = hierarchy.pre_order(hierarchy.tree_lines(counts(spark, sf_dir)))
     return lines.select(F.array_join("node", "/").alias("path"), "line")
 
 
 @query
-def tree_listing_pages(spark, sf_dir):
+def tree_lines_web(spark, sf_dir):
     pages = apply_budgets(measure(views.web(spark, sf_dir)))
     lines = hierarchy.pre_order(hierarchy.tree_lines(pages, order_col="seq"))
     return lines.select(F.array_join("node", "/").alias("path"), "line")
@@ -266,8 +266,10 @@ def path_parts(spark, sf_dir):
 @query
 def version_times(spark, sf_dir):
     events = views.table(spark, sf_dir, "events")
-    earlier = F.expr("ts - make_dt_interval(cast(event_id % 40 as int) * 1000)")
-    return events.select("event_id", scalar.version_seconds(earlier).alias("mtime"))
+    days = F.make_dt_interval((F.col("event_id") % 40 * 1000).cast("int"))
+    # Times without a zone are UTC.
+    instant = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts") - days)
+    return events.select("event_id", scalar.version_seconds(instant).alias("mtime"))
 
 
 @query
@@ -385,7 +387,7 @@ def store_misses(spark, sf_dir):
 
 
 @query
-def store_latest(spark, sf_dir):
+def store_upsert_latest(spark, sf_dir):
     rows = store.latest_rows(views.stored(spark, sf_dir))
     return rows.select("path", "tokens", "mtime", "seq")
 
@@ -419,11 +421,11 @@ def store_cleared(spark, sf_dir):
 
 
 @query
-def incremental_measure(spark, sf_dir):
+def incremental_run(spark, sf_dir):
     """Every document asked for, every fifth twice; stored ones are not measured again."""
     wanted = views.requests(spark, sf_dir)
     twice = wanted.where("pos % 5 = 0").withColumn("pos", -F.col("pos") - 1)
-    results = incremental_run(wanted.unionByName(twice), _filled_store(spark, sf_dir))
+    results = incremental.incremental_run(wanted.unionByName(twice), _filled_store(spark, sf_dir))
     return results.select("pos", "path", "tokens", F.length("content").alias("n_chars"))
 
 
@@ -432,8 +434,8 @@ def incremental_rerun(spark, sf_dir):
     """Documents measured by the first and by the second of two equal runs."""
     wanted = views.requests(spark, sf_dir)
     results = _filled_store(spark, sf_dir)
-    incremental_run(wanted, results, unique=True, seq=3)
-    incremental_run(wanted, results, unique=True, seq=4)
+    incremental.incremental_run(wanted, results, unique=True, seq=3)
+    incremental.incremental_run(wanted, results, unique=True, seq=4)
     runs = spark.createDataFrame([(3,), (4,)], "seq bigint")
     measured_rows = results.log().groupBy("seq").agg(F.count("*").alias("n"))
     return runs.join(measured_rows, "seq", "left").select("seq", F.coalesce("n", F.lit(0)).alias("measured"))

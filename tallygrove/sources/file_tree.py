@@ -8,6 +8,7 @@ the files that are left after path rules and store lookup.
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyarrow import fs
@@ -28,11 +29,25 @@ MAX_WAVES = 16
 _ENTRY = "path string, length bigint, mtime bigint, is_dir boolean"
 
 
+@lru_cache(maxsize=64)
+def _mounted(top: str) -> tuple:
+    files, base = fs.FileSystem.from_uri(top)
+    return files, base.rstrip("/")
+
+
+def _opened(uri: str) -> tuple:
+    """File system, and path in it, of a URI whose path may hold any character."""
+    scheme, rest = uri.split("://", 1)
+    host, _, path = rest.partition("/")
+    files, base = _mounted(f"{scheme}://{host}/")
+    return files, f"{base}/{path}"
+
+
 def _entries(directory: str) -> Iterator[tuple]:
     """(path, length, mtime, is_dir); links and unreadable entries are left out."""
     if "://" in directory:
-        files, base = fs.FileSystem.from_uri(directory)
-        for info in files.get_file_info(fs.FileSelector(base)):
+        files, inner = _opened(directory)
+        for info in files.get_file_info(fs.FileSelector(inner)):
             if info.type in (fs.FileType.File, fs.FileType.Directory):
                 changed = int(max(info.mtime.timestamp(), 0)) if info.mtime else 0
                 is_dir = info.type == fs.FileType.Directory
@@ -96,7 +111,7 @@ def list_files(spark: SparkSession, root: str, tasks: int | None = None) -> Data
 
 def _read_bytes(path: str) -> bytes:
     if "://" in path:
-        files, inner = fs.FileSystem.from_uri(path)
+        files, inner = _opened(path)
         with files.open_input_stream(inner) as stream:
             return stream.read()
     with open(path, "rb") as stream:
