@@ -23,7 +23,7 @@ from tallygrove.operators.path_rules import (
 )
 from tallygrove.plans import incremental
 from tallygrove.session import scratch_dir, spread
-from tallygrove.sinks.merged import merged_blocks, merged_json
+from tallygrove.sinks.merged import in_path_order, merged_blocks, merged_json
 from tallygrove.sinks.reports import report_json, report_lines
 from tallygrove.sinks.store import ResultStore
 from tallygrove.sources.decode import decode_utf8
@@ -235,12 +235,12 @@ def tree_lines_web(spark, sf_dir):
 
 @query
 def merge_blocks(spark, sf_dir):
-    return merged_blocks(measured(spark, sf_dir)).orderBy("path")
+    return in_path_order(merged_blocks(measured(spark, sf_dir)))
 
 
 @query
 def merge_json(spark, sf_dir):
-    return merged_json(measured(spark, sf_dir)).orderBy("path")
+    return in_path_order(merged_json(measured(spark, sf_dir)))
 
 
 # Scalars

@@ -19,7 +19,8 @@ from tallygrove.operators.measure import measure
 from tallygrove.operators.path_rules import RuleSet, effective_rules, select_paths
 from tallygrove.operators.ranking import DEFAULT_TOP
 from tallygrove.plans.incremental import incremental_run
-from tallygrove.sinks.merged import merged_blocks, merged_json
+from tallygrove.session import materialise
+from tallygrove.sinks.merged import in_path_order, merged_blocks, merged_json
 from tallygrove.sinks.reports import report_json, report_lines
 from tallygrove.sinks.store import ResultStore
 from tallygrove.sources.decode import decode_utf8
@@ -78,6 +79,7 @@ def measured_files(
     listing = select_files(spark, root, options)
     if options.limit_low:
         listing = prune_by_length(listing, F.col("length"), options.min_tokens)
+    listing = materialise(listing)  # slim, and read more than once below
     if store is None:
         measured = measure(read_text(listing), vocab, table=False)
     else:
@@ -102,7 +104,7 @@ def merge(measured: DataFrame, form: str = "text", ordered: bool = True) -> Data
         blocks = merged_json(measured)
     else:
         raise ValueError(f"Unsupported format: {form}")
-    return blocks.orderBy("path") if ordered else blocks
+    return in_path_order(blocks) if ordered else blocks
 
 
 def tree(measured: DataFrame, order_col: str | None = None) -> DataFrame:

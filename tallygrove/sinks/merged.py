@@ -8,6 +8,11 @@ RESULT_HEADER = "=== Result ==="
 FILE_HEADER = "File: "
 
 
+def in_path_order(files: DataFrame) -> DataFrame:
+    """By path; rows of one path as they came, and split between tasks where they are many."""
+    return files.orderBy("path", F.monotonically_increasing_id())
+
+
 def merged_blocks(measured: DataFrame) -> DataFrame:
     """(path, block): the text each file contributes; nothing follows its content."""
     return measured.select(
@@ -27,14 +32,12 @@ def write_merged_text(measured: DataFrame, location: str, ordered: bool = True)
     Ordered by path over all shards. The order costs one exchange of the contents; without
     it every task writes its blocks as they come, and the header is a shard of its own.
     """
-    spark = measured.sparkSession
-    header = spark.range(1).select(
-        F.lit(0).alias("rank"), F.lit("").alias("path"), F.lit(RESULT_HEADER).alias("block")
+    header = measured.sparkSession.range(1).select(
+        F.lit(None).cast("string").alias("path"), F.lit(RESULT_HEADER).alias("block")
     )
-    blocks = merged_blocks(measured).select(F.lit(1).alias("rank"), "path", "block")
-    lines = header.unionByName(blocks)
-    if ordered:
-        lines = lines.orderBy("rank", "path")
+    # Without a path the header comes first in path order.
+    lines = header.unionByName(merged_blocks(measured))
+    lines = in_path_order(lines) if ordered else lines
     lines.select("block").write.text(location)
 
 
@@ -42,7 +45,7 @@ def write_merged_json(measured: DataFrame, location: str, ordered: bool = True)
     """JSON Lines shards, ordered by path if asked for."""
     fields = ["path", "content", "tokens"] + [c for c in ["error"] if c in measured.columns]
     rows = measured.select(*fields)
-    (rows.orderBy("path") if ordered else rows).write.json(location)
+    (in_path_order(rows) if ordered else rows).write.json(location)
 
 
 def write_tree(lines: DataFrame, location: str) -> None:
