@@ -241,6 +241,8 @@ GROUP BY parts[1:len(parts) - 1]""",
     "tree_lines_web": f"WITH {WEB}, {LATEST_WEB}, {nodes('files')} {LINES}",
     "merge_blocks": f"""WITH {FILES}
 SELECT path, 'File: ' || path || chr(10) || content AS block FROM files WHERE tokens > 0""",
+    "merge_within_budget": f"""WITH {FILES}
+SELECT path, 'File: ' || path || chr(10) || content AS block FROM files WHERE tokens BETWEEN 100 AND 400""",
     "merge_json": f"""WITH {FILES}
 SELECT path, to_json({{'path': path, 'content': content, 'tokens': tokens}})::VARCHAR AS json
 FROM files WHERE tokens > 0""",

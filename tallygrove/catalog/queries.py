@@ -22,8 +22,8 @@ from tallygrove.operators.path_rules import (
     select_paths,
 )
 from tallygrove.plans import incremental
+from tallygrove.plans.documents import Options, merge_files
 from tallygrove.session import scratch_dir, spread
-from tallygrove.sinks.merged import in_path_order, merged_blocks, merged_json
 from tallygrove.sinks.reports import report_json, report_lines
 from tallygrove.sinks.store import ResultStore
 from tallygrove.sources.decode import decode_utf8
@@ -235,12 +235,18 @@ def tree_lines_web(spark, sf_dir):
 
 @query
 def merge_blocks(spark, sf_dir):
-    return in_path_order(merged_blocks(measured(spark, sf_dir)))
+    return merge_files(views.files(spark, sf_dir), "text")
 
 
 @query
 def merge_json(spark, sf_dir):
-    return in_path_order(merged_json(measured(spark, sf_dir)))
+    return merge_files(views.files(spark, sf_dir), "json")
+
+
+@query
+def merge_within_budget(spark, sf_dir):
+    options = Options(min_tokens=100, max_tokens=400, limit_low=True, limit_high=True)
+    return merge_files(views.files(spark, sf_dir), "text", options)
 
 
 # Scalars

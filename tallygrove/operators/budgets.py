@@ -24,6 +24,14 @@ def apply_budgets(
     return measured.where(keep)
 
 
+def drop_empty(measured: DataFrame) -> DataFrame:
+    """`apply_budgets` without limits for normalised files, of which only '' has no tokens.
+
+    So they need not be counted first.
+    """
+    return measured.where(F.col("content") != "")
+
+
 def prune_by_length(
     files: DataFrame,
     length: Column,

@@ -7,7 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrove.functions.text import relative_path
-from tallygrove.operators.budgets import MAX_BUDGET, MIN_BUDGET, apply_budgets, prune_by_length
+from tallygrove.operators.budgets import (
+    MAX_BUDGET,
+    MIN_BUDGET,
+    apply_budgets,
+    drop_empty,
+    prune_by_length,
+)
 from tallygrove.operators.hierarchy import tree_lines
 from tallygrove.operators.ignore_rules import (
     drop_ignored,
@@ -15,7 +21,7 @@ from tallygrove.operators.ignore_rules import (
     parse_ignore_files,
     repositories,
 )
-from tallygrove.operators.measure import measure
+from tallygrove.operators.measure import measure, normalise
 from tallygrove.operators.path_rules import RuleSet, effective_rules, select_paths
 from tallygrove.operators.ranking import DEFAULT_TOP
 from tallygrove.plans.incremental import incremental_run
@@ -84,10 +90,11 @@ def measured_files(
         measured = measure(read_text(listing), vocab, table=False)
     else:
         requests = listing.withColumn("pos", F.col("path"))
-        measured = incremental_run(
-            requests, store, vocab, read=read_text, unique=True
-        )
-    return within_budget(measured.select("path", "content", "tokens", "error"), options)
+        measured = incremental_run(requests, store, vocab, read=read_text, unique=True)
+    measured = measured.select("path", "content", "tokens", "error")
+    if options.limit_low or options.limit_high:
+        return within_budget(measured, options)
+    return drop_empty(measured)
 
 
 def within_budget(measured: DataFrame, options: Options) -> DataFrame:
@@ -96,6 +103,24 @@ def within_budget(measured: DataFrame, options: Options) -> DataFrame:
     )
 
 
+def merge_files(
+    files: DataFrame,
+    form: str = "text",
+    options: Options = Options(),
+    vocab: DataFrame | None = None,
+) -> DataFrame:
+    """Blocks of the merged output of (path, content, …), in path order, not measured before.
+
+    A sort reads its input twice. So it comes before the measure, which then runs once, and
+    not at all for text without budgets; with budgets it comes after it, for what is left.
+    """
+    if options.limit_low or options.limit_high:
+        return merge(within_budget(measure(files, vocab), options), form)
+    files = in_path_order(files)
+    files = normalise(files) if form == "text" else measure(files, vocab, table=False)
+    return merge(drop_empty(files), form, ordered=False)
+
+
 def merge(measured: DataFrame, form: str = "text", ordered: bool = True) -> DataFrame:
     """Blocks of the merged output, in path order unless that is not needed."""
     if form == "text":

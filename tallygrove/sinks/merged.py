@@ -3,14 +3,25 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallygrove.session import fits_one_wave
+
 # The parts of the merged text.
 RESULT_HEADER = "=== Result ==="
 FILE_HEADER = "File: "
 
 
 def in_path_order(files: DataFrame) -> DataFrame:
-    """By path; rows of one path as they came, and split between tasks where they are many."""
-    return files.orderBy("path", F.monotonically_increasing_id())
+    """By path; rows of one path as they came, and split between tasks where they are many.
+
+    What narrow operators add afterwards stays in order. A small input keeps one range for
+    each core, as these may have work to do.
+    """
+    numbered = files.withColumn("_row", F.monotonically_increasing_id())
+    if fits_one_wave(files):
+        cores = files.sparkSession.sparkContext.defaultParallelism
+        ranges = numbered.repartitionByRange(cores, "path", "_row")
+        return ranges.sortWithinPartitions("path", "_row").drop("_row")
+    return numbered.orderBy("path", "_row").drop("_row")
 
 
 def merged_blocks(measured: DataFrame) -> DataFrame:

@@ -37,6 +37,14 @@ def test_a_rollup_measures_once(spark):
     assert plan.count(PIECES) == 1
 
 
+def test_merged_output_is_ordered_and_measures_only_what_it_shows(spark):
+    for name, measures in [("merge_blocks", 0), ("merge_json", 1), ("merge_within_budget", 1)]:
+        merged = QUERIES[name](spark, SF)
+        paths = [row["path"] for row in merged.collect()]
+        assert paths == sorted(paths) and len(paths) > 20
+        assert executed(merged).count(PIECES) == measures
+
+
 @pytest.mark.parametrize("name", ["glob_include", "context_rules", "ignore_rules", "store_hits"])
 def test_contents_are_not_read_for_paths(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
