@@ -61,18 +61,6 @@ def _nodes(measured: DataFrame, order_col: str | None) -> DataFrame:
     )
 
 
-def _last_keys(nodes: DataFrame) -> DataFrame:
-    """Keys of the last child of every directory.
-
-    One maximum per directory, combined map-side, instead of a window that would sort all
-    children of one directory in one task.
-    """
-    last = nodes.where("key <> ''").groupBy(parent_key(F.col("key")).alias("parent"))
-    return last.agg(F.max(name_of(F.col("key"))).alias("name")).select(
-        F.concat("parent", F.lit("/"), "name").alias("key"), F.lit(True).alias("is_last")
-    )
-
-
 def rollup(measured: DataFrame, order_col: str | None = None) -> DataFrame:
     """(node, parent, name, depth, tokens): a directory has the tokens of all files below.
 
@@ -91,7 +79,11 @@ def rollup(measured: DataFrame, order_col: str | None = None) -> DataFrame:
 
 
 def last_children(nodes: DataFrame) -> DataFrame:
-    """(node) of every directory's last child."""
+    """(node) of every directory's last child.
+
+    One maximum per directory, combined map-side, instead of a window that would sort all
+    children of one directory in one task.
+    """
     last = nodes.where("depth > 0").groupBy("parent").agg(F.max("name").alias("name"))
     return last.select(F.concat("parent", F.array("name")).alias("node"))
 
@@ -105,42 +97,39 @@ def tree_lines(measured: DataFrame, order_col: str | None = None) -> DataFrame:
     """(node, line) of the drawn tree, to be ordered by `node`.
 
     Nodes without a name, the root among them, print nothing and indent nothing. The nodes
-    are written to the scratch folder first, as several joins read them.
+    are written to the scratch folder first. All that a line needs to know beyond its node
+    is one row per directory: the name of the last child and the indent of all children.
     """
-    nodes = materialise(_nodes(measured, order_col))
-    key = F.col("key")
-    flagged = nodes.join(_last_keys(nodes), "key", "left").withColumn("name", name_of(key))
-
-    # What each directory adds in front of its descendants; then the sum of these along the
-    # path of each directory. Files only look up their parent's.
-    dirs = flagged.where(F.col("is_dir") & (key != ""))
-    pads = dirs.select(
-        key.alias("above"),
-        F.when(F.col("name") == "", F.lit(""))
-        .when(F.col("is_last"), F.lit(GAP))
-        .otherwise(F.lit(BAR))
-        .alias("pad"),
+    key, name = F.col("key"), F.col("name")
+    nodes = materialise(_nodes(measured, order_col)).where("key <> ''")
+    nodes = nodes.withColumn("parent", parent_key(key)).withColumn("name", name_of(key))
+    is_last = name == F.col("last")
+    lasts = materialise(nodes.groupBy("parent").agg(F.max("name").alias("last")))
+
+    # What each directory adds in front of its descendants; then these along each path.
+    pad = F.when(name == "", F.lit("")).when(is_last, F.lit(GAP)).otherwise(F.lit(BAR))
+    dirs = nodes.where("is_dir").select("key", "parent", "name")
+    pads = join_lookup(dirs, lasts, on="parent", spread_by="key").select(
+        key.alias("above"), pad.alias("pad")
     )
-    chain = dirs.select(
-        "key", F.explode(F.concat(ancestor_keys(key), F.array(key))).alias("above")
-    ).where("above <> ''")
+    chain = dirs.select("key", F.explode(F.concat(ancestor_keys(key), F.array(key))).alias("above"))
     steps = F.array_sort(F.collect_list(F.struct(F.length("above").alias("at"), "pad")))
     indents = (
-        join_lookup(chain, pads, on="above", spread_by="key", how="inner")
-        .groupBy("key")
+        join_lookup(chain.where("above <> ''"), pads, on="above", spread_by="key", how="inner")
+        .groupBy(key.alias("parent"))
         .agg(F.array_join(F.transform(steps, lambda step: step["pad"]), "").alias("indent"))
-        .withColumnRenamed("key", "parent")
     )
-    shown = flagged.where("name <> ''").withColumn("parent", parent_key(key))
-    marker = F.when(F.col("is_last"), F.lit(LAST_BRANCH)).otherwise(F.lit(BRANCH))
-    return join_lookup(shown, indents, on="parent", spread_by="key", how="left").select(
-        components(key).alias("node"),
-        F.concat(
-            F.coalesce("indent", F.lit("")),
-            marker,
-            "name",
-            F.lit(" ("),
-            F.col("tokens").cast("string"),
-            F.lit(" tokens)"),
-        ).alias("line"),
+    children = lasts.join(indents, "parent", "left")
+
+    line = F.concat(
+        F.coalesce("indent", F.lit("")),
+        F.when(is_last, F.lit(LAST_BRANCH)).otherwise(F.lit(BRANCH)),
+        name,
+        F.lit(" ("),
+        F.col("tokens").cast("string"),
+        F.lit(" tokens)"),
+    )
+    shown = nodes.where("name <> ''")
+    return join_lookup(shown, children, on="parent", spread_by="key").select(
+        components(key).alias("node"), line.alias("line")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallygrove.functions.text import whole_mb
 from tallygrove.operators.skew import is_small, join_salted, keep_rows
 
+
 def latest_versions(log: DataFrame) -> DataFrame:
     """(path, mtime, seq) of the last write of every path, whatever its mtime."""
     return log.groupBy("path").agg(
