@@ -22,22 +22,17 @@ def is_small(keys: DataFrame) -> bool:
     return size[0] <= SMALL_ROWS and (size[1] or 0) <= SMALL_BYTES
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys above both limits. At most HOT_SHARE rows, whatever the size of `df`."""
     counts = df.groupBy(key).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
     return counts.where(
-        (F.col("_n") >= hot_rows) & (F.col("_n") * HOT_SHARE > total.scalar())
+        (F.col("_n") >= HOT_ROWS) & (F.col("_n") * HOT_SHARE > total.scalar())
     ).select(key)
 
 
 def join_salted(
-    left: DataFrame,
-    right: DataFrame,
-    on: str,
-    spread_by: str,
-    how: str = "left",
-    hot_rows: int = HOT_ROWS,
+    left: DataFrame, right: DataFrame, on: str, spread_by: str, how: str = "left"
 ) -> DataFrame:
     """Equi-join on one column, exact, with the rows of hot left keys spread over SALTS tasks.
 
@@ -45,7 +40,7 @@ def join_salted(
     tells left rows of one key apart. The broadcast list of hot keys is bounded by
     HOT_SHARE.
     """
-    hot = F.broadcast(hot_keys(left, on, hot_rows).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(left, on).withColumn("_hot", F.lit(True)))
     salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
     salted = left.join(hot, on, "left").withColumn(
         "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))

@@ -30,7 +30,8 @@ from tallygrove.sinks.merged import in_path_order, merged_blocks, merged_json
 from tallygrove.sinks.reports import report_json, report_lines
 from tallygrove.sinks.store import ResultStore
 from tallygrove.sources.decode import decode_utf8
-from tallygrove.sources.file_tree import list_files, read_contents
+from tallygrove.sources.file_tree import list_files, read_contents, stat_files
+from tallygrove.sources.path_list import read_path_list
 
 
 @dataclass(frozen=True)
@@ -85,12 +86,27 @@ def measured_files(
     listing = select_files(spark, root, options)
     if options.limit_low:
         listing = prune_by_length(listing, F.col("length"), options.min_tokens)
-    listing = materialise(listing)  # slim, and read more than once below
+    return _measured(listing.withColumn("pos", F.col("path")), options, vocab, store, unique=True)
+
+
+def listed_files(
+    spark: SparkSession,
+    list_location: str,
+    options: Options = Options(),
+    vocab: DataFrame | None = None,
+    store: ResultStore | None = None,
+) -> DataFrame:
+    """The same for the files named in a list, one row per line. Only budgets apply to them."""
+    requests = stat_files(read_path_list(spark, list_location))
+    return _measured(requests, options, vocab, store, unique=False)
+
+
+def _measured(requests, options, vocab, store, unique):
+    requests = materialise(requests)  # slim, and read more than once
     if store is None:
-        measured = measure(read_text(listing), vocab, table=False)
+        measured = measure(read_text(requests), vocab, table=False)
     else:
-        requests = listing.withColumn("pos", F.col("path"))
-        measured = incremental_run(requests, store, vocab, read=read_text, unique=True)
+        measured = incremental_run(requests, store, vocab, read=read_text, unique=unique)
     measured = measured.select("path", "content", "tokens", "error")
     if options.limit_low or options.limit_high:
         return within_budget(measured, options)

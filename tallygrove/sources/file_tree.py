@@ -7,6 +7,7 @@ the files that are left after path rules and store lookup.
 """
 
 import os
+import time
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -109,6 +110,36 @@ def list_files(spark: SparkSession, root: str, tasks: int | None = None) -> Data
     return entries.where("not is_dir").select(*LISTING.fieldNames())
 
 
+def _stat_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stat(path):
+        try:
+            if "://" not in path:
+                found = os.stat(path)
+                return found.st_size, int(max(found.st_mtime, 0))
+            files, inner = _opened(path)
+            info = files.get_file_info(inner)
+            if info.type != fs.FileType.NotFound:
+                return info.size, int(max(info.mtime.timestamp(), 0)) if info.mtime else 0
+        except OSError:
+            pass
+        return None, int(time.time())
+
+    for batch in batches:
+        stats = [stat(path) for path in batch.column("path").to_pylist()]
+        found = [pa.array([s[i] for s in stats], pa.int64()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays(
+            batch.columns + found, names=[*batch.schema.names, "length", "mtime"]
+        )
+
+
+def stat_files(paths: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Adds `length` and `mtime` to (path, …). A file that is not there has no length and is
+    as new as can be, so that nothing stored answers for it."""
+    tasks = tasks or paths.sparkSession.sparkContext.defaultParallelism
+    schema = T.StructType(paths.schema.fields).add("length", "long").add("mtime", "long")
+    return paths.repartition(tasks).mapInArrow(_stat_files, schema)
+
+
 def _read_bytes(path: str) -> bytes:
     if "://" in path:
         files, inner = _opened(path)
@@ -130,7 +161,7 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
             try:
-                content, error = _read_bytes(path) if length else b"", None
+                content, error = b"" if length == 0 else _read_bytes(path), None
             except OSError as failure:
                 content, error = b"", f"{READ_ERROR}: {failure.strerror or failure}"
             contents.append(content)

@@ -28,14 +28,18 @@ def start_incremental(
     first = store.next_seq()  # above every earlier write, also after a new checkpoint
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        seq = first + batch_id
-        requests = batch.withColumn("pos", F.monotonically_increasing_id())
-        log = store.log().where(F.col("seq") < seq)
-        missing = lookup_misses(requests, log)
-        texts = read(missing) if read else missing
-        store.append(measure(texts, vocab, table=read is None), seq=seq)
+        # Kept while it is read several times, so that rows keep their numbers, too.
+        requests = batch.withColumn("pos", F.monotonically_increasing_id()).persist()
+        try:
+            if requests.isEmpty():
+                return
+            seq = first + batch_id
+            log = store.log().where(F.col("seq") < seq)
+            missing = lookup_misses(requests, log)
+            texts = read(missing) if read else missing
+            store.append(measure(texts, vocab, table=read is None), seq=seq)
+        finally:
+            requests.unpersist()
 
     return (
         stream.writeStream.foreachBatch(process)

@@ -31,3 +31,11 @@ def spark(tmp_path_factory):
 def rows(spark):
     """rows(data, schema) -> DataFrame."""
     return lambda data, schema: spark.createDataFrame(data, schema)
+
+
+@pytest.fixture(params=["broadcast", "salted"])
+def lookups(request, monkeypatch):
+    """Slim lookups as for small tables, and as for large ones with hot keys."""
+    if request.param == "salted":
+        monkeypatch.setattr("tallygrove.operators.skew.LOOKUP_BYTES", -1)
+        monkeypatch.setattr("tallygrove.operators.skew.HOT_ROWS", 2)

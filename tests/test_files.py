@@ -144,6 +144,21 @@ def test_measured_files_with_and_without_store(spark, root, tmp_path):
     assert len(seqs) == 1
 
 
+def test_listed_files(spark, root, tmp_path):
+    listed = ["src/test.txt", "missing", "src", ".hid", "empty.txt", "src/test.txt", "link.js", "bad.txt"]
+    (tmp_path / "list").write_text("\n".join(f"{root}/{name}" for name in listed) + "\n \n")
+    store = ResultStore.create(spark, str(tmp_path / "store"))
+    want = ["src/test.txt", ".hid", "src/test.txt", "link.js"]
+    for where in (None, store, store):
+        found = plans.listed_files(spark, str(tmp_path / "list"), store=where).collect()
+        assert sorted(r["path"][len(root) + 1 :] for r in found) == sorted(want)
+        assert all(r["error"] is None for r in found)
+    assert [r["count"] for r in store.log().groupBy("seq").count().collect()] == [4]
+    limits = Options(ignore=["**"], min_tokens=2, limit_low=True)
+    kept = plans.listed_files(spark, str(tmp_path / "list"), limits).collect()
+    assert {r["tokens"] for r in kept} == {2, 3} and len(kept) == 3
+
+
 def test_rule_sets(spark, tmp_path, rows):
     (tmp_path / "rules.json").write_text(
         json.dumps({

@@ -57,7 +57,7 @@ def test_small_tree(spark):
     check(spark, files)
 
 
-def test_odd_paths(spark):
+def test_odd_paths(spark, lookups):
     """Empty names, files that are directories, repeated paths, names around the slash."""
     paths = ["/a/b", "a", "a/b", "a/b/c", "a-b/c", "a/b", "a//b", "x/", "é/z", "a b/c", "/", "b/c/d/e/f"]
     check(spark, [(path, 3 + 2 * i, i) for i, path in enumerate(paths)])

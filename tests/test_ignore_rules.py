@@ -33,7 +33,7 @@ def random_tree(seed):
 
 @pytest.mark.parametrize("rules", [RULES, MORE])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_equal_to_git(spark, tmp_path, rules, seed):
+def test_equal_to_git(spark, tmp_path, lookups, rules, seed):
     paths = [p for p in random_tree(seed)]
     for path in paths + list(rules):
         target = tmp_path / path

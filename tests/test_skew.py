@@ -24,26 +24,35 @@ def right(spark):
     )
 
 
-def test_hot_keys(left):
-    assert [r["key"] for r in hot_keys(left, "key", hot_rows=100).collect()] == ["hot"]
+@pytest.fixture
+def low_limits(monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 100)
+
+
+def test_few_rows_are_never_hot(left):
     assert hot_keys(left, "key").count() == 0
 
 
+def test_hot_keys(left, low_limits):
+    assert [r["key"] for r in hot_keys(left, "key").collect()] == ["hot"]
+
+
 @pytest.mark.parametrize("how", ["left", "inner", "left_anti"])
 @pytest.mark.parametrize("hot_rows", [100, 1_000_000])
-def test_salted_join_is_exact(left, right, how, hot_rows):
+def test_salted_join_is_exact(monkeypatch, left, right, how, hot_rows):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
     some = right.where("key <> 'k7' and key not like 'k1%'")
     plain = sorted(map(tuple, left.join(some, "key", how).collect()))
-    salted = join_salted(left, some, "key", "row", how, hot_rows)
+    salted = join_salted(left, some, "key", "row", how)
     found = salted.select(*left.join(some, "key", how).columns).collect()
     assert sorted(map(tuple, found)) == plain
 
 
-def test_hot_rows_are_spread(spark, left, right):
+def test_hot_rows_are_spread(spark, left, right, low_limits):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        joined = join_salted(left, right, "key", "row", "inner", hot_rows=100)
+        joined = join_salted(left, right, "key", "row", "inner")
         parts = joined.where("key = 'hot'").groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
