@@ -130,15 +130,16 @@ def _with_ancestors(key: str) -> Column:
 
 
 def drop_ignored(
-    files: DataFrame, rules: DataFrame, repositories: DataFrame | None = None
+    files: DataFrame, rules: DataFrame, repositories: DataFrame | None = None, top: str = ""
 ) -> DataFrame:
     """Rows of (path, …) that no ignore rule hides.
 
     A file goes if its own strongest rule ignores it, or if any directory above it is
     ignored, whatever rules say about what lies beneath. `base` and `path` are relative to
     the same root. With `repositories` (base), rules of the git kinds hold only below one,
-    and those from above the innermost one do not reach into it. Give a listing, as the
-    rows are joined on their directory.
+    and those from above the innermost one do not reach into it. `top` is the directory the
+    files were listed from: neither it nor what is above is judged, but rules from there
+    hold. Give a listing, as the rows are joined on their directory.
     """
     keyed = files.withColumn("_key", node_key(F.col("path")))
     keyed = keyed.withColumn("_dir", parent_key(F.col("_key")))
@@ -169,7 +170,8 @@ def drop_ignored(
     # Such a directory is hidden if it or one above it is ignored.
     judged = F.exists(
         _with_ancestors("_dir"),
-        lambda key: (key != "") & _ignored(key, F.col("rules"), is_dir=True),
+        lambda key: (F.length(key) > len(top) + 1 if top else key != "")
+        & _ignored(key, F.col("rules"), is_dir=True),
     )
     stacks = stacks.select("_dir", F.sort_array("rules", asc=False).alias("rules"))
     stacks = stacks.withColumn("hidden", judged)

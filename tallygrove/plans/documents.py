@@ -1,5 +1,6 @@
 """The runs a user starts: select, measure, filter by budget, then merge, draw or report."""
 
+import os
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -16,6 +17,8 @@ from tallygrove.operators.budgets import (
 )
 from tallygrove.operators.hierarchy import tree_lines
 from tallygrove.operators.ignore_rules import (
+    EXCLUDE_FILE,
+    IGNORE_FILES,
     drop_ignored,
     is_ignore_file,
     parse_ignore_files,
@@ -68,11 +71,39 @@ def select_files(spark: SparkSession, root: str, options: Options = Options()) -
     chosen = select_paths(listing, rules.filters, rules.ignores, inner)
     if not options.ignore_files:
         return chosen
-    ignore_files = read_text(listing.where(is_ignore_file(inner)))
-    rules = parse_ignore_files(ignore_files.withColumn("path", inner))
-    relative = chosen.withColumn("full", F.col("path")).withColumn("path", inner)
-    tops = repositories(listing.withColumn("path", inner)) if options.repositories_only else None
-    return drop_ignored(relative, rules, tops).withColumn("path", F.col("full")).drop("full")
+    # From here on paths count from the top of the file system, as rules above `root` hold, too.
+    host, top = _place(root)
+    placed = F.concat(F.lit(top + "/" if top else ""), inner)
+    speaking = listing.where(is_ignore_file(inner) | inner.rlike(r"(^|/)\.git(/|$)"))
+    speaking = speaking.withColumn("place", placed).unionByName(_above(spark, host, top))
+    ignore_files = read_text(speaking.where(is_ignore_file(F.col("place"))))
+    rules = parse_ignore_files(ignore_files.select(F.col("place").alias("path"), "content"))
+    tops = repositories(speaking.select(F.col("place").alias("path")))
+    kept = drop_ignored(
+        chosen.withColumn("full", F.col("path")).withColumn("path", placed),
+        rules,
+        tops if options.repositories_only else None,
+        top,
+    )
+    return kept.withColumn("path", F.col("full")).drop("full")
+
+
+def _place(root: str) -> tuple[str, str]:
+    """What comes before the top of the file system, and the path of `root` below it."""
+    if "://" in root:
+        scheme, rest = root.split("://", 1)
+        host, _, path = rest.partition("/")
+        return f"{scheme}://{host}/", path.strip("/")
+    return "/", os.path.abspath(root).strip("/")
+
+
+def _above(spark: SparkSession, host: str, top: str) -> DataFrame:
+    """A listing, with `place`, of what may speak for `top` in the directories above it."""
+    names = [*IGNORE_FILES, EXCLUDE_FILE.strip("/"), ".git"]
+    parts = top.split("/") if top else []
+    places = ["/".join([*parts[:k], name]) for k in range(len(parts)) for name in names]
+    candidates = spark.createDataFrame([(host + p, p) for p in places], "path string, place string")
+    return stat_files(candidates, tasks=1).where("length is not null")
 
 
 def measured_files(

@@ -131,6 +131,34 @@ def test_select_files(spark, root):
         plans.select_files(spark, root, Options(include=["["]))
 
 
+def test_rules_above_the_root_hold(spark, tmp_path):
+    texts = {
+        "r/.git/HEAD": "x",
+        "r/.gitignore": "*.log\n/src/gen\nsrc/\n",
+        "r/.git/info/exclude": "*.tmp\n",
+        "r/src/a.rs": "x",
+        "r/src/a.log": "x",
+        "r/src/a.tmp": "x",
+        "r/src/gen/b.rs": "x",
+        "r/src/in/.gitignore": "!k.log\n",
+        "r/src/in/k.log": "x",
+        "o/.gitignore": "*",
+        "o/a.rs": "x",
+    }
+    for path, text in texts.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    for scheme in ("", "file://"):
+        root = f"{scheme}{tmp_path}/r/src"
+        found = names(root, plans.select_files(spark, root))
+        assert found == {"a.rs", "in/.gitignore", "in/k.log"}
+    # Not in a repository.
+    other = f"{tmp_path}/o"
+    assert names(other, plans.select_files(spark, other)) == {".gitignore", "a.rs"}
+    everywhere = Options(repositories_only=False)
+    assert names(other, plans.select_files(spark, other, everywhere)) == set()
+
+
 def test_measured_files_with_and_without_store(spark, root, tmp_path):
     store = ResultStore.create(spark, str(tmp_path / "store"))
     options = Options(ignore=[".git/**"], min_tokens=2, limit_low=True)
