@@ -88,14 +88,15 @@ def lookup_misses(
     return keep_rows(requests, keys, ["pos"])
 
 
-def answer(requests: DataFrame, results: DataFrame) -> DataFrame:
+def answer(requests: DataFrame, results: DataFrame, cut: bool | None = None) -> DataFrame:
     """One result row per request; repeated requests get equal rows, paths may be hot.
 
     `requests` has (pos, path); `results` each path once.
     """
-    return join_salted(
-        requests.select("pos", "path"), results, on="path", spread_by="pos", how="inner"
-    )
+    wanted = requests.select("pos", "path")
+    if few(requests) if cut is None else cut:
+        return wanted.join(results, "path")  # too few for a hot path
+    return join_salted(wanted, results, on="path", spread_by="pos", how="inner")
 
 
 def store_info(log: DataFrame, files: DataFrame) -> DataFrame:

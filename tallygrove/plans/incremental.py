@@ -49,4 +49,4 @@ def incremental_run(
         )
     if unique:
         return requests.select("pos", "path").join(results, "path")
-    return answer(requests, results)
+    return answer(requests, results, cut)

@@ -30,9 +30,13 @@ def lookup_paths(requests: DataFrame, corpus: DataFrame) -> DataFrame:
     it if the list is small. A path requested very often is salted.
     """
     paths = requests.select("path")
-    paths = F.broadcast(paths) if is_small(paths) else paths.distinct()
-    listed = corpus.join(paths, "path", "left_semi").withColumn("_found", F.lit(True))
-    found = join_salted(requests, listed, on="path", spread_by="pos", how="left")
+    few = is_small(paths)
+    listed = corpus.join(F.broadcast(paths) if few else paths.distinct(), "path", "left_semi")
+    listed = listed.withColumn("_found", F.lit(True))
+    if few:
+        found = requests.join(listed, "path", "left")  # too few for a hot path
+    else:
+        found = join_salted(requests, listed, on="path", spread_by="pos")
     earlier = F.col("error") if "error" in corpus.columns else F.lit(None).cast("string")
     return found.withColumn(
         "error", F.when(F.col("_found").isNull(), F.lit(READ_ERROR)).otherwise(earlier)

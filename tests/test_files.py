@@ -97,7 +97,10 @@ def test_visible_files(spark, root):
     assert not any(os.path.basename(r["path"])[0] in "._" for r in rows)
 
 
-def test_path_list(spark, root, tmp_path):
+@pytest.mark.parametrize("few", [True, False])
+def test_path_list(spark, root, tmp_path, monkeypatch, few):
+    monkeypatch.setattr("tallygrove.sources.path_list.is_small", lambda keys: few)
+    monkeypatch.setattr("tallygrove.operators.skew.HOT_ROWS", 2)
     names = ["src/test.txt", "", " \t", "missing.txt", "src/test.txt", " test.js", ".hid"]
     (tmp_path / "list").write_text("\n".join(f"{root}/{n}" if n.strip() else n for n in names))
     listed = read_path_list(spark, str(tmp_path / "list"))
