@@ -9,7 +9,6 @@ the files that are left after path rules and store lookup.
 import os
 import time
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyarrow import fs
@@ -30,18 +29,18 @@ MAX_WAVES = 16
 _ENTRY = "path string, length bigint, mtime bigint, is_dir boolean"
 
 
-@lru_cache(maxsize=64)
-def _mounted(top: str) -> tuple:
-    files, base = fs.FileSystem.from_uri(top)
-    return files, base.rstrip("/")
+_MOUNTED = {}  # file systems a task has opened, by scheme and host
 
 
 def _opened(uri: str) -> tuple:
     """File system, and path in it, of a URI whose path may hold any character."""
     scheme, rest = uri.split("://", 1)
     host, _, path = rest.partition("/")
-    files, base = _mounted(f"{scheme}://{host}/")
-    return files, f"{base}/{path}"
+    top = f"{scheme}://{host}/"
+    if top not in _MOUNTED:
+        _MOUNTED[top] = fs.FileSystem.from_uri(top)
+    files, base = _MOUNTED[top]
+    return files, f"{base.rstrip('/')}/{path}"
 
 
 def _entries(directory: str) -> Iterator[tuple]:
