@@ -1,11 +1,30 @@
 """The numbered queries: each applies an operator, with production parameters, to a whole table."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallygrove.llm import decontaminate, line_dedup, toxicity
+from tallygrove.llm import decontaminate, line_dedup, pack, simhash, toxicity
 from tallygrove.llm.common import crc, drawn_rows, only, read
 
 
+def op2_packing(spark, sf_dir):
+    """The pieces of all documents in sequences of at most 2048 tokens."""
+    documents = only(read(spark, sf_dir, "documents"), doc_id="bigint", text="string")
+    pieces = pack.pack(documents, public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op4_simhash(spark, sf_dir):
+    """Each document's fingerprint and the smallest id of the documents it is linked with."""
+    documents = only(read(spark, sf_dir, "documents"), doc_id="bigint", text="string")
+    found = simhash.near_duplicates(documents)
+    return found.select(
+        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
 def op5_line_dedup(spark, sf_dir):
     """Lines of keys found in ten documents or more go from every document."""
     documents = only(read(spark, sf_dir, "documents"), doc_id="bigint", text="string")
@@ -41,6 +60,8 @@ def op8_toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_packing": op2_packing,
+    "op4_simhash": op4_simhash,
     "op5_line_dedup": op5_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
