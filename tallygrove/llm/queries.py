@@ -3,10 +3,22 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallygrove.llm import decontaminate, line_dedup, pack, simhash, toxicity
+from tallygrove.llm import decontaminate, line_dedup, neighbours, pack, quality, simhash, toxicity
 from tallygrove.llm.common import crc, drawn_rows, only, read
 
 
+def op1_quality(spark, sf_dir):
+    """A quality score of every document; a quarter of the ids is never learnt from."""
+    documents = only(read(spark, sf_dir, "documents"), doc_id="bigint", text="string")
+    labels = read(spark, sf_dir, "labels")
+    held_out = crc() % 4 == 2
+    training = drawn_rows(documents, labels, "quality", ~held_out, quality.TRAIN_ROWS_PER_CLASS)
+    scored = quality.score(documents, quality.fit(training), out="score")
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op2_packing(spark, sf_dir):
     """The pieces of all documents in sequences of at most 2048 tokens."""
     documents = only(read(spark, sf_dir, "documents"), doc_id="bigint", text="string")
@@ -59,12 +71,19 @@ def op8_toxicity(spark, sf_dir):
     )
 
 
+def op9_neighbours(spark, sf_dir):
+    """The five nearest rows to every fiftieth vector."""
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op4_simhash": op4_simhash,
     "op5_line_dedup": op5_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
+    "op9_neighbours": op9_neighbours,
 }
 
 ORACLES = {}
