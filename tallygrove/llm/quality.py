@@ -1,8 +1,8 @@
 """Quality: labelled neighbours vote in a latent-semantic space.
 
 A text's terms are the trigrams of its byte classes (lower case, upper case, digit, blank, line
-end, beyond ASCII, and each mark by itself), hashed to `TERMS` numbers, and a word that follows
-itself. Terms are weighted log(1 + count) * idf and projected on the leading singular vectors of
+end, beyond ASCII, and each mark by itself), hashed, and words that follow themselves, as one
+term for each step of their share that a text reaches. Terms are weighted log(1 + count) * idf and projected on the leading singular vectors of
 the labelled sample. Each document's vector is compared with all labelled vectors by exact
 cosines, a block of documents at a time; the `NEIGHBOURS` nearest vote for their label with
 weight cosine ** `SHARPNESS`.
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from tallygrove.llm.common import extended, utf8
 
 TERMS = 2048
+REPEATS = 16  # of these, for steps of the share of words that follow themselves
 DIMENSIONS = 48
 NEIGHBOURS = 20
 SHARPNESS = 4
@@ -53,14 +54,16 @@ class QualityModel:
 
 def term_counts(text: bytes) -> np.ndarray:
     counts = np.zeros(TERMS)
+    grams_end = TERMS - REPEATS
     data = np.frombuffer(text, np.uint8)
     for start in range(0, max(0, len(data) - 2), PIECE):
         kinds = CLASSES[data[start : start + PIECE + 2]]
         grams = (kinds[:-2] * N_CLASSES + kinds[1:-1]) * N_CLASSES + kinds[2:]
         numbers = (grams * np.uint32(2654435769)) >> np.uint32(32 - TERMS.bit_length() + 1)
-        counts += np.bincount(numbers, minlength=TERMS)
+        counts += np.bincount(np.minimum(numbers, grams_end - 1), minlength=TERMS)
     words = text.split()
-    counts[0] += sum(map(eq, words, words[1:]))
+    again = sum(map(eq, words, words[1:]))
+    counts[grams_end : grams_end + again * REPEATS // max(1, len(words) - 1)] = again
     return counts
 
 
