@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallygrove.llm import decontaminate, line_dedup, neighbours, pack, quality, simhash, toxicity
+from tallygrove.llm import decontaminate, license_scan, line_dedup, neighbours, pack, quality, simhash, toxicity
 from tallygrove.llm.common import crc, drawn_rows, only, read
 
 
@@ -28,6 +28,12 @@ def op2_packing(spark, sf_dir):
     )
 
 
+def op3_license_scan(spark, sf_dir):
+    """License notices in each document."""
+    documents = only(read(spark, sf_dir, "documents"), doc_id="bigint", text="string")
+    return license_scan.scan(documents, license_scan.notices(spark))
+
+
 def op4_simhash(spark, sf_dir):
     """Each document's fingerprint and the smallest id of the documents it is linked with."""
     documents = only(read(spark, sf_dir, "documents"), doc_id="bigint", text="string")
@@ -79,6 +85,7 @@ def op9_neighbours(spark, sf_dir):
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
+    "op3_license_scan": op3_license_scan,
     "op4_simhash": op4_simhash,
     "op5_line_dedup": op5_line_dedup,
     "op7_decontamination": op7_decontamination,
@@ -86,4 +93,3 @@ QUERIES = {
     "op9_neighbours": op9_neighbours,
 }
 
-ORACLES = {}
