@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallygrove.llm import decontaminate, license_scan, line_dedup, neighbours, pack, quality, simhash, toxicity
+from tallygrove.llm import decontaminate, html_text, license_scan, line_dedup, neighbours, pack, quality, simhash, toxicity
 from tallygrove.llm.common import crc, drawn_rows, only, read
 
 
@@ -82,6 +82,11 @@ def op9_neighbours(spark, sf_dir):
     return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op10_html_extraction(spark, sf_dir):
+    """The visible text of every page."""
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -91,5 +96,6 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_neighbours": op9_neighbours,
+    "op10_html_extraction": op10_html_extraction,
 }
 
