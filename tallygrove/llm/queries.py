@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallygrove.llm import decontaminate, html_text, license_scan, line_dedup, neighbours, pack, quality, simhash, toxicity
+from tallygrove.llm import chat, decontaminate, html_text, license_scan, line_dedup, neighbours, pack, quality, simhash, toxicity
 from tallygrove.llm.common import crc, drawn_rows, only, read
 
 
@@ -50,6 +50,17 @@ def op5_line_dedup(spark, sf_dir):
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_chat_formatting(spark, sf_dir):
+    """Canonical turns of every conversation, from raw transcripts without their role column.
+
+    Probabilities are counted over the conversations whose crc32(conv_id) mod 4 is not 2.
+    """
+    raw = chat.transcripts(read(spark, sf_dir, "conversations"))
+    held_out = crc("conv_id") % 4 == 2
+    model = chat.fit(raw.where(F.coalesce(~held_out, F.lit(True))))
+    return chat.parse(raw.drop("role"), model).withColumn("held_out", held_out)
+
+
 def op7_decontamination(spark, sf_dir):
     """Words of each document inside windows of benchmark items."""
     documents = only(read(spark, sf_dir, "documents"), doc_id="bigint", text="string")
@@ -93,6 +104,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_simhash": op4_simhash,
     "op5_line_dedup": op5_line_dedup,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
     "op9_neighbours": op9_neighbours,
