@@ -30,6 +30,11 @@ def only(df: DataFrame, **columns) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()])
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns named by their place, so that no name of the caller's can clash."""
+    return df.toDF(*[f"c{place}" for place in range(len(df.columns))])
+
+
 def extended(df: DataFrame, **columns) -> T.StructType:
     """The schema of `df` with the named columns added, given as DDL types."""
     added = [T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in columns.items()]
@@ -59,8 +64,9 @@ def drawn_rows(documents: DataFrame, labels: DataFrame, label: str, train, per_c
     """(text, label) of at most `per_class` labelled rows for each of the classes 0 and 1.
 
     `train` is a condition on `doc_id`. The rows are those with the smallest hashes of their id,
-    so equal tables give equal samples. Only (id, label) pairs are ranked, by a top-N a task, and
-    only the drawn pairs, bounded by `per_class`, are broadcast.
+    so equal tables give equal samples; an id counts once, with its larger label and smaller text.
+    Only (id, label) pairs are ranked, by a top-N a task, and only the drawn pairs, bounded by
+    `per_class`, are broadcast.
     """
     wanted = labels.select(F.col("doc_id").cast("bigint"), F.col(label).cast("int").alias("label"))
     wanted = wanted.where(train & F.col("doc_id").isNotNull()).withColumn("_rank", F.xxhash64("doc_id"))
@@ -68,6 +74,6 @@ def drawn_rows(documents: DataFrame, labels: DataFrame, label: str, train, per_c
         wanted.where(F.col("label") == value).orderBy("_rank", "doc_id").limit(per_class)
         for value in (0, 1)
     ]
-    pairs = classes[0].union(classes[1]).drop("_rank").dropDuplicates(["doc_id"])
-    texts = only(documents, doc_id="bigint", text="string")
-    return texts.join(F.broadcast(pairs), "doc_id").select("text", "label")
+    pairs = classes[0].union(classes[1]).groupBy("doc_id").agg(F.max("label").alias("label"))
+    texts = only(documents, doc_id="bigint", text="string").join(F.broadcast(pairs), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import extended, only, utf8
+from tallygrove.llm.common import extended, numbered, only, utf8
 
 WINDOW = 10
 ITEM_WORDS = 200_000  # of one automaton
@@ -193,8 +193,9 @@ def with_matches(
     `hit_spans` are [first word, end) pairs, in order and not touching; `items` the ids, as
     sorted strings, of items with a window that occurs. Such columns of `documents` are replaced.
     """
-    found = documents.drop("n_words", "hit_spans", "items")
-    place = found.columns.index(text)
+    kept = documents.drop("n_words", "hit_spans", "items")
+    place = kept.columns.index(text)
+    found = numbered(kept)
     spans_type = "array<struct<start:bigint,end:bigint>>"
     schema = extended(found, n_words="bigint", hit_spans=spans_type, items="array<string>")
     names, span = schema.names, pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -220,7 +221,7 @@ def with_matches(
                 yield pa.RecordBatch.from_arrays([*columns, *added], names)
 
         found = found.mapInArrow(matched, schema)
-    return found
+    return found.toDF(*kept.columns, *names[-3:])
 
 
 def united(spans: list) -> list:
@@ -236,7 +237,7 @@ def united(spans: list) -> list:
 
 def without_spans(text: bytes, spans: list) -> bytes:
     """The text without the words of the spans and what stands between these words."""
-    places = [m.span() for m in WORD.finditer(text)]
+    places = [m.span() for m in WORD.finditer(text.lower())]
     out, at = [], 0
     for start, end in spans:
         out.append(text[at : places[start][0]])
@@ -256,13 +257,11 @@ def decontaminate(
 
     Coverage is the share of a document's words that are hit. A text without hits is left as it is.
     """
-    names = documents.columns
-    place = names.index(text)
-    found = with_matches(documents, benchmark, text, window=window, **options)
+    rows, place = numbered(documents), documents.columns.index(text)
+    names = rows.columns
+    found = with_matches(rows, benchmark, names[place], window=window, **options)
     hit = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
-    kept = found.where(hit <= F.lit(most_coverage) * F.col("n_words")).select(
-        *[F.col(f"`{n}`") for n in names], F.col("hit_spans").alias("_spans")
-    )
+    kept = found.where(hit <= F.lit(most_coverage) * F.col("n_words")).select(*names, "hit_spans")
 
     def cut(batches):
         for batch in batches:
@@ -272,5 +271,5 @@ def decontaminate(
             columns[place] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return kept.mapInArrow(cut, documents.schema)
+    return kept.mapInArrow(cut, rows.schema).toDF(*documents.columns)
 

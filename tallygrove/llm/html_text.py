@@ -23,7 +23,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallygrove.llm.common import extended
+from tallygrove.llm.common import extended, numbered
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
@@ -319,16 +319,12 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFram
 
     A column named like `out` is replaced.
     """
-    place = pages.columns.index(html)
-    kept = pages.drop(html, out)
-    at = [k for k, name in enumerate(pages.columns) if name in kept.columns]
+    names = pages.drop(html, out).columns
+    rows = numbered(pages.select(f"`{html}`", *[f"`{name}`" for name in names]))
 
     def extracted(batches):
         for batch in batches:
-            texts = [visible_text(x) for x in batch.column(place).to_pylist()]
-            columns = [batch.column(k) for k in at]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(texts, pa.string())], [*(batch.schema.names[k] for k in at), out]
-            )
+            texts = pa.array([visible_text(x) for x in batch.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], texts], [*batch.schema.names[1:], "text"])
 
-    return pages.mapInArrow(extracted, extended(kept, **{out: "string"}))
+    return rows.mapInArrow(extracted, extended(rows.drop("c0"), text="string")).toDF(*names, out)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import extended, utf8
+from tallygrove.llm.common import extended, numbered, utf8
 from tallygrove.session import materialise
 
 FILTER_BITS_LOG2 = 26  # 8 MB a filter, whatever the input
@@ -179,6 +179,9 @@ def dedup_lines(
     documents that hold them, with equal results.
     """
     documents = documents.drop("n_lines", "n_dropped")
+    named = [*documents.columns, "n_lines", "n_dropped"]
+    doc_id, text = (f"c{documents.columns.index(name)}" for name in (doc_id, text))
+    documents = numbered(documents)
     repeated = materialise(repeated_keys(documents, doc_id, text, min_docs, min_chars, bits))
     names = documents.columns
     id_at, text_at = names.index(doc_id), names.index(text)
@@ -215,7 +218,7 @@ def dedup_lines(
             for batch in batches:
                 yield stripped(batch, names, lambda row: known)
 
-        return documents.mapInArrow(by_broadcast, schema)
+        return documents.mapInArrow(by_broadcast, schema).toDF(*named)
 
     def occurrences(batches):
         for batch in batches:
@@ -239,4 +242,4 @@ def dedup_lines(
             keys = batch.column(len(names)).to_pylist()
             yield stripped(batch, names, lambda row: {k["digest"]: k["first"] for k in keys[row] or ()})
 
-    return joined.select(*[F.col(f"`{n}`") for n in names], "_keys").mapInArrow(by_join, schema)
+    return joined.select(*names, "_keys").mapInArrow(by_join, schema).toDF(*named)

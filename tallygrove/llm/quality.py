@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallygrove.llm.common import extended, utf8
+from tallygrove.llm.common import extended, numbered, utf8
 
 TERMS = 2048
 REPEATS = 16  # of these, for steps of the share of words that follow themselves
@@ -121,6 +121,7 @@ def score(documents: DataFrame, model: QualityModel, text: str = "text", out: st
     sent = documents.sparkSession.sparkContext.broadcast(fields)
     kept = documents.drop(out)
     place = kept.columns.index(text)
+    rows = numbered(kept)
 
     def scored(batches):
         model = QualityModel(*sent.value)
@@ -130,7 +131,7 @@ def score(documents: DataFrame, model: QualityModel, text: str = "text", out: st
             found = [votes(unit(weighted(b, model.idf) @ model.projection), model) for b in blocks]
             scores = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, out]
+                [*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"]
             )
 
-    return kept.mapInArrow(scored, extended(kept, **{out: "double"}))
+    return rows.mapInArrow(scored, extended(rows, score="double")).toDF(*kept.columns, out)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import extended, only, utf8
+from tallygrove.llm.common import extended, numbered, only, utf8
 from tallygrove.session import materialise
 
 SHINGLE_WORDS = 4
@@ -62,14 +62,15 @@ def with_fingerprints(documents: DataFrame, text: str = "text", size: int = SHIN
     """All columns of `documents` and `fingerprint`, the 64 bits as a bigint. No shuffle."""
     documents = documents.drop("fingerprint")
     place = documents.columns.index(text)
-    schema = extended(documents, fingerprint="bigint")
+    rows = numbered(documents)
+    schema = extended(rows, fingerprint="bigint")
 
     def marked(batches):
         for batch in batches:
             found = np.array([fingerprint(x, size) for x in utf8(batch.column(place))], "<u8")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view("<i8"))], schema.names)
 
-    return documents.mapInArrow(marked, schema)
+    return rows.mapInArrow(marked, schema).toDF(*documents.columns, "fingerprint")
 
 
 class BKTree:
@@ -261,12 +262,14 @@ def drop_near_duplicates(
     `BROADCAST_ROWS`, else joined.
     """
     names = documents.columns
-    rows = materialise(with_fingerprints(documents, text, size).withColumn("_row", F.monotonically_increasing_id()))
-    marked = rows.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), "fingerprint", "_row")
+    key, text = (f"c{names.index(name)}" for name in (doc_id, text))
+    rows = with_fingerprints(numbered(documents), text, size)
+    rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()))
+    marked = rows.select(F.col(key).cast("bigint").alias("doc_id"), "fingerprint", "_row")
     rooted = marked.join(named_fingerprints(marked, radius).select("fingerprint", "root"), "fingerprint")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
     stay = rooted.groupBy("root").agg(F.min(order)["_row"].alias("_row"))
     gone = materialise(marked.select("_row").join(stay.select("_row"), "_row", "left_anti"))
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return rows.join(gone, "_row", "left_anti").select(*[F.col(f"`{n}`") for n in names])
+    return rows.join(gone, "_row", "left_anti").drop("_row", "fingerprint").toDF(*names)

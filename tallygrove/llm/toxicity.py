@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import extended, packed
+from tallygrove.llm.common import extended, numbered, packed
 from tallygrove.session import materialise
 
 LENGTHS = (4, 5, 6)
@@ -157,6 +157,7 @@ def score(documents: DataFrame, model: ToxicityModel, text: str = "text", out: s
     intercept = model.intercept
     kept = documents.drop(out)
     place = kept.columns.index(text)
+    rows = numbered(kept)
 
     def scored(batches):
         weight = weights.value
@@ -166,7 +167,7 @@ def score(documents: DataFrame, model: ToxicityModel, text: str = "text", out: s
             margin = np.bincount(row, weight[bucket], batch.num_rows) + intercept
             scores = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, out]
+                [*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"]
             )
 
-    return kept.mapInArrow(scored, extended(kept, **{out: "double"}))
+    return rows.mapInArrow(scored, extended(rows, score="double")).toDF(*kept.columns, out)

@@ -1,0 +1,90 @@
+"""Decontamination against a search for every window in every document."""
+
+import random
+import re
+
+import pytest
+
+from tallygrove.llm import decontaminate as d
+
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def words(text):
+    return re.findall(WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def expected(text, items, window):
+    tokens, hit, found = words(text), set(), set()
+    for item, own in items:
+        own = words(own)
+        size = min(window, len(own))
+        for k in range(len(own) - size + 1) if size else ():
+            for at in range(len(tokens) - size + 1):
+                if tokens[at : at + size] == own[k : k + size]:
+                    hit.update(range(at, at + size))
+                    found.add(item)
+    return len(tokens), hit, found
+
+
+def random_case(seed):
+    draw = random.Random(seed)
+    letters = ["a", "B", "c", "é", "7"]
+    items = [(i, " ".join(draw.choices(letters, k=draw.choice([0, 1, 2, 3, 5, 9])))) for i in range(8)] + [(8, None)]
+    texts = ["-".join(draw.choices([*letters, "zz"], k=draw.randint(0, 40))) for _ in range(40)]
+    return items, [*texts, None, "", "..."]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_automaton(seed):
+    items, texts = random_case(seed)
+    for window in (2, 3, 4):
+        automaton = d.ItemAutomaton([(str(i), d.words((t or "").encode())) for i, t in items], window)
+        for text in texts:
+            count, hit, found = expected(text, items, window)
+            tokens = d.words((text or "").encode())
+            spans, ids = automaton.matches(tokens)
+            assert len(tokens) == count
+            assert {w for a, b in spans for w in range(a, b)} == hit
+            assert ids == {str(i) for i in found}
+            assert spans == d.united(spans)
+
+
+@pytest.mark.parametrize("item_words", [10**6, 6])
+def test_tables(spark, item_words):
+    items, texts = random_case(99)
+    schema = "doc_id bigint, text string, items int, c0 int, hit_spans string"
+    documents = spark.createDataFrame([(n, t, 1, 2, "x") for n, t in enumerate([*texts, texts[0]])], schema)
+    benchmark = spark.createDataFrame([(*i, "x") for i in [*items, items[0]]], "item_id bigint, text string, n_words string")
+    found = d.with_matches(documents, benchmark, window=3, item_words=item_words)
+    assert found.columns == ["doc_id", "text", "c0", "n_words", "hit_spans", "items"]
+    rows = found.collect()
+    assert len(rows) == len(texts) + 1
+    for row in rows:
+        count, hit, ids = expected(row["text"], items, 3)
+        assert row["n_words"] == count
+        assert {w for s in row["hit_spans"] for w in range(s["start"], s["end"])} == hit
+        assert row["items"] == sorted(map(str, ids))
+    cut = d.decontaminate(documents, benchmark, window=3, most_coverage=0.3, item_words=item_words)
+    assert cut.columns == documents.columns
+    left = {r["doc_id"]: r["text"] for r in cut.collect()}
+    for row in rows:
+        count, hit, _ = expected(row["text"], items, 3)
+        assert (row["doc_id"] in left) == (len(hit) <= 0.3 * count)
+        if row["doc_id"] in left:
+            assert words(left[row["doc_id"]]) == [w for n, w in enumerate(words(row["text"])) if n not in hit]
+            assert hit or left[row["doc_id"]] == row["text"]
+
+
+def test_long_text_and_empty_tables(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    text = ("filler " * 300_000) + item.upper() + " filler" * 10
+    schema = "doc_id bigint, text string"
+    documents = spark.createDataFrame([(1, text), (None, item)], schema)
+    benchmark = spark.createDataFrame([(5, item)], "item_id bigint, text string")
+    rows = {r["doc_id"]: r for r in d.with_matches(documents, benchmark).collect()}
+    assert [tuple(s) for s in rows[1]["hit_spans"]] == [(300_000, 300_030)]
+    assert rows[None]["items"] == ["5"]
+    assert d.with_matches(documents.limit(0), benchmark).count() == 0
+    none = d.decontaminate(documents, benchmark.limit(0))
+    assert sorted(r["text"] for r in none.collect()) == sorted([text, item])
