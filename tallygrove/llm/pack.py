@@ -30,12 +30,13 @@ from tallygrove.llm.common import only
 LENGTH = 2048
 CLOSING = 1
 SENTENCE_PENALTY = 2  # in tokens of padding
-WORD_PENALTY = 32
-LONGEST_STRETCH = 256  # without a sentence end, until other cuts are offered
-STRIDE = 64  # between such cuts
+WORD_PENALTY = 16
+LONGEST_STRETCH = 64  # without a sentence end, until other cuts are offered
+STRIDE = 16  # between such cuts
+SHORTEST_EXACT = 16  # of a sequence's length: no shorter windows for the sake of a power of two
 BLOCK = 256 * LENGTH  # tokens the program sees at once
-MEMO = 300_000  # words, about 60 MB
-SHARD_ROWS = 20_000
+MEMO = 600_000  # pieces, about 120 MB
+SHARD_ROWS = 10_000
 MOST_SHARDS = 10_000  # a shard is streamed, so larger ones only sort more
 # What the tokenizer splits off by itself: letters, a digit, marks. A piece between blanks with
 # anything else in it goes through the tokenizer whole, as do apostrophes, which begin endings
@@ -50,10 +51,11 @@ class PieceEncoder:
     """Ids of whole texts as little-endian 32-bit numbers, equal to the tokenizer's own.
 
     Made for tokenizers that lower-case, drop white space and mark word ends: no token spans a
-    blank, so words, digits and marks of a text are looked up one by one. Unknown ones of these
-    are encoded together and told apart by the word ends. Other tokenizers encode whole texts.
+    blank, so what stands between blanks is looked up. Unknown pieces fall into words, digits and
+    marks; unknown ones of these are encoded together and told apart by the word ends. Other
+    tokenizers encode whole texts.
 
-    At most twice `MEMO` words are held: when as many are young, the old ones go.
+    Pieces are remembered: when `MEMO` are young, those not seen since the last time go.
     """
 
     def __init__(self, path: str):
@@ -71,6 +73,7 @@ class PieceEncoder:
         for token, number in vocabulary.items():
             self.word_ends[number] = token.endswith(WORD_END)
             self.sentence_ends[number] = token.removesuffix(WORD_END).endswith((".", "!", "?"))
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.young, self.old = {}, {}
         whole, parts = self.ids("Ab ab. 12"), [self.ids(x) for x in ("ab", "ab", ".", "1", "2")]
         self.by_part = whole.tolist() == np.concatenate(parts).tolist() and bool(self.word_ends[whole].any())
@@ -78,48 +81,67 @@ class PieceEncoder:
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, texts: list) -> list:
+        """Each text's ids, as bytes of numbers of type `self.kind`."""
         if not self.by_part:
-            return self.ids(text).tobytes()
-        if ODD.search(text):
-            parts = []
-            for piece in BLANK.split(text):
-                parts += [piece] if ODD.search(piece) else PLAIN.findall(piece.lower())
-        else:
-            parts = PLAIN.findall(text.lower())
+            return [self.ids(text).astype(self.kind).tobytes() for text in texts]
+        odd = set()
+        split = [self._pieces(text, odd) for text in texts]
         if len(self.young) > MEMO:
             self.young, self.old = {}, self.young
-        known = self.young.get
-        found = [known(p) for p in parts]
-        if None in found:
-            self._learn({p for p, ids in zip(parts, found, strict=True) if ids is None})
-            found = [self.young[p] for p in parts]
-        return b"".join(found)
-
-    def _learn(self, parts: set):
+        fresh = set().union(*split).difference(self.young)
+        if fresh:
+            self._learn(fresh, odd)
+        known = self.young.__getitem__
+        return [b"".join(map(known, pieces)) for pieces in split]
+
+    def _pieces(self, text, odd):
+        """What stands between blanks, lower-cased unless it is odd."""
+        if not ODD.search(text):
+            return text.lower().split()
+        pieces = [p for p in BLANK.split(text) if p]
+        found = {p for p in pieces if ODD.search(p)}
+        odd |= found
+        return [p if p in found else p.lower() for p in pieces]
+
+    def _learn(self, fresh: set, odd: set):
         young, old = self.young, self.old
-        young.update((p, old[p]) for p in parts if p in old)
-        unknown = [p for p in parts if p not in young]
-        plain = [p for p in unknown if not ODD.search(p)]
-        ids = self.words.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids
-        ids = np.array(ids, "<u4")
-        stops = (np.flatnonzero(self.word_ends[ids]) + 1).tolist()
-        young.update((p, ids[a:b].tobytes()) for p, a, b in zip(plain, [0, *stops], stops, strict=False))
-        young.update((p, self.ids(p).tobytes()) for p in unknown if p not in young)
-
-
-def cut_places(ids: np.ndarray, document_ends: np.ndarray, ends: np.ndarray) -> tuple:
+        if old:
+            young.update((p, old[p]) for p in fresh if p in old)
+        plain = [(p, _parts(p)) for p in fresh.difference(odd).difference(young)]
+        unknown = list({x for _, parts in plain for x in parts}.difference(young))
+        ids = self.words.encode_batch_fast([" ".join(unknown)], add_special_tokens=False)[0].ids
+        ids = np.array(ids, self.kind)
+        stops = ((np.flatnonzero(self.word_ends[ids]) + 1) * ids.itemsize).tolist()
+        data = ids.tobytes()
+        young.update((p, data[a:b]) for p, a, b in zip(unknown, [0, *stops], stops, strict=False))
+        known = young.__getitem__
+        young.update((p, b"".join(map(known, parts))) for p, parts in plain if len(parts) > 1)
+        young.update((p, self.ids(p).astype(self.kind).tobytes()) for p in fresh & odd if p not in young)
+
+
+def _parts(piece: str):
+    """Words, digits and marks of a piece that isn't odd: mostly a word, or one with a mark after it."""
+    if piece.isalpha():
+        return (piece,)
+    if piece[:-1].isalpha():
+        return piece[:-1], piece[-1]
+    return PLAIN.findall(piece)
+
+
+def cut_places(ids: np.ndarray, document_ends: np.ndarray, ends: np.ndarray, length: int) -> tuple:
     """Positions where a window may end, ascending, and what each costs."""
-    sentence = np.flatnonzero(ends[ids]) + 1
-    kept = np.union1d(sentence, np.append(document_ends, len(ids)))
-    kept = kept[kept > 0]
+    cost = np.full(len(ids) + 1, -1, np.int16)
+    cost[-1] = WORD_PENALTY
+    cost[1:][ends[ids]] = SENTENCE_PENALTY
+    cost[document_ends] = 0
+    kept = np.flatnonzero(cost >= 0)
     before = np.append(0, kept[:-1])
-    more = [np.arange(a + STRIDE, b, STRIDE) for a, b in zip(before, kept, strict=True) if b - a > LONGEST_STRETCH]
-    places = np.union1d(kept, np.concatenate(more)) if more else kept
-    costs = np.full(len(places), WORD_PENALTY, np.int64)
-    costs[np.isin(places, sentence)] = SENTENCE_PENALTY
-    costs[np.isin(places, document_ends)] = 0
-    return places, costs
+    longest, stride = min(LONGEST_STRETCH, length // 2), max(1, min(STRIDE, length // 32))
+    for k in np.flatnonzero(kept - before > longest).tolist():
+        cost[before[k] + stride : kept[k] : stride] = WORD_PENALTY
+    places = np.flatnonzero(cost >= 0)
+    return places, cost[places]
 
 
 def best_cuts(places, costs, length: int = LENGTH) -> list:
@@ -127,11 +149,11 @@ def best_cuts(places, costs, length: int = LENGTH) -> list:
 
     cost[j] = min over i with places[j] - places[i] <= length of cost[i] + padding + costs[j],
     with padding = length - (places[j] - places[i]), or none where the window's size is a power
-    of two. The first is a minimum of cost[i] + places[i] over a sliding range: a monotone queue.
+    of two (from a sixteenth of the length on). The first is a minimum of cost[i] + places[i] over a sliding range: a monotone queue.
     """
     places = np.append(0, places)
     exact = {}  # where a window of such a size would begin
-    for size in (1 << k for k in range(length.bit_length())):
+    for size in (1 << k for k in range(length.bit_length()) if 1 << k >= length // SHORTEST_EXACT):
         start = np.searchsorted(places, places - size)
         for j in np.flatnonzero(places[start] == places - size).tolist():
             exact.setdefault(j, []).append(int(start[j]))
@@ -182,7 +204,7 @@ class Packer:
         ids = np.concatenate([p[3] for p in self.parts])
         ends = np.cumsum([len(p[3]) for p in self.parts])
         whole = [start + len(part) == total for _, start, total, part in self.parts]
-        cuts = best_cuts(*cut_places(ids, ends[np.array(whole, bool)], self.ends), self.length)
+        cuts = best_cuts(*cut_places(ids, ends[np.array(whole, bool)], self.ends, self.length), self.length)
         if open_end and len(cuts) > 1:
             cuts.pop()
         stop, index, offset = cuts[-1], 0, 0
@@ -224,7 +246,8 @@ def pack(
     bounds = sorted(set(bounds or []))
     encoder = PieceEncoder(tokenizer)
     sentence_ends = encoder.sentence_ends
-    width = "<u2" if len(sentence_ends) <= 1 << 16 else "<u4"
+    width = encoder.kind
+    closing = np.array([CLOSING], width).tobytes()
 
     # Kept by each Python worker over its tasks: loaded once, and words stay known.
     kept = texts.sparkSession.sparkContext.broadcast({})
@@ -233,8 +256,7 @@ def pack(
         encoder = kept.value.get(tokenizer) or kept.value.setdefault(tokenizer, PieceEncoder(tokenizer))
         for batch in batches:
             docs, texts = (column.to_pylist() for column in batch.columns)
-            ids = [np.frombuffer(encoder.encode(t or ""), "<u4") for t in texts]
-            ids = [np.append(x, CLOSING).astype(width).tobytes() for x in ids]
+            ids = [x + closing for x in encoder.encode([t or "" for t in texts])]
             shard = [0 if d is None else bisect_left(bounds, d) for d in docs]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(shard, pa.int32()), batch.column(0), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"]
