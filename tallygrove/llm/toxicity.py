@@ -26,7 +26,7 @@ TRAIN_ROWS_PER_CLASS = 5000  # the bound of the sample that the classifier is fi
 LEAST_ROWS = 6  # an n-gram in fewer training rows is no feature
 LEAST_RATIO = 1.0  # nor is one with a log-count ratio nearer to zero
 SMOOTHING = 1.0
-BLOCK = 1 << 20  # positions hashed at once
+BLOCK = 1 << 19  # bytes hashed at once
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -49,26 +49,34 @@ def gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
     return (value * np.uint32(2654435769)) >> np.uint32(32 - BUCKETS_LOG2)
 
 
-def present(data: np.ndarray, offsets: np.ndarray, chosen) -> tuple:
-    """(text number, bucket), distinct and sorted, for n-grams inside one text.
+def present(data: np.ndarray, offsets: np.ndarray, chosen):
+    """Parts of (text number, bucket), distinct and sorted, for the n-grams inside each text.
 
-    `chosen`: a boolean per bucket, or None for all. The bytes are taken in blocks, so memory
-    is bounded by a block and by the chosen n-grams that occur.
+    `chosen`: a boolean per bucket, or None for all. A part is of texts of `BLOCK` bytes together,
+    or of one longer text, which is hashed a block at a time; so memory is bounded by a block and
+    by the buckets there are.
     """
-    found = []
-    for start in range(0, len(data), BLOCK):
-        block = LOWER[data[start : start + BLOCK + max(LENGTHS) - 1]]
-        for n in LENGTHS:
-            if len(block) < n:
-                continue
-            buckets = gram_hashes(block, n)[:BLOCK]
-            at = np.arange(len(buckets)) if chosen is None else np.flatnonzero(chosen[buckets])
-            text = np.searchsorted(offsets, at + start, side="right") - 1
-            inside = at + start + n <= offsets[text + 1]
-            pairs = (text[inside] << BUCKETS_LOG2) | buckets[at[inside]]
-            found.append(np.unique(pairs))
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return pairs >> BUCKETS_LOG2, pairs & ((1 << BUCKETS_LOG2) - 1)
+    text = 0
+    while text < len(offsets) - 1:
+        end = max(text + 1, int(np.searchsorted(offsets, offsets[text] + BLOCK, side="right")) - 1)
+        found = np.zeros(0, np.int64)
+        for start in range(offsets[text], offsets[end], BLOCK):
+            stop = min(offsets[end], start + BLOCK + max(LENGTHS) - 1)
+            found = np.union1d(found, _in_block(data[start:stop], start, offsets[: end + 1], chosen))
+        yield found >> BUCKETS_LOG2, found & ((1 << BUCKETS_LOG2) - 1)
+        text = end
+
+
+def _in_block(data, start, offsets, chosen):
+    """Text number and bucket, as one number, of the n-grams that begin in a block."""
+    block, pairs = LOWER[data], []
+    for n in (n for n in LENGTHS if n <= len(block)):
+        buckets = gram_hashes(block, n)[:BLOCK]
+        at = np.arange(len(buckets)) if chosen is None else np.flatnonzero(chosen[buckets])
+        text = np.searchsorted(offsets, at + start, side="right") - 1
+        inside = at + start + n <= offsets[text + 1]
+        pairs.append((text[inside] << BUCKETS_LOG2) | buckets[at[inside]])
+    return np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
 
 
 def fit(training: DataFrame) -> ToxicityModel:
@@ -87,9 +95,9 @@ def fit(training: DataFrame) -> ToxicityModel:
         for batch in batches:
             data, offsets = packed(batch.column(0))
             labels = batch.column(1).to_numpy(zero_copy_only=False)
-            text, bucket = present(data, offsets, None)
-            for value in (0, 1):
-                np.add.at(sums[value], bucket[labels[text] == value], 1)
+            for text, bucket in present(data, offsets, None):
+                for value in (0, 1):
+                    np.add.at(sums[value], bucket[labels[text] == value], 1)
         bucket = np.flatnonzero(sums.any(axis=0))
         yield pa.RecordBatch.from_arrays(
             [pa.array(bucket, pa.int32()), pa.array(sums[0][bucket]), pa.array(sums[1][bucket])],
@@ -114,7 +122,8 @@ def fit(training: DataFrame) -> ToxicityModel:
     def features(batches):
         chosen = ratios != 0
         for batch in batches:
-            text, bucket = present(*packed(batch.column(0)), chosen)
+            parts = list(present(*packed(batch.column(0)), chosen))
+            text, bucket = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in (0, 1))
             ends = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([lists, batch.column(1)], ["buckets", "label"])
@@ -163,8 +172,9 @@ def score(documents: DataFrame, model: ToxicityModel, text: str = "text", out: s
         weight = weights.value
         chosen = weight != 0
         for batch in batches:
-            row, bucket = present(*packed(batch.column(place)), chosen)
-            margin = np.bincount(row, weight[bucket], batch.num_rows) + intercept
+            margin = np.full(batch.num_rows, intercept)
+            for row, bucket in present(*packed(batch.column(place)), chosen):
+                margin += np.bincount(row, weight[bucket], batch.num_rows)
             scores = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"]

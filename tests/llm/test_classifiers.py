@@ -56,16 +56,23 @@ def test_odd_rows(spark, models, scorer, label):
     assert scorer.score(documents.limit(0), models[label]).count() == 0
 
 
+def together(data, offsets):
+    import numpy as np
+
+    parts = list(toxicity.present(data, offsets, None))
+    return [np.concatenate([part[k] for part in parts]) for k in (0, 1)]
+
+
 def test_blocks_of_a_text_make_no_difference(monkeypatch, models):
     import numpy as np
 
     text = ("You idiot, this is worthless. " * 50 + "Fine words here. " * 50).encode()
     data, offsets = np.frombuffer(text * 2, np.uint8), np.array([0, len(text), 2 * len(text)])
-    whole = toxicity.present(data, offsets, None)
+    whole = together(data, offsets)
     counts = quality.term_counts(text)
     monkeypatch.setattr(toxicity, "BLOCK", 64)
     monkeypatch.setattr(quality, "PIECE", 64)
-    assert all((a == b).all() for a, b in zip(whole, toxicity.present(data, offsets, None), strict=True))
+    assert all((a == b).all() for a, b in zip(whole, together(data, offsets), strict=True))
     assert (counts == quality.term_counts(text)).all()
 
 
@@ -75,7 +82,7 @@ def test_present_against_sets():
     texts = [b"Abcabc", b"", b"xyz", b"abcabcabc"]
     data = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.cumsum([0, *map(len, texts)])
-    row, bucket = toxicity.present(data, offsets, None)
+    row, bucket = together(data, offsets)
     for number, text in enumerate(texts):
         grams = {text.lower()[k : k + n] for n in toxicity.LENGTHS for k in range(len(text) - n + 1)}
         expected = {int(toxicity.gram_hashes(np.frombuffer(g, np.uint8), len(g))[0]) for g in grams}
