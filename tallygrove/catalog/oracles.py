@@ -255,7 +255,7 @@ FROM (SELECT page_id, string_split('/' || {ADDRESS}, '/') AS p FROM pages)""",
   greatest(floor(epoch(ts - to_days((event_id % 40 * 1000)::INTEGER)))::BIGINT, 0) AS mtime FROM events""",
     "source_megabytes": """SELECT source, round(sum(strlen(text)) * 37 / 1048576.0::DOUBLE) AS mb
 FROM documents GROUP BY source""",
-    "report_cells": f"""SELECT seq, path || repeat(' ', 60 - strlen(path)) AS cell,
+    "report_cells": f"""SELECT seq, path || repeat(' ', (SELECT max(strlen({ADDRESS})) FROM pages) - strlen(path)) AS cell,
   lpad(n, greatest(8, len(n))::INTEGER, ' ') AS number
 FROM (SELECT page_id AS seq, {ADDRESS} AS path, (10 ** (len({ADDRESS}) % 12))::BIGINT::VARCHAR AS n FROM pages)""",
     "decoded_bytes": BROKEN,
@@ -277,7 +277,28 @@ FROM files JOIN documents USING (doc_id)
 WHERE doc_id NOT IN (SELECT doc_id FROM latest WHERE mtime >= 1000 + doc_id % 4)""",
     "store_upsert_latest": f"WITH {PATHS}, {STORED} SELECT path, tokens, mtime, seq FROM latest",
     "store_info": f"""WITH {PATHS}, {STORED}
-SELECT count(*) AS records, true AS allocated FROM latest""",
+SELECT count(*) AS records, 0::BIGINT AS bytes_apart, 0::DOUBLE AS mb_apart, true AS filled FROM latest""",
+    "store_null_paths": f"""WITH {PATHS}, {STORED}, one AS (
+  SELECT CASE WHEN doc_id % 2 = 0 THEN path END AS path, tokens, mtime FROM log WHERE seq = 1
+), kept AS (
+  SELECT * FROM one WHERE path IS NOT NULL
+  UNION ALL SELECT * FROM one WHERE path IS NULL AND tokens = (SELECT max(tokens) FROM one WHERE path IS NULL)
+), asked AS (
+  SELECT path, 1000 + doc_id % 4 AS mtime FROM files WHERE doc_id % 2 = 0
+  UNION ALL SELECT DISTINCT NULL, 0 FROM files WHERE doc_id % 2 = 1
+)
+SELECT 'latest' AS kind, path, tokens FROM kept
+UNION ALL SELECT 'hit', k.path, k.tokens FROM kept k JOIN asked a
+  ON k.path IS NOT DISTINCT FROM a.path AND k.mtime >= a.mtime
+UNION ALL SELECT 'miss', a.path, 0 FROM asked a WHERE NOT EXISTS (
+  SELECT 1 FROM kept k WHERE k.path IS NOT DISTINCT FROM a.path AND k.mtime >= a.mtime)""",
+    "single_file_scan": f"""WITH {FILES}
+SELECT strlen(text) AS length, tokens, NULL::VARCHAR AS error FROM files JOIN documents USING (doc_id)
+ORDER BY doc_id LIMIT 1""",
+    "glob_validity": """SELECT DISTINCT source || '/' || ending AS pattern, valid
+FROM documents, (VALUES ('*', true), ('[', false), ('{a,b', false), ('[!a]', true), ('**/*.txt', true),
+  ('[b-a]', false), ('a]', true), ('{x,y}?', true)) AS v(ending, valid)""",
+    "tree_listed_repeats": f"WITH {FILES}, {nodes('files')} {ROLLUP}",
     "store_compacted": f"WITH {PATHS}, {STORED} SELECT path, tokens, mtime, 2::BIGINT AS seq FROM latest",
     "store_cleared": f"""WITH {PATHS}, {STORED}
 SELECT path, tokens, mtime, 1::BIGINT AS seq FROM log WHERE seq = 2""",
@@ -291,5 +312,7 @@ UNION ALL SELECT -doc_id - 1, path, tokens, n_chars FROM answers WHERE doc_id %
 SELECT 3::BIGINT AS seq, count(*) AS measured FROM files
 WHERE doc_id NOT IN (SELECT doc_id FROM latest WHERE mtime >= 1000 + doc_id % 4)
 UNION ALL SELECT 4, 0""",
-    "stream_incremental": f"WITH {FILES} SELECT path, tokens, 1000 + doc_id % 4 AS mtime FROM files",
+    "stream_incremental": f"""WITH {FILES}, {STORED}
+SELECT f.path, coalesce(l.tokens, f.tokens) AS tokens, coalesce(l.mtime, 1000 + f.doc_id % 4) AS mtime
+FROM files f LEFT JOIN latest l ON l.doc_id = f.doc_id AND l.mtime >= 1000 + f.doc_id % 4""",
 }

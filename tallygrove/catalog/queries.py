@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallygrove.catalog import views
 from tallygrove.functions import pieces
 from tallygrove.functions import text as scalar
+from tallygrove.functions.globs import is_glob
 from tallygrove.operators import hierarchy, ranking, store
 from tallygrove.operators.bpe import with_bpe_tokens
 from tallygrove.operators.budgets import apply_budgets, prune_by_length
@@ -144,6 +145,19 @@ def rule_precedence(spark, sf_dir):
     return select_paths(views.files(spark, sf_dir), rules.filters, rules.ignores).select("path")
 
 
+GLOB_ENDINGS = ("*", "[", "{a,b", "[!a]", "**/*.txt", "[b-a]", "a]", "{x,y}?")
+
+
+@query
+def glob_validity(spark, sf_dir):
+    """Which patterns, made of sources and endings, are globs at all."""
+    documents = views.table(spark, sf_dir, "documents")
+    endings = F.explode(F.array(*[F.lit(ending) for ending in GLOB_ENDINGS])).alias("ending")
+    pattern = F.concat("source", F.lit("/"), "ending").alias("pattern")
+    patterns = documents.select("source").distinct().select("source", endings).select(pattern)
+    return patterns.withColumn("valid", is_glob(F.col("pattern")))
+
+
 @query
 def context_rules(spark, sf_dir):
     return select_by_rule_sets(views.files(spark, sf_dir).select("path"), RULE_SETS)
@@ -196,7 +210,7 @@ def _listed(nodes):
 
 @query
 def tree_rollup(spark, sf_dir):
-    return _listed(hierarchy.pre_order(hierarchy.rollup(counts(spark, sf_dir))))
+    return _listed(hierarchy.pre_order(hierarchy.rollup(counts(spark, sf_dir), unique=True)))
 
 
 @query
@@ -208,18 +222,18 @@ def tree_rollup_web(spark, sf_dir):
 @query
 def tree_rollup_chat(spark, sf_dir):
     chat = apply_budgets(measure(views.chat(spark, sf_dir)))
-    return _listed(hierarchy.pre_order(hierarchy.rollup(chat)))
+    return _listed(hierarchy.pre_order(hierarchy.rollup(chat, unique=True)))
 
 
 @query
 def tree_last_children(spark, sf_dir):
-    nodes = hierarchy.last_children(hierarchy.rollup(counts(spark, sf_dir)))
+    nodes = hierarchy.last_children(hierarchy.rollup(counts(spark, sf_dir), unique=True))
     return nodes.select(F.array_join("node", "/").alias("path"))
 
 
 @query
 def tree_lines(spark, sf_dir):
-    lines = hierarchy.pre_order(hierarchy.tree_lines(counts(spark, sf_dir)))
+    lines = hierarchy.pre_order(hierarchy.tree_lines(counts(spark, sf_dir), unique=True))
     return lines.select(F.array_join("node", "/").alias("path"), "line")
 
 
@@ -230,6 +244,18 @@ def tree_lines_web(spark, sf_dir):
     return lines.select(F.array_join("node", "/").alias("path"), "line")
 
 
+@query
+def tree_listed_repeats(spark, sf_dir):
+    """The tree of a list with repeated lines: a path counts once, as it was last."""
+    documents = views.table(spark, sf_dir, "documents")
+    twice = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    lines = documents.select(views.document_path().alias("value"), F.explode(twice).alias("time"))
+    location = scratch_dir(spark)
+    lines.orderBy("time", "value").select("value").write.text(location)
+    found = lookup_paths(read_path_list(spark, location), views.files(spark, sf_dir))
+    return _listed(hierarchy.pre_order(hierarchy.rollup(apply_budgets(measure(found)))))
+
+
 # Merged output
 
 
@@ -287,10 +313,13 @@ def source_megabytes(spark, sf_dir):
 
 @query
 def report_cells(spark, sf_dir):
+    """Cells as wide as the widest path."""
     number = F.pow(F.lit(10), F.length("path") % 12).cast("bigint")
-    return views.web(spark, sf_dir).select(
+    pages = views.web(spark, sf_dir)
+    width = ranking.widest_path(pages)
+    return pages.select(
         "seq",
-        scalar.left_cell(F.col("path"), F.lit(60)).alias("cell"),
+        scalar.left_cell(F.col("path"), width.scalar()).alias("cell"),
         scalar.right_cell(number).alias("number"),
     )
 
@@ -407,8 +436,17 @@ def _filled_store(spark, sf_dir):
 
 @query
 def store_info(spark, sf_dir):
-    info = _filled_store(spark, sf_dir).info()
-    return info.select("records", (F.col("allocated") > 0).alias("allocated"))
+    """Records, and the allocated bytes and megabytes less what a listing of the files gives."""
+    results = _filled_store(spark, sf_dir)
+    visible = list_files(spark, results.location).where("path not rlike '/[._][^/]*$'")
+    listed = visible.agg(F.sum("length").alias("listed"))
+    allocated = F.col("allocated")
+    return results.info().withColumn("listed", listed.scalar()).select(
+        "records",
+        (allocated - F.col("listed")).alias("bytes_apart"),
+        (F.col("mb") - F.round(F.col("listed") / 1048576)).alias("mb_apart"),
+        (allocated > F.col("records")).alias("filled"),
+    )
 
 
 @query
@@ -447,17 +485,43 @@ def incremental_rerun(spark, sf_dir):
     return runs.join(measured_rows, "seq", "left").select("seq", F.coalesce("n", F.lit(0)).alias("measured"))
 
 
+@query
+def store_null_paths(spark, sf_dir):
+    """Latest rows, hits and misses where some paths are null: no path is a path like any other."""
+    path = F.when(F.col("path").rlike("[02468][.]txt$"), F.col("path"))
+    log = views.stored(spark, sf_dir).where("seq = 1").withColumn("path", path)
+    last = log.where("path is null").agg(F.max("tokens").alias("tokens"))
+    log = log.where("path is not null").unionByName(log.where("path is null").where(F.col("tokens") == last.scalar()))
+    asked = views.requests(spark, sf_dir).withColumn("path", path).select("pos", "path", "mtime")
+    few = asked.where("path is not null").unionByName(asked.where("path is null").withColumn("mtime", F.lit(0)))
+    found = {
+        "latest": store.latest_rows(log).select("path", "tokens"),
+        "hit": store.lookup_hits(few, log).select("path", "tokens"),
+        "miss": store.lookup_misses(few, log).select("path", F.lit(0).cast("bigint").alias("tokens")),
+    }
+    frames = [frame.select(F.lit(kind).alias("kind"), "path", "tokens") for kind, frame in found.items()]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+@query
+def single_file_scan(spark, sf_dir):
+    """A scan whose root is a file gives that file."""
+    documents = views.table(spark, sf_dir, "documents").orderBy("doc_id").limit(1)
+    path = scratch_dir(spark) + "/only.txt"
+    target = F.lit(path if "://" in path else "file://" + path).alias("target")
+    rows = documents.select(target, F.col("text").cast("binary").alias("content"))
+    rows.mapInArrow(_write_files, "target string").write.format("noop").mode("overwrite").save()
+    files = measure(decode_utf8(read_contents(list_files(spark, path))))
+    return files.select("length", "tokens", "error")
+
+
 @query
 def stream_incremental(spark, sf_dir):
-    results = ResultStore.create(spark, scratch_dir(spark))
-    schema = views.table(spark, sf_dir, "documents").schema
-    documents = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    )
-    versions = documents.select(
-        views.document_path().alias("path"),
-        F.col("text").alias("content"),
-        (F.lit(1000) + F.col("doc_id") % 4).alias("mtime"),
-    )
-    start_incremental(versions, results, checkpoint=scratch_dir(spark)).awaitTermination()
+    """Versions in several micro-batches into a filled store; some are late."""
+    results = _filled_store(spark, sf_dir)
+    versions = views.requests(spark, sf_dir).select("path", "content", "mtime", "pos")
+    location = scratch_dir(spark)
+    versions.repartitionByRange(3, "pos").drop("pos").write.parquet(location)
+    stream = spark.readStream.schema(versions.drop("pos").schema).option("maxFilesPerTrigger", 1)
+    start_incremental(stream.parquet(location), results, checkpoint=scratch_dir(spark)).awaitTermination()
     return results.latest().select("path", "tokens", "mtime")

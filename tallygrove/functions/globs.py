@@ -8,6 +8,10 @@ Dialect: `*`, `?`, `[ab]`, `[!ab]`, `[a-z]`, `{a,b}`, backslash escapes, and `**
 import re
 from collections.abc import Iterable
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 # Longest forms first. `open` and `sep` belong to a run of directories.
 _GLOB_PART = re.compile(
     r"""(?P<lead>^(?:\*\*/)+)
@@ -82,3 +86,17 @@ def globs_to_regex(patterns: Iterable[str]) -> str | None:
     """One anchored alternation for a list, or None for the empty list, which matches nothing."""
     parts = [glob_to_regex(p) for p in patterns]
     return rf"(?s)\A(?:{'|'.join(parts)})\z" if parts else None
+
+
+@F.arrow_udf(T.BooleanType())
+def is_glob(patterns: pa.Array) -> pa.Array:
+    """Whether a pattern is a glob at all; of a null, null."""
+
+    def judged(pattern):
+        try:
+            glob_to_regex(pattern)
+        except ValueError:
+            return False
+        return True
+
+    return pa.array([None if p is None else judged(p) for p in patterns.to_pylist()], pa.bool_())

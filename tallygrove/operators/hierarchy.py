@@ -19,15 +19,17 @@ BRANCH, LAST_BRANCH = "├── ", "└── "
 BAR, GAP = "│   ", "    "
 
 
-def _leaves(measured: DataFrame, order_col: str | None) -> DataFrame:
-    """(key, tokens) once per path: of repeated paths the row with the highest `order_col`."""
+def _leaves(measured: DataFrame, order_col: str | None, unique: bool) -> DataFrame:
+    """(key, tokens) once per path: of repeated paths the last row."""
     keyed = measured.withColumn("key", node_key(F.col("path")))
-    if order_col is None:
+    if unique:
         return keyed.select("key", "tokens")
-    return keyed.groupBy("key").agg(F.max_by("tokens", order_col).alias("tokens"))
+    if order_col is None and "pos" not in measured.columns:
+        keyed = keyed.withColumn("pos", F.monotonically_increasing_id())
+    return keyed.groupBy("key").agg(F.max_by("tokens", order_col or "pos").alias("tokens"))
 
 
-def _nodes(measured: DataFrame, order_col: str | None) -> DataFrame:
+def _nodes(measured: DataFrame, order_col: str | None, unique: bool) -> DataFrame:
     """(key, tokens, is_dir) of all files and directories, from one pass over the files.
 
     Every file adds its tokens to each ancestor and is a row of its own. Ancestors are
@@ -43,7 +45,7 @@ def _nodes(measured: DataFrame, order_col: str | None) -> DataFrame:
     )
     itself = F.array(F.struct("key", none.alias("below"), tokens.alias("own")))
     sums = (
-        _leaves(measured, order_col)
+        _leaves(measured, order_col, unique)
         .select(F.inline(F.concat(above, itself)))
         .groupBy("key")
         .agg(F.sum("below").alias("below"), F.sum("own").alias("own"))
@@ -61,15 +63,15 @@ def _nodes(measured: DataFrame, order_col: str | None) -> DataFrame:
     )
 
 
-def rollup(measured: DataFrame, order_col: str | None = None) -> DataFrame:
+def rollup(measured: DataFrame, order_col: str | None = None, unique: bool = False) -> DataFrame:
     """(node, parent, name, depth, tokens): a directory has the tokens of all files below.
 
-    The root is the empty array. Give `order_col` where a path may repeat: the last row
-    of a path then wins.
+    The root is the empty array. Of a repeated path the last row wins, by `order_col`, else by
+    `pos`, else in the order of the rows. `unique` says that no path repeats.
     """
     key = F.col("key")
     node = components(key)
-    return _nodes(measured, order_col).select(
+    return _nodes(measured, order_col, unique).select(
         node.alias("node"),
         F.when(key != "", F.slice(node, 1, depth(key) - 1)).alias("parent"),
         name_of(key).alias("name"),
@@ -93,7 +95,7 @@ def pre_order(nodes: DataFrame) -> DataFrame:
     return nodes.orderBy("node")
 
 
-def tree_lines(measured: DataFrame, order_col: str | None = None) -> DataFrame:
+def tree_lines(measured: DataFrame, order_col: str | None = None, unique: bool = False) -> DataFrame:
     """(node, line) of the drawn tree, to be ordered by `node`.
 
     Nodes without a name, the root among them, print nothing and indent nothing. The nodes
@@ -101,7 +103,7 @@ def tree_lines(measured: DataFrame, order_col: str | None = None) -> DataFrame:
     is one row per directory: the name of the last child and the indent of all children.
     """
     key, name = F.col("key"), F.col("name")
-    nodes = materialise(_nodes(measured, order_col)).where("key <> ''")
+    nodes = materialise(_nodes(measured, order_col, unique)).where("key <> ''")
     nodes = nodes.withColumn("parent", parent_key(key)).withColumn("name", name_of(key))
     is_last = name == F.col("last")
     lasts = materialise(nodes.groupBy("parent").agg(F.max("name").alias("last")))

@@ -22,11 +22,6 @@ class RuleSet:
     ignores: Sequence[str] = field(default=())
 
 
-# The rule set a new configuration starts with. In this dialect a pattern
-# with a trailing slash matches no file; write `target/**` to drop what lies beneath.
-STARTER_RULE_SET = RuleSet("default", ("**",), (".git/", "*.lock", "node_modules/", "target/"))
-
-
 def read_rule_sets(spark: SparkSession, location: str) -> list[RuleSet]:
     """Rule sets of a JSON configuration {"version": 1, "contexts": [{context, filters, ignores}]}."""
     config = spark.read.schema(RULE_SET_FILE).json(location, multiLine=True).first()

@@ -1,19 +1,19 @@
 """Joins for a very frequent key on the left, and for wide rows that should stay where they are."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.session import estimated_bytes, fits_one_wave, materialise
-
-HOT_SHARE = 512  # a hot key holds more than 1/512 of the rows, so there are fewer than 512
-HOT_ROWS = 1_000_000  # and at least this many rows, so small inputs are never salted
-SALTS = 64
+from tallygrove.session import materialise
 
+TASK_ROWS = 1_000_000  # a key with more rows is split, into as many parts as it has such lots
 
-# Bounds of a checked broadcast.
+# Bounds of a checked broadcast, all on what is held in memory.
 SMALL_ROWS = 200_000
 SMALL_BYTES = 32 << 20
-LOOKUP_BYTES = 8 << 20
+LOOKUP_BYTES = 16 << 20
 
 
 def is_small(keys: DataFrame) -> bool:
@@ -22,34 +22,36 @@ def is_small(keys: DataFrame) -> bool:
     return size[0] <= SMALL_ROWS and (size[1] or 0) <= SMALL_BYTES
 
 
+def held_bytes(df: DataFrame) -> int:
+    """What the rows take when they are held, not as compressed files: the size of their text."""
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("bigint"))).first()[0] or 0
+
+
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys above both limits. At most HOT_SHARE rows, whatever the size of `df`."""
-    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    return counts.where(
-        (F.col("_n") >= HOT_ROWS) & (F.col("_n") * HOT_SHARE > total.scalar())
-    ).select(key)
+    """(key, salts) of the keys with more than TASK_ROWS rows: at most rows / TASK_ROWS of them."""
+    counts = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > TASK_ROWS)
+    return counts.select(key, F.ceil(F.col("_n") / TASK_ROWS).cast("int").alias("_salts"))
 
 
 def join_salted(
     left: DataFrame, right: DataFrame, on: str, spread_by: str, how: str = "left"
 ) -> DataFrame:
-    """Equi-join on one column, exact, with the rows of hot left keys spread over SALTS tasks.
+    """Equi-join on one column, exact, with the rows of hot left keys spread over several tasks.
 
-    `right` holds each key at most once; only its hot keys are replicated. `spread_by`
-    tells left rows of one key apart. The broadcast list of hot keys is bounded by
-    HOT_SHARE.
+    A hot key gets a salt for each TASK_ROWS of its rows, so no task has more, however many
+    there are. `right` holds each key at most once; only its hot keys are replicated.
+    `spread_by` tells left rows of one key apart. The list of hot keys is written, and
+    broadcast if it is small.
     """
-    hot = F.broadcast(hot_keys(left, on).withColumn("_hot", F.lit(True)))
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
-    salted = left.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))
-    )
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    copied = right.join(hot, on, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
-    )
-    return salted.drop("_hot").join(copied.drop("_hot"), [on, "_salt"], how).drop("_salt")
+    hot = materialise(hot_keys(left, on))
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    hot = F.broadcast(hot) if is_small(hot.select(F.col(on).cast("string"))) else hot
+    salt = F.pmod(F.xxhash64(spread_by), F.col("_salts")).cast("int")
+    salted = left.join(hot, on, "left").withColumn("_salt", F.coalesce(salt, F.lit(0)))
+    every = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    copied = right.join(hot, on, "left").withColumn("_salt", F.explode(every))
+    return salted.drop("_salts").join(copied.drop("_salts"), [on, "_salt"], how).drop("_salt")
 
 
 def join_lookup(
@@ -57,26 +59,29 @@ def join_lookup(
 ) -> DataFrame:
     """`join_salted` for a slim `right`, e.g. one row per directory.
 
-    It is written as a table first. With its size known, it is broadcast within
-    LOOKUP_BYTES of files, and salted beyond.
+    It is written as a table first, and broadcast if its rows take no more than LOOKUP_BYTES.
     """
     right = materialise(right)
-    if estimated_bytes(right) <= LOOKUP_BYTES:
+    if held_bytes(right) <= LOOKUP_BYTES:
         return left.join(F.broadcast(right), on, how)
     return join_salted(left, right, on, spread_by, how)
 
 
 def keep_rows(rows: DataFrame, keys: DataFrame, on: list) -> DataFrame:
-    """Rows whose unique key `on` is among `keys`, which all are keys of `rows`.
+    """Rows whose unique key `on` is among `keys`, which all are keys of `rows`; nulls are values.
 
-    For rows with contents: if they are many, the keys and their complement are written as
-    slim tables and the smaller of the two is joined, by broadcast wherever it is small. So
-    contents move only if both sets are large.
+    For rows with contents: the keys and their complement are written as slim tables and the
+    smaller of the two is joined, by broadcast wherever it is small. So contents move only
+    if both sets are large. Either way the same rows stay.
     """
-    if fits_one_wave(rows):
-        return rows.join(keys, on, "left_semi")
     keys = materialise(keys.select(*on))
-    others = materialise(rows.select(*on).join(keys, on, "left_anti"))
+    others = materialise(_meet(rows.select(*on), keys, on, "left_anti"))
     if others.count() < keys.count():
-        return rows.join(others, on, "left_anti")
-    return rows.join(keys, on, "left_semi")
+        return _meet(rows, others, on, "left_anti")
+    return _meet(rows, keys, on, "left_semi")
+
+
+def _meet(rows, keys, on, how):
+    named = keys.toDF(*[f"_key_{name}" for name in on])
+    same = [F.col(name).eqNullSafe(F.col(f"_key_{name}")) for name in on]
+    return rows.join(named, reduce(and_, same), how)

@@ -1,7 +1,8 @@
 """The result store: an append log of measured files keyed by (path, version).
 
 Requests and log meet in joins of their keys and versions only. Contents come last, for the
-rows then known to be needed; (path, seq) is unique in a log, `pos` in requests.
+rows then known to be needed; (path, seq) is unique in a log, `pos` in requests. A null path
+is a path like any other.
 """
 
 from pyspark.sql import DataFrame
@@ -50,13 +51,15 @@ def _met(
     first cut down to their paths, without an exchange.
     """
     if few(requests) if cut is None else cut:
-        log = log.join(F.broadcast(requests.select("path")), "path", "left_semi")
+        asked = F.broadcast(requests.select(F.col("path").alias("_asked")))
+        log = log.join(asked, F.col("path").eqNullSafe(F.col("_asked")), "left_semi")
     stored = latest_versions(log)
     mtime, wanted = F.col("mtime"), F.col("wanted")
     meets = mtime == wanted if exact else mtime >= wanted
+    stored = stored.withColumnRenamed("path", "_path")
     return (
         wanted_versions(requests, unique)
-        .join(stored, "path", "left")
+        .join(stored, F.col("path").eqNullSafe(F.col("_path")), "left")
         .select("path", "wanted", "pos", F.when(meets, F.col("seq")).alias("seq"))
     )
 
@@ -93,10 +96,16 @@ def answer(requests: DataFrame, results: DataFrame, cut: bool | None = None) ->
 
     `requests` has (pos, path); `results` each path once.
     """
-    wanted = requests.select("pos", "path")
+    wanted = requests.select("pos", _named("path").alias("_key"))
+    results = results.withColumn("_key", _named("path"))
     if few(requests) if cut is None else cut:
-        return wanted.join(results, "path")  # too few for a hot path
-    return join_salted(wanted, results, on="path", spread_by="pos", how="inner")
+        return wanted.join(results, "_key").drop("_key")  # too few for a hot path
+    return join_salted(wanted, results, on="_key", spread_by="pos", how="inner").drop("_key")
+
+
+def _named(path: str):
+    """A string for every path, none included."""
+    return F.when(F.col(path).isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), path))
 
 
 def store_info(log: DataFrame, files: DataFrame) -> DataFrame:

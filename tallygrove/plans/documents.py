@@ -127,7 +127,7 @@ def listed_files(
     vocab: DataFrame | None = None,
     store: ResultStore | None = None,
 ) -> DataFrame:
-    """The same for the files named in a list, one row per line. Only budgets apply to them."""
+    """The same for the files named in a list, with `pos`, one row per line. Only budgets apply."""
     requests = stat_files(read_path_list(spark, list_location))
     return _measured(requests, options, vocab, store, unique=False)
 
@@ -138,7 +138,7 @@ def _measured(requests, options, vocab, store, unique):
         measured = measure(read_text(requests), vocab, table=False)
     else:
         measured = incremental_run(requests, store, vocab, read=read_text, unique=unique)
-    measured = measured.select("path", "content", "tokens", "error")
+    measured = measured.select(*([] if unique else ["pos"]), "path", "content", "tokens", "error")
     if options.limit_low or options.limit_high:
         return within_budget(measured, options)
     return drop_empty(measured)
@@ -159,11 +159,12 @@ def merge_files(
     """Blocks of the merged output of (path, content, …), in path order, not measured before.
 
     A sort reads its input twice. So it comes before the measure, which then runs once, and
-    not at all for text without budgets; with budgets it comes after it, for what is left.
+    not at all for text without budgets. With budgets the ranges of the sort are quantiles of
+    the paths alone, so it comes before the measure as well.
     """
-    if options.limit_low or options.limit_high:
-        return merge(within_budget(measure(files, vocab), options), form)
     files = in_path_order(files)
+    if options.limit_low or options.limit_high:
+        return merge(within_budget(measure(files, vocab, table=False), options), form, ordered=False)
     files = normalise(files) if form == "text" else measure(files, vocab, table=False)
     return merge(drop_empty(files), form, ordered=False)
 
@@ -179,9 +180,9 @@ def merge(measured: DataFrame, form: str = "text", ordered: bool = True) -> Data
     return in_path_order(blocks) if ordered else blocks
 
 
-def tree(measured: DataFrame, order_col: str | None = None) -> DataFrame:
-    """Lines of the drawn tree, in order."""
-    return tree_lines(measured, order_col).orderBy("node")
+def tree(measured: DataFrame, order_col: str | None = None, unique: bool = False) -> DataFrame:
+    """Lines of the drawn tree, in order. Of repeated paths the last wins, as in `rollup`."""
+    return tree_lines(measured, order_col, unique).orderBy("node")
 
 
 def tokens(measured: DataFrame, n: int = DEFAULT_TOP, form: str = "plain") -> DataFrame:

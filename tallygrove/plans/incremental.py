@@ -19,7 +19,7 @@ def incremental_run(
     unique: bool = False,
     seq: int | None = None,
 ) -> DataFrame:
-    """(pos, path, content, tokens, error), one row per request.
+    """(pos, path, content, tokens, error), one row per request; for `unique` paths without `pos`.
 
     `requests` has (pos, path, mtime, …), `pos` telling requests apart. `read` adds
     `content` (and `error`) to those missing in the store; by default the column is there.
@@ -48,5 +48,5 @@ def incremental_run(
             failed.withColumn("tokens", F.lit(0).cast("bigint")).select(*fields)
         )
     if unique:
-        return requests.select("pos", "path").join(results, "path")
+        return results
     return answer(requests, results, cut)

@@ -58,7 +58,9 @@ class ResultStore:
 
     def clear(self) -> None:
         empty = self.spark.createDataFrame([], STORED)
-        empty.write.mode("overwrite").partitionBy("seq").parquet(self.location)
+        # Dynamic overwriting, which a cluster may have as its default, would replace nothing.
+        static = empty.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        static.partitionBy("seq").parquet(self.location)
 
     def compact(self, location: str) -> "ResultStore":
         """The latest rows as a single write of a new store; this one stays as it is."""

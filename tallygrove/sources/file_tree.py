@@ -1,14 +1,17 @@
 """Files below a root, hidden names included: listing and reading are separate jobs.
 
 A location is a path that all executors see, or a URI that pyarrow can open. Listing goes
-level by level: every directory of a level is one row, spread evenly over the tasks, so
-neither the driver nor one task ever holds the whole listing. Contents are read only for
-the files that are left after path rules and store lookup.
+level by level: every directory of a level is one row, spread evenly over the tasks; the
+entries of a local directory are streamed, those of a URI come as one list a directory. Entries
+that vanish meanwhile or may not be read are left out; any other failure is tried again, then
+raised, so a listing is whole or fails. Contents are read only for the files that are left
+after path rules and store lookup.
 """
 
 import os
 import time
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyarrow import fs
@@ -24,7 +27,12 @@ from tallygrove.sources.decode import READ_ERROR
 ENTRIES_PER_BATCH = 10_000
 BYTES_PER_BATCH = 32 << 20
 BYTES_PER_TASK = 256 << 20
-MAX_WAVES = 16
+LARGEST = (1 << 31) - 1  # bytes that one value of a column can hold
+ATTEMPTS = 4
+WAIT = 0.5  # seconds, doubled with each attempt
+
+# An entry that went meanwhile, or that may not be read, is left out of a listing.
+SKIPPED = (FileNotFoundError, NotADirectoryError, PermissionError)
 
 _ENTRY = "path string, length bigint, mtime bigint, is_dir boolean"
 
@@ -44,7 +52,7 @@ def _opened(uri: str) -> tuple:
 
 
 def _entries(directory: str) -> Iterator[tuple]:
-    """(path, length, mtime, is_dir); links and unreadable entries are left out."""
+    """(path, length, mtime, is_dir) of a directory; links are left out."""
     if "://" in directory:
         files, inner = _opened(directory)
         for info in files.get_file_info(fs.FileSelector(inner)):
@@ -55,7 +63,7 @@ def _entries(directory: str) -> Iterator[tuple]:
         return
     with os.scandir(directory) as entries:
         for entry in entries:
-            try:
+            with suppress(*SKIPPED):
                 is_dir = entry.is_dir(follow_symlinks=False)
                 if is_dir or entry.is_file(follow_symlinks=False):
                     stat = entry.stat(follow_symlinks=False)
@@ -63,8 +71,6 @@ def _entries(directory: str) -> Iterator[tuple]:
                     name = os.fsencode(entry.name).decode("utf-8", "replace")
                     changed = int(max(stat.st_mtime, 0))
                     yield f"{directory}/{name}", stat.st_size, changed, is_dir
-            except OSError:
-                continue
 
 
 def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,26 +86,48 @@ def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     rows = []
     for batch in batches:
         for directory in batch.column("path").to_pylist():
-            try:
-                for entry in _entries(directory):
-                    rows.append(entry)
-                    if len(rows) >= ENTRIES_PER_BATCH:
-                        yield flush(rows)
-                        rows = []
-            except OSError:
-                continue
+            for entry in _tried(_entries, directory):
+                rows.append(entry)
+                if len(rows) >= ENTRIES_PER_BATCH:
+                    yield flush(rows)
+                    rows = []
     if rows:
         yield flush(rows)
 
 
+def _tried(entries, directory):
+    """What `entries` yields; after a failure from the start again, without what came already."""
+    done = set()
+    for attempt in range(1, ATTEMPTS + 1):
+        try:
+            for entry in entries(directory):
+                if entry[0] not in done:
+                    if attempt < ATTEMPTS:
+                        done.add(entry[0])
+                    yield entry
+            return
+        except SKIPPED:
+            return
+        except OSError:
+            if attempt == ATTEMPTS:
+                raise
+            time.sleep(WAIT * 2**attempt)
+
+
 def list_files(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
     """(path, length, mtime) of all regular files below `root`; paths start with it.
 
-    Runs one job per directory level, each written to the scratch folder.
+    A file as `root` is itself the listing; a root that isn't there is an error. Runs one job
+    per directory level, each written to the scratch folder.
     """
     tasks = tasks or spark.sparkContext.defaultParallelism
     scratch = scratch_dir(spark)
     level, todo = 0, spark.createDataFrame([(root.rstrip("/") or "/",)], "path string")
+    found = todo.mapInArrow(_stat_root, _ENTRY).first()
+    if found is None:
+        raise FileNotFoundError(f"There is no file or directory {root}")
+    if not found["is_dir"]:
+        return spark.createDataFrame([found[:3]], LISTING)
     while not todo.isEmpty():
         target = f"{scratch}/level={level}"
         todo.repartition(tasks).mapInArrow(_list_directories, _ENTRY).write.parquet(target)
@@ -109,6 +137,24 @@ def list_files(spark: SparkSession, root: str, tasks: int | None = None) -> Data
     return entries.where("not is_dir").select(*LISTING.fieldNames())
 
 
+def _stat_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each path its entry, if there is one."""
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            entry = None
+            if "://" in path:
+                files, inner = _opened(path)
+                info = files.get_file_info(inner)
+                if info.type != fs.FileType.NotFound:
+                    changed = int(max(info.mtime.timestamp(), 0)) if info.mtime else 0
+                    entry = path, info.size or 0, changed, info.type == fs.FileType.Directory
+            elif os.path.exists(path):
+                stat = os.stat(path)
+                entry = path, stat.st_size, int(max(stat.st_mtime, 0)), os.path.isdir(path)
+            if entry:
+                yield pa.RecordBatch.from_pylist([dict(zip(["path", "length", "mtime", "is_dir"], entry))])
+
+
 def _stat_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def stat(path):
         try:
@@ -160,7 +206,10 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
             try:
-                content, error = b"" if length == 0 else _read_bytes(path), None
+                too_long = (length or 0) > LARGEST
+                content, error = b"" if length == 0 or too_long else _read_bytes(path), None
+                if too_long or len(content) > LARGEST:
+                    content, error = b"", f"{READ_ERROR}: more than {LARGEST} bytes"
             except OSError as failure:
                 content, error = b"", f"{READ_ERROR}: {failure.strerror or failure}"
             contents.append(content)
@@ -177,13 +226,13 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_contents(listing: DataFrame, tasks: int | None = None) -> DataFrame:
     """Adds `content` (binary) and `error` to (path, length, …); empty files are not opened.
 
-    The listing is spread anew first, so that one large directory is read by all tasks:
-    as many as its bytes ask for, but between one and MAX_WAVES for each core.
+    The listing is spread anew first, so that one large directory is read by all tasks: one
+    for BYTES_PER_TASK, and one for each core at least.
     """
     if tasks is None:
         cores = listing.sparkSession.sparkContext.defaultParallelism
         total = listing.agg(F.sum("length")).first()[0] or 0
-        tasks = min(max(cores, total // BYTES_PER_TASK), MAX_WAVES * cores)
+        tasks = max(cores, total // BYTES_PER_TASK)
     schema = T.StructType(listing.schema.fields).add("content", "binary").add("error", "string")
     return listing.repartition(tasks).mapInArrow(_read_files, schema)
 

@@ -38,4 +38,4 @@ def lookups(request, monkeypatch):
     """Slim lookups as for small tables, and as for large ones with hot keys."""
     if request.param == "salted":
         monkeypatch.setattr("tallygrove.operators.skew.LOOKUP_BYTES", -1)
-        monkeypatch.setattr("tallygrove.operators.skew.HOT_ROWS", 2)
+        monkeypatch.setattr("tallygrove.operators.skew.TASK_ROWS", 2)

@@ -2,10 +2,10 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallygrove.operators.measure import measure
 from tallygrove.operators.path_rules import (
-    STARTER_RULE_SET,
     RuleSet,
     effective_rules,
     pick_rule_set,
@@ -17,6 +17,7 @@ from tallygrove.plans import documents as plans
 from tallygrove.plans.documents import Options
 from tallygrove.sinks.merged import merged_blocks, write_merged_json, write_merged_text, write_tree
 from tallygrove.sinks.store import ResultStore
+from tallygrove.sources import file_tree
 from tallygrove.sources.decode import decode_utf8
 from tallygrove.sources.file_tree import list_files, read_contents, scan_visible_files
 from tallygrove.sources.path_list import lookup_paths, read_path_list
@@ -65,8 +66,56 @@ def test_listing_by_uri(spark, root):
     assert bytes(read.first()["content"]) == b"hidden words"
 
 
-def test_listing_of_nothing(spark, tmp_path):
-    assert list_files(spark, str(tmp_path / "absent")).count() == 0
+def test_a_missing_root_is_an_error(spark, tmp_path):
+    for root in (str(tmp_path / "absent"), f"file://{tmp_path}/absent"):
+        with pytest.raises(FileNotFoundError, match="absent"):
+            list_files(spark, root)
+
+
+def test_a_file_as_root(spark, root):
+    for place in (f"{root}/src/test.txt", f"file://{root}/src/test.txt"):
+        listed = [r["path"] for r in list_files(spark, place).collect()]
+        assert listed == [place]
+
+
+def test_a_failing_directory_is_tried_again_and_then_raised(monkeypatch):
+    monkeypatch.setattr(file_tree, "WAIT", 0)
+    calls = []
+
+    def entries(failures, error):
+        def listed(directory):
+            calls.append(directory)
+            yield ("a", 1, 1, False)
+            if len(calls) <= failures:
+                raise error
+            yield ("b", 1, 1, False)
+
+        return listed
+
+    for failures, error, expected in [(2, OSError("reset"), ["a", "b"]), (9, PermissionError(), ["a"])]:
+        calls.clear()
+        assert [e[0] for e in file_tree._tried(entries(failures, error), "d")] == expected
+    calls.clear()
+    with pytest.raises(OSError, match="reset"):
+        list(file_tree._tried(entries(9, OSError("reset")), "d"))
+    assert len(calls) == file_tree.ATTEMPTS
+
+
+def test_a_file_too_long_for_a_row(spark, root, monkeypatch):
+    listing = list_files(spark, root).withColumn("length", F.when(F.col("path").like("%src/test.txt"), 3 << 30).otherwise(F.col("length")))
+    rows = {r["path"][len(root) + 1 :]: r for r in read_contents(listing).collect()}
+    assert "more than 2147483647 bytes" in rows["src/test.txt"]["error"]
+    assert sum(r["error"] is not None for r in rows.values()) == 1
+
+
+def test_the_tree_of_a_list_with_repeats(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("one two three")
+    (tmp_path / "y.txt").write_text("one")
+    listing = tmp_path / "list"
+    listing.write_text(f"{tmp_path}/x.txt\n{tmp_path}/y.txt\n{tmp_path}/x.txt\n")
+    lines = [r["line"] for r in plans.tree(plans.listed_files(spark, str(listing))).collect()]
+    assert any("x.txt (3 tokens)" in line for line in lines)
+    assert any(f"{tmp_path.name} (4 tokens)" in line for line in lines)
 
 
 def test_contents(spark, root):
@@ -100,7 +149,7 @@ def test_visible_files(spark, root):
 @pytest.mark.parametrize("few", [True, False])
 def test_path_list(spark, root, tmp_path, monkeypatch, few):
     monkeypatch.setattr("tallygrove.sources.path_list.is_small", lambda keys: few)
-    monkeypatch.setattr("tallygrove.operators.skew.HOT_ROWS", 2)
+    monkeypatch.setattr("tallygrove.operators.skew.TASK_ROWS", 2)
     names = ["src/test.txt", "", " \t", "missing.txt", "src/test.txt", " test.js", ".hid"]
     (tmp_path / "list").write_text("\n".join(f"{root}/{n}" if n.strip() else n for n in names))
     listed = read_path_list(spark, str(tmp_path / "list"))
@@ -222,10 +271,10 @@ def test_rule_precedence():
     assert effective_rules() == RuleSet("default", ("**",), ())
 
 
-def test_starter_rules(rows):
-    files = rows([(p,) for p in ["a", "Cargo.lock", "target/x", ".git/h"]], "path string")
-    kept = select_paths(files, STARTER_RULE_SET.filters, STARTER_RULE_SET.ignores)
-    assert [r["path"] for r in kept.collect()] == ["a", "target/x", ".git/h"]
+def test_a_trailing_slash_matches_no_file(rows):
+    files = rows([(p,) for p in ["a", "b.lock", "out/x", "out/y/z"]], "path string")
+    kept = select_paths(files, ("**",), ("*.lock", "out/"))
+    assert [r["path"] for r in kept.collect()] == ["a", "out/x", "out/y/z"]
 
 
 MEASURED = "path string, content string, tokens bigint, error string"

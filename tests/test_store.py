@@ -3,7 +3,6 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-import tallygrove.operators.skew as skew
 import tallygrove.operators.store as ops
 from tallygrove.operators.measure import measure
 from tallygrove.plans.incremental import incremental_run
@@ -23,18 +22,17 @@ def requests(spark, *rows):
 
 
 def answers(frame):
-    return [(r["path"], r["content"], r["tokens"]) for r in frame.orderBy("pos").collect()]
+    order = "pos" if "pos" in frame.columns else "path"
+    return [(r["path"], r["content"], r["tokens"]) for r in frame.orderBy(order).collect()]
 
 
 def writes(store):
     return {r["seq"]: r["count"] for r in store.log().groupBy("seq").count().collect()}
 
 
-@pytest.fixture(params=["moved", "in place", "many paths"])
+@pytest.fixture(params=["few paths", "many paths"])
 def layout(request, monkeypatch):
-    """Both ways to fetch contents, and both ways to look paths up."""
-    if request.param == "in place":
-        monkeypatch.setattr(skew, "fits_one_wave", lambda rows: False)
+    """Both ways to look paths up."""
     if request.param == "many paths":
         monkeypatch.setattr(ops, "is_small", lambda keys: False)
 
@@ -135,6 +133,45 @@ def test_a_store_is_not_created_over_another(spark, store):
 VERSION = "path string, content string, mtime bigint"
 
 
+def test_a_store_is_cleared_under_dynamic_overwriting(spark, store):
+    incremental_run(requests(spark, ("a", "one", 1), ("b", "two", 1)), store)
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        store.clear()
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    assert store.log().count() == 0
+
+
+def test_a_null_path_is_a_path(spark, store, layout):
+    wanted = requests(spark, (None, "one", 1), ("b", "two", 1), (None, "one", 1))
+    first = sorted(answers(incremental_run(wanted, store)), key=str)
+    assert first == [("b", "two", 1), (None, "one", 1), (None, "one", 1)]
+    assert sorted(answers(incremental_run(wanted, store)), key=str) == first
+    assert sum(writes(store).values()) == 2
+
+
+def test_stream_keeps_what_could_not_be_read(spark, store, tmp_path):
+    source, letters = str(tmp_path / "in"), str(tmp_path / "letters")
+    rows = [("a", "one", 5), ("bad", "x", 5), ("worse", "x", 5)]
+    spark.createDataFrame(rows, VERSION).coalesce(1).write.parquet(source)
+    read = lambda missing: missing.withColumn(
+        "error", F.when(F.col("path") != "a", F.lit("Failed to read file"))
+    )
+
+    def run(checkpoint, **options):
+        stream = spark.readStream.schema(VERSION).parquet(source)
+        start_incremental(stream, store, str(tmp_path / checkpoint), read=read, **options).awaitTermination()
+
+    with pytest.raises(Exception, match="2 rows could not be read"):
+        run("one")
+    run("two", dead_letters=letters)
+    assert {r["path"] for r in store.latest().collect()} == {"a"}
+    assert {(r["path"], r["error"]) for r in spark.read.parquet(letters).collect()} == {
+        ("bad", "Failed to read file"), ("worse", "Failed to read file"),
+    }
+
+
 def test_stream(spark, store, tmp_path):
     source = str(tmp_path / "in")
 
