@@ -6,6 +6,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,8 @@ BROADCAST_ENTRIES = 1_000_000
 BROADCAST_BYTES = 64 << 20
 
 MEMO = 1_000_000  # distinct pieces a worker process remembers
+MEMO_PIECE = 256  # bytes of the longest piece it remembers, so that all take 256 MB at most
+FILTER_BITS = 1 << 26  # of the bitmap of a vocabulary that is joined
 
 
 def read_vocab(spark: SparkSession, location: str) -> DataFrame:
@@ -94,13 +97,16 @@ def _piece_tally(shared):
 
         for batch in batches:
             coded = batch.flatten().dictionary_encode()
-            if len(memo) > MEMO:
-                memo.clear()
             counts = []
             for piece in coded.dictionary.to_pylist():
-                if piece not in memo:
-                    memo[piece] = tokens(piece)
-                counts.append(memo[piece])
+                count = memo.get(piece)
+                if count is None:
+                    count = tokens(piece)
+                    if len(piece) <= MEMO_PIECE:
+                        if len(memo) >= MEMO:
+                            memo.clear()
+                        memo[piece] = count
+                counts.append(count)
             each = np.array(counts, dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
             sums = np.concatenate([[0], np.cumsum(each)])
             lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
@@ -119,6 +125,44 @@ def _merge_with_own_tokens(
         yield pa.array([merged_parts(p, dict(zip(t or (), r or ()))) for p, t, r in rows], pa.int64())
 
 
+def _likely_entries(rest: DataFrame, vocab: DataFrame, longest: int) -> DataFrame:
+    """(_id, token): runs of two bytes or more of each piece that may be entries.
+
+    Runs are looked up in a bitmap of the entries' hashes, of FILTER_BITS whatever the size of
+    the vocabulary, so what leaves the task is what is an entry, and the odd run that only
+    looks like one.
+    """
+    place = F.pmod(F.xxhash64("token"), F.lit(FILTER_BITS)) + 1  # positions count from 1
+    bitmaps = (
+        vocab.select(place.alias("place"))
+        .groupBy(F.bitmap_bucket_number("place").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    )
+    size = 32768 // 8  # bytes of a bucket; the first is number 1
+    filled = bytearray(FILTER_BITS // 8 + size)
+    for row in bitmaps.toLocalIterator():
+        start = (row["bucket"] - 1) * size
+        filled[start : start + size] = row["bits"].ljust(size, b"\0")
+    sent = rest.sparkSession.sparkContext.broadcast(bytes(filled))
+
+    def found(batches):
+        bits, hashed = sent.value, xxhash.xxh64_intdigest
+        for batch in batches:
+            ids, tokens = [], []
+            for key, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = {
+                    piece[start:stop]
+                    for start in range(len(piece) - 1)
+                    for stop in range(start + 2, min(len(piece), start + longest) + 1)
+                    if bits[(at := hashed(piece[start:stop], 42) % FILTER_BITS) >> 3] >> (at & 7) & 1
+                }
+                ids += [key] * len(own)
+                tokens += own
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(tokens, pa.binary())], ["_id", "token"])
+
+    return rest.select("_id", "bytes").mapInArrow(found, "_id string, token binary")
+
+
 def _join_vocab(files: DataFrame, vocab: DataFrame) -> DataFrame:
     """The same count with no broadcast: every distinct piece is joined with the entries it contains.
 
@@ -144,20 +188,11 @@ def _join_vocab(files: DataFrame, vocab: DataFrame) -> DataFrame:
     distinct = materialise(distinct.join(vocab, "token", "left"))
     is_token = F.col("rank").isNotNull() | F.col("piece").isin(*SPECIAL_TOKENS)
     rest = distinct.where(~is_token).select("piece", F.col("token").alias("bytes"))
-
-    # Runs of two bytes or more; longer than any entry, they cannot be one.
-    starts = F.explode(F.sequence(F.lit(1), F.octet_length("bytes") - 1)).alias("start")
-    room = F.least(F.octet_length("bytes") - F.col("start") + 1, longest.scalar())
-    sizes = F.explode(F.when(room >= 2, F.sequence(F.lit(2), room))).alias("size")
-    runs = (
-        rest.where(F.octet_length("bytes") > 1)
-        .select("piece", "bytes", starts)
-        .select("piece", "bytes", "start", sizes)
-        .select("piece", F.expr("substring(bytes, start, size)").alias("token"))
-    )
-    entries = join_salted(runs, vocab, on="token", spread_by="piece", how="inner")
-    own = entries.groupBy("piece").agg(F.collect_set(F.struct("token", "rank")).alias("own"))
-    merged = rest.join(own, "piece", "left").select(
+    rest = rest.withColumn("_id", F.md5("bytes"))
+    runs = _likely_entries(rest, vocab, int(longest.first()[0] or 0))
+    entries = join_salted(runs, vocab, on="token", spread_by="_id", how="inner")
+    own = entries.groupBy("_id").agg(F.collect_set(F.struct("token", "rank")).alias("own"))
+    merged = rest.join(own, "_id", "left").select(
         "piece",
         _merge_with_own_tokens("bytes", F.col("own.token"), F.col("own.rank")).alias("each"),
     )
