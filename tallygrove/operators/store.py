@@ -41,10 +41,14 @@ def few(requests: DataFrame) -> bool:
     return is_small(requests.select("path"))
 
 
-def _met(
-    requests: DataFrame, log: DataFrame, exact: bool, cut: bool | None, unique: bool
+def met_versions(
+    requests: DataFrame,
+    log: DataFrame,
+    exact: bool = False,
+    cut: bool | None = None,
+    unique: bool = False,
 ) -> DataFrame:
-    """Wanted versions with the `seq` of the write that answers them, null for a miss.
+    """(path, wanted, pos, seq): wanted versions with the `seq` of the write that answers them, null for a miss.
 
     A stored version answers if it is as new as the wanted one. `exact` asks for the very
     version instead, so that a restored older file is a miss. For few requests the log is
@@ -75,8 +79,12 @@ def lookup_hits(
 
     `cut` is the value of `few(requests)`, if known; `unique` says that no path repeats.
     """
-    keys = _met(requests, log, exact, cut, unique).where("seq is not null").select("path", "seq")
-    return keep_rows(log, keys, ["path", "seq"])
+    return hits_of(met_versions(requests, log, exact, cut, unique), log)
+
+
+def hits_of(met: DataFrame, log: DataFrame) -> DataFrame:
+    """The stored rows that `met_versions` found."""
+    return keep_rows(log, met.where("seq is not null").select("path", "seq"), ["path", "seq"])
 
 
 def lookup_misses(
@@ -87,8 +95,12 @@ def lookup_misses(
     unique: bool = False,
 ) -> DataFrame:
     """Requests without a hit, each path once, at its newest version."""
-    keys = _met(requests, log, exact, cut, unique).where("seq is null").select("pos")
-    return keep_rows(requests, keys, ["pos"])
+    return misses_of(met_versions(requests, log, exact, cut, unique), requests)
+
+
+def misses_of(met: DataFrame, requests: DataFrame) -> DataFrame:
+    """The requests that `met_versions` found nothing for."""
+    return keep_rows(requests, met.where("seq is null").select("pos"), ["pos"])
 
 
 def answer(requests: DataFrame, results: DataFrame, cut: bool | None = None) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrove.operators.measure import measure, normalise
-from tallygrove.operators.store import answer, few, lookup_hits, lookup_misses
+from tallygrove.operators.store import answer, few, hits_of, met_versions, misses_of
+from tallygrove.session import materialise
 from tallygrove.sinks.store import ResultStore
 
 
@@ -30,20 +31,27 @@ def incremental_run(
     seq = store.next_seq() if seq is None else seq
     log = store.log().where(F.col("seq") < seq)
     cut = few(requests)
-    if unique and log.isEmpty():
+    fields = ["path", "content", "tokens", "error"]
+    first = unique and log.isEmpty()
+    if first:
         missing = requests
     else:
-        missing = lookup_misses(requests, log, exact, cut, unique)
+        # One lookup, slim and written: it says what to measure, and later where answers lie.
+        met = materialise(met_versions(requests, log, exact, cut, unique))
+        missing = misses_of(met, requests)
     texts = read(missing) if read else missing
     store.append(measure(texts, vocab, table=read is None), seq=seq)
 
-    log = store.log()
-    fields = ["path", "content", "tokens", "error"]
-    results = lookup_hits(requests, log, exact, cut, unique).select(*fields)
+    # What was measured answers for what missed; nothing has to be looked up again.
+    written = store.written(seq)
+    results = written.select(*fields)
+    if not first:
+        results = hits_of(met, log).select(*fields).unionByName(results)
     if read or "error" in requests.columns:
-        # What still misses after the write could not be read.
-        missing = lookup_misses(requests, log, exact, cut, unique)
-        failed = normalise(read(missing) if read else missing)
+        # What missed and was not written could not be read.
+        kept = written.select(F.col("path").alias("_kept"))
+        unread = missing.join(kept, F.col("path").eqNullSafe(F.col("_kept")), "left_anti")
+        failed = normalise(read(unread) if read else unread)
         results = results.unionByName(
             failed.withColumn("tokens", F.lit(0).cast("bigint")).select(*fields)
         )
