@@ -35,7 +35,8 @@ LONGEST_STRETCH = 64  # without a sentence end, until other cuts are offered
 STRIDE = 16  # between such cuts
 SHORTEST_EXACT = 16  # of a sequence's length: no shorter windows for the sake of a power of two
 BLOCK = 256 * LENGTH  # tokens the program sees at once
-MEMO = 600_000  # pieces, about 120 MB
+MEMO = 450_000  # pieces, about 90 MB
+LOT = 1 << 20  # characters whose pieces are looked up together
 SHARD_ROWS = 10_000
 MOST_SHARDS = 10_000  # a shard is streamed, so larger ones only sort more
 # What the tokenizer splits off by itself: letters, a digit, marks. A piece between blanks with
@@ -85,6 +86,15 @@ class PieceEncoder:
         """Each text's ids, as bytes of numbers of type `self.kind`."""
         if not self.by_part:
             return [self.ids(text).astype(self.kind).tobytes() for text in texts]
+        lots, size = [[]], 0
+        for text in texts:
+            if size > LOT:
+                lots, size = [*lots, []], 0
+            lots[-1].append(text)
+            size += len(text)
+        return [ids for lot in lots for ids in self._encode_lot(lot)]
+
+    def _encode_lot(self, texts: list) -> list:
         odd = set()
         split = [self._pieces(text, odd) for text in texts]
         if len(self.young) > MEMO:
