@@ -11,7 +11,7 @@ def op1_quality(spark, sf_dir):
     """A quality score of every document; a quarter of the ids is never learnt from."""
     documents = only(read(spark, sf_dir, "documents"), doc_id="bigint", text="string")
     labels = read(spark, sf_dir, "labels")
-    held_out = crc() % 4 == 2
+    held_out = F.coalesce(crc() % 4 == 2, F.lit(False))
     training = drawn_rows(documents, labels, "quality", ~held_out, quality.TRAIN_ROWS_PER_CLASS)
     scored = quality.score(documents, quality.fit(training), out="score")
     return scored.select(
@@ -56,8 +56,8 @@ def op6_chat_formatting(spark, sf_dir):
     Probabilities are counted over the conversations whose crc32(conv_id) mod 4 is not 2.
     """
     raw = chat.transcripts(read(spark, sf_dir, "conversations"))
-    held_out = crc("conv_id") % 4 == 2
-    model = chat.fit(raw.where(F.coalesce(~held_out, F.lit(True))))
+    held_out = F.coalesce(crc("conv_id") % 4 == 2, F.lit(False))
+    model = chat.fit(raw.where(~held_out))
     return chat.parse(raw.drop("role"), model).withColumn("held_out", held_out)
 
 
@@ -80,7 +80,7 @@ def op8_toxicity(spark, sf_dir):
     """A toxicity score of every document; a third of the ids is never learnt from."""
     documents = only(read(spark, sf_dir, "documents"), doc_id="bigint", text="string")
     labels = read(spark, sf_dir, "labels")
-    held_out = crc() % 3 == 1
+    held_out = F.coalesce(crc() % 3 == 1, F.lit(False))
     training = drawn_rows(documents, labels, "toxic", ~held_out, toxicity.TRAIN_ROWS_PER_CLASS)
     scored = toxicity.score(documents, toxicity.fit(training), out="score")
     return scored.select(
