@@ -35,7 +35,7 @@ LONGEST_STRETCH = 64  # without a sentence end, until other cuts are offered
 STRIDE = 16  # between such cuts
 SHORTEST_EXACT = 16  # of a sequence's length: no shorter windows for the sake of a power of two
 BLOCK = 256 * LENGTH  # tokens the program sees at once
-MEMO = 450_000  # pieces, about 90 MB
+MEMO = 200_000  # pieces, about 40 MB
 LOT = 1 << 20  # characters whose pieces are looked up together
 SHARD_ROWS = 10_000
 MOST_SHARDS = 10_000  # a shard is streamed, so larger ones only sort more
