@@ -159,6 +159,26 @@ def repeated_keys(documents: DataFrame, doc_id: str, text: str, min_docs: int, m
     )
 
 
+def keys_by_row(rows: DataFrame, repeated: DataFrame, min_chars: int) -> DataFrame:
+    """(_row, _keys): the repeated keys of each of the (_row, text) rows, so no more than its lines."""
+
+    def occurrences(batches):
+        for batch in batches:
+            pairs = [
+                (row, key)
+                for row, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True)
+                for key in {d for d in digests(data, min_chars) if d}
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.binary())],
+                ["_row", "digest"],
+            )
+
+    texts = rows.select(F.col("_row"), F.col(rows.columns[1]).cast("string"))
+    held = texts.mapInArrow(occurrences, "_row bigint, digest binary").join(repeated.select("digest", "first"), "digest")
+    return held.groupBy("_row").agg(F.collect_list(F.struct("digest", "first")).alias("_keys"))
+
+
 def dedup_lines(
     documents: DataFrame,
     doc_id: str = "doc_id",
@@ -175,8 +195,8 @@ def dedup_lines(
     repeated. Its lines go from every document; with `keep_first`, the first line of the document
     with the smallest id stays. Columns named `n_lines` or `n_dropped` are replaced.
 
-    Confirmed keys are broadcast within `broadcast_keys`; beyond it they are joined to the
-    documents that hold them, with equal results.
+    Confirmed keys are broadcast within `broadcast_keys`; beyond it the rows are written once with
+    a number each and keys are joined to the rows that hold them, with equal results.
     """
     documents = documents.drop("n_lines", "n_dropped")
     named = [*documents.columns, "n_lines", "n_dropped"]
@@ -220,22 +240,8 @@ def dedup_lines(
 
         return documents.mapInArrow(by_broadcast, schema).toDF(*named)
 
-    def occurrences(batches):
-        for batch in batches:
-            pairs = [
-                (doc, key)
-                for doc, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True)
-                for key in {d for d in digests(data, min_chars) if d}
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.binary())],
-                ["_doc", "digest"],
-            )
-
-    ids = documents.select(F.col(f"`{doc_id}`").cast("bigint"), F.col(f"`{text}`").cast("string"))
-    held = ids.mapInArrow(occurrences, "_doc bigint, digest binary").join(repeated.select("digest", "first"), "digest")
-    per_doc = held.groupBy("_doc").agg(F.collect_set(F.struct("digest", "first")).alias("_keys"))
-    joined = documents.join(per_doc, F.col(f"`{doc_id}`").cast("bigint").eqNullSafe(F.col("_doc")), "left")
+    rows = materialise(documents.withColumn("_row", F.monotonically_increasing_id()))
+    joined = rows.join(keys_by_row(rows.select("_row", text), repeated, min_chars), "_row", "left")
 
     def by_join(batches):
         for batch in batches:

@@ -84,6 +84,26 @@ def test_filters_hold_what_was_seen_twice(spark):
     assert sum(suspected(f"own {i} {k}") for i in range(50) for k in range(20)) < 20
 
 
+def test_rows_of_one_id_do_not_share_their_keys(spark, monkeypatch):
+    """Beyond the broadcast, the keys that go to a row are its own, whatever its id."""
+    sizes = []
+
+    def written(df, materialise=line_dedup.materialise):
+        df = materialise(df)
+        if "_row" in df.columns:
+            keys = line_dedup.keys_by_row(df.select("_row", "c1"), repeated, 1)
+            sizes.extend(r[0] for r in keys.selectExpr("size(_keys)").collect())
+        return df
+
+    rows = [(draw, "\n".join(f"line {draw} {n} {k}" for k in range(3))) for draw in (None, 7) for n in [*range(40), *range(40)]]
+    data = spark.createDataFrame(rows, "doc_id bigint, text string")
+    repeated = line_dedup.materialise(line_dedup.repeated_keys(data, "doc_id", "text", 2, 1, 16))
+    monkeypatch.setattr(line_dedup, "materialise", written)
+    found = line_dedup.dedup_lines(data, bits=16, broadcast_keys=0)
+    assert sorted(r["text"] for r in found.collect()) == sorted(text for _, _, text in expected(rows, 2, 1, True))
+    assert sizes == [3] * len(rows)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert line_dedup.dedup_lines(empty).collect() == []
