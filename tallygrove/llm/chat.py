@@ -7,9 +7,12 @@ first and the further lines of a turn of each role. Start, transition and observ
 probabilities are counted over all labelled rows, Viterbi finds the likeliest states, and turns
 are rendered with one heading a turn, markers removed.
 
-A conversation is split into blocks of `BLOCK_TURNS` turn numbers, so one of any length is spread
-over tasks; rows of a block are streamed in order, and a part ends after `PART_BYTES` of text at
-the next row, so a task holds one part. The model starts anew with each part.
+A conversation is streamed in order by one task, which holds a part of it: a part ends with each
+block of `BLOCK_TURNS` turn numbers and at the next row after `PART_BYTES` of text. The model goes
+on over these cuts: a line is settled once the likeliest paths to all states agree on it, which
+takes few lines after it, and lines not yet settled are held. So the roles are those of the uncut
+conversation, and the texts of its rows, put together in order, are its transcript: a turn that
+spans a cut has its heading and its role in the row where it begins.
 
 Null and empty texts are one empty line. Rows with a null turn come first, in block 0; rows of an
 equal turn lie in order of their text, repeated rows are repeated. Rows without a conversation id
@@ -69,9 +72,9 @@ def marker(line: str) -> tuple:
     return (KINDS.index("quote"), found.end()) if found else (KINDS.index("none"), 0)
 
 
-def observe(lines: list) -> np.ndarray:
-    """One row of observed values for each line."""
-    found, after_blank = [], 0
+def observe(lines: list, after_blank: int = 0) -> np.ndarray:
+    """One row of observed values for each line; `after_blank`: whether a blank one stands before."""
+    found = []
     for line in lines:
         size = len(line.strip())
         found.append(
@@ -99,27 +102,92 @@ def likeliest(observed: np.ndarray, model: RoleModel) -> list:
     return states[::-1]
 
 
-def turns_of(lines: list, states: list) -> list:
-    """[(role, text)] with the markers of first lines removed and blank ends trimmed."""
-    turns = []
-    for line, state in zip(lines, states, strict=True):
-        if not state % 2 or not turns:
-            kind, end = marker(line)
-            turns.append((ROLES[state // 2], [line[end:] if KINDS[kind] != "other" else line]))
-        else:
-            turns[-1][1].append(line)
-    return [(role, "\n".join(text).strip()) for role, text in turns]
+class Decoder:
+    """Viterbi over a conversation that comes piece by piece; see `likeliest`."""
 
+    def __init__(self, model: RoleModel):
+        self.model, self.score, self.lines, self.back, self.after_blank = model, None, [], [], 0
 
-def rendered(turns: list) -> str:
-    return "".join(f"<|{role}|>\n{text}\n" for role, text in turns)
+    def add(self, lines: list) -> list:
+        """Takes (line, where) pairs; gives those that are settled now, as (line, where, state)."""
+        observed = observe([line for line, _ in lines], self.after_blank)
+        emitted = sum(table[:, observed[:, k]] for k, table in enumerate(self.model.seen)).T
+        every = np.arange(STATES)
+        for row in emitted:
+            if self.score is None:
+                self.score = self.model.start + row
+                self.back.append(every)
+                continue
+            paths = self.score[:, None] + self.model.move
+            self.back.append(paths.argmax(axis=0))
+            self.score = paths[self.back[-1], every] + row
+        self.lines += lines
+        self.after_blank = int(not lines[-1][0].strip())
+        states = every
+        for at in range(len(self.lines) - 1, 0, -1):
+            states = self.back[at][states]
+            if (states == states[0]).all():
+                return self._settled(at, int(states[0]))
+        return []
+
+    def rest(self) -> list:
+        return self._settled(len(self.lines), int(self.score.argmax())) if self.lines else []
+
+    def _settled(self, n: int, state: int) -> list:
+        """The first n lines, of which the last has that state."""
+        states = [state]
+        for at in range(n - 1, 0, -1):
+            states.append(int(self.back[at][states[-1]]))
+        done = [(line, where, state) for (line, where), state in zip(self.lines[:n], states[::-1], strict=True)]
+        self.lines, self.back = self.lines[n:], self.back[n:]
+        return done
+
+
+class Transcript:
+    """Renders settled lines: one heading a turn, markers of first lines and blank ends removed."""
+
+    def __init__(self):
+        self.any, self.written, self.blank = False, False, ""
+        self.text, self.roles, self.n = [], [], 0
+
+    def add(self, line: str, state: int) -> None:
+        if self.begins(state):
+            role = ROLES[state // 2]
+            self.end()
+            self.any, self.written, self.blank = True, False, ""
+            self.roles.append(role)
+            self.text.append(f"<|{role}|>\n")
+            line = line[marker(line)[1] :]
+        else:
+            line = "\n" + line
+        whole = self.blank + line
+        body = (whole if self.written else whole.lstrip()).rstrip()
+        if body:
+            self.text.append(body)
+            self.written = True
+        self.blank = whole[len(whole.rstrip()) :] if self.written else ""
+        self.n += 1
+
+    def begins(self, state: int) -> bool:
+        return not (state % 2 and self.any)
+
+    def end(self) -> None:
+        if self.any:
+            self.text.append("\n")
+        self.any = False
+
+    def taken(self) -> tuple:
+        """(lines, roles, text) since the last call."""
+        found = self.n, self.roles, "".join(self.text)
+        self.n, self.roles, self.text = 0, [], []
+        return found
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
-    """(conv_id, block, role, text) with each block's rows side by side and in order."""
+    """(conv_id, block, role, text) with each conversation's rows side by side and in order."""
     block = F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(0)).cast("bigint").alias("block")
     rows = rows.select("conv_id", block, "turn", "role", "text")
-    ordered = rows.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "text")
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "block", "turn", "text")
     return ordered.select("conv_id", "block", "role", "text")
 
 
@@ -154,7 +222,10 @@ def fit(conversations: DataFrame, conv_id="conv_id", turn="turn", text="text", r
 
     def counted(batches):
         counts = np.zeros(offsets[-1], np.int64)
-        for _, _, held in _parts(batches):
+        conversation, before, after_blank = (), None, 0
+        for (own_id, _), _, held in _parts(batches):
+            if (own_id,) != conversation:
+                conversation, before, after_blank = (own_id,), None, 0
             lines, states = [], []
             for name, piece in held:
                 if name in ROLES:
@@ -164,8 +235,12 @@ def fit(conversations: DataFrame, conv_id="conv_id", turn="turn", text="text", r
             if not lines:
                 continue
             states = np.array(states)
-            observed = observe(lines)
-            counts[states[0]] += 1
+            observed = observe(lines, after_blank)
+            if before is None:
+                counts[states[0]] += 1
+            else:
+                counts[offsets[1] + before * STATES + states[0]] += 1
+            before, after_blank = states[-1], int(not lines[-1].strip())
             np.add.at(counts, offsets[1] + states[:-1] * STATES + states[1:], 1)
             for k, n in enumerate(OBSERVED):
                 np.add.at(counts, offsets[2 + k] + states * n + observed[:, k], 1)
@@ -192,27 +267,54 @@ def fit(conversations: DataFrame, conv_id="conv_id", turn="turn", text="text", r
 def parse(conversations: DataFrame, model: RoleModel, conv_id="conv_id", turn="turn", text="text") -> DataFrame:
     """(conv_id, block, part, n_lines, roles, text): canonical turns of each part of a transcript.
 
-    `roles` has the role of each turn, in order. Roles that the table may hold are not read.
+    `roles` has the role of each turn that begins in the part, in order. Roles that the table may hold are not read.
     """
     start, move, seen = model.start, model.move, model.seen
 
     def parsed(batches):
         model = RoleModel(start, move, seen)
-        for (conversation, block), number, held in _parts(batches):
-            lines = [line for _, piece in held for line in piece.split("\n")]
-            turns = turns_of(lines, likeliest(observe(lines), model))
-            yield pa.RecordBatch.from_arrays(
+        decoder = None
+
+        def row(where):
+            conversation, block, number = where
+            n, roles, text = transcript.taken()
+            return pa.RecordBatch.from_arrays(
                 [
                     pa.array([conversation], pa.int64()),
                     pa.array([block], pa.int64()),
                     pa.array([number], pa.int32()),
-                    pa.array([len(lines)], pa.int64()),
-                    pa.array([[role for role, _ in turns]], pa.list_(pa.string())),
-                    pa.array([rendered(turns)], pa.string()),
+                    pa.array([n], pa.int64()),
+                    pa.array([roles], pa.list_(pa.string())),
+                    pa.array([text], pa.string()),
                 ],
                 ["conv_id", "block", "part", "n_lines", "roles", "text"],
             )
 
+        def written(settled):
+            nonlocal at
+            for line, where, state in settled:
+                if at is not None and where != at:
+                    if transcript.begins(state):
+                        transcript.end()
+                    yield row(at)
+                at = where
+                transcript.add(line, state)
+
+        def ended():
+            yield from written(decoder.rest())
+            transcript.end()
+            yield row(at)
+
+        for (conversation, block), number, held in _parts(batches):
+            if decoder is None or conversation != at_conversation:
+                if decoder:
+                    yield from ended()
+                decoder, transcript, at, at_conversation = Decoder(model), Transcript(), None, conversation
+            where = (conversation, block, number)
+            yield from written(decoder.add([(line, where) for _, piece in held for line in piece.split("\n")]))
+        if decoder:
+            yield from ended()
+
     rows = _named(conversations, conv_id, turn, text, None)
     return _ordered(rows).mapInArrow(
         parsed, "conv_id bigint, block bigint, part int, n_lines bigint, roles array<string>, text string"

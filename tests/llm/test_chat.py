@@ -81,6 +81,36 @@ def test_odd_rows(spark, monkeypatch):
     assert chat.parse(empty, chat.fit(empty)).collect() == []
 
 
+def test_cuts_change_nothing(spark, monkeypatch):
+    """Roles and transcripts of a conversation in parts are those of the uncut one; so is the model."""
+    draw = np.random.default_rng(4)
+    rows, roles = [], ["user", "assistant"]
+    for n in range(120):
+        role = roles[n % 2]
+        mark = "User: " if role == "user" else draw.choice(["", "", "Assistant: "])
+        lines = [draw.choice(["some words", "  ", "", "why?", "a longer line " * 9]) for _ in range(draw.integers(1, 5))]
+        rows.append((5, n, role, mark + "\n".join(lines), 1, 2))
+    rows += MANUAL
+    table = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    model = chat.fit(table)
+    raw = table.drop("role")
+    whole = {r["conv_id"]: r for r in chat.parse(raw, model).collect()}
+    assert len(whole) == 3
+    for turns, size in ((7, 8 << 20), (4096, 60), (3, 1)):
+        monkeypatch.setattr(chat, "BLOCK_TURNS", turns)
+        monkeypatch.setattr(chat, "PART_BYTES", size)
+        cut = chat.fit(table)
+        for a, b in zip((model.start, model.move, *model.seen), (cut.start, cut.move, *cut.seen), strict=True):
+            assert np.array_equal(a, b)
+        found = sorted(chat.parse(raw, model).collect(), key=lambda r: (r["conv_id"], r["block"], r["part"]))
+        assert len(found) > 10
+        for conversation, one in whole.items():
+            parts = [r for r in found if r["conv_id"] == conversation]
+            assert [x for r in parts for x in r["roles"]] == one["roles"]
+            assert "".join(r["text"] for r in parts) == one["text"]
+            assert sum(r["n_lines"] for r in parts) == one["n_lines"]
+
+
 def test_held_out_conversations(spark):
     sf = "/root/testdata/sf0.01"
     found = QUERIES["op6_chat_formatting"](spark, sf)
