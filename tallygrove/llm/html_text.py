@@ -6,7 +6,11 @@ writes what is visible. Blocks stand on lines of their own, paragraphs and headi
 a blank line, list items have a marker and an indent by depth, `pre` keeps its white space, cells
 of a table row stand in columns as wide as their widest cell.
 
-Not visible: head, script, style, template and similar elements, comments, elements with `hidden`,
+Formulas and the labels of drawings are text; of a `select`, the options marked `selected` are shown, or
+all of a list box. Text that stands directly in a table or in its rows comes before the table.
+
+Not visible: head, script, style, template, frames, media, what a drawing only defines, annotations of
+formulas, a menu's first option where none is marked, comments, elements with `hidden`,
 `aria-hidden="true"`, or an inline style of `display:none` or `visibility:hidden`, closed
 `details` but for their summary, inputs of type hidden.
 
@@ -40,9 +44,10 @@ DEEPEST_TABLE = 20  # tables inside more tables than this are laid out as blocks
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 NEVER = set(
-    "head script style template noscript title meta link iframe object embed svg math canvas audio video"
-    " datalist noembed noframes select".split()
+    "head script style template noscript title meta link iframe object embed canvas audio video"
+    " datalist noembed noframes annotation annotation-xml".split()
 )
+DEFINED = set("defs desc metadata symbol clippath mask marker pattern".split())  # in svg only
 PARAGRAPHS = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
 BLOCKS = PARAGRAPHS | set(
     "html body div section article aside header footer nav main address form fieldset legend li dt dd tr caption"
@@ -93,6 +98,8 @@ def tree(html: str) -> Element:
             continue
         _imply_ends(stack, name)
         element = Element(name, _attributes(tag["rest"]))
+        if name in DEFINED and any(x.name == "svg" for x in stack):
+            element.attributes["hidden"] = ""
         stack[-1].children.append(element)
         if name in RAW:
             end = re.compile(rf"</{name}[\s/>]", re.IGNORECASE).search(html, at)
@@ -232,7 +239,7 @@ def _walk(page, top):
             page.set_off(2)
             continue
         inside, pre = lists, pre or name == "pre"
-        gap = 0 if name not in BLOCKS else 2 if name in PARAGRAPHS and not (lists and name in ("ul", "ol", "p")) else 1
+        gap = int(name == "text") if name not in BLOCKS else 2 if name in PARAGRAPHS and not (lists and name in ("ul", "ol", "p")) else 1
         if gap:
             page.set_off(gap)
         if name in ("ul", "ol", "menu"):
@@ -267,9 +274,25 @@ def _number(text):
 def _shown(element):
     if element.name == "details" and "open" not in element.attributes:
         return [c for c in element.children if isinstance(c, Element) and c.name == "summary"]
+    if element.name == "select" and "multiple" not in element.attributes and _number(element.attributes.get("size")) < 2:
+        return _chosen(element)
     return element.children
 
 
+def _chosen(select):
+    """What a menu shows: the contents of its options marked as selected."""
+    found, stack = [], list(reversed(select.children))
+    while stack:
+        child = stack.pop()
+        if isinstance(child, str) or hidden(child):
+            continue
+        if child.name == "option" and "selected" in child.attributes:
+            found = child.children
+        elif child.name != "option":
+            stack.extend(reversed(child.children))
+    return found
+
+
 def _table(page, table):
     """Rows of cells in columns; cells of several lines keep them, a cell's span is left open."""
     rows, stack = [], list(reversed(table.children))
@@ -282,6 +305,11 @@ def _table(page, table):
         if child.name in ("thead", "tbody", "tfoot"):
             stack.extend(reversed(child.children))
         elif child.name == "tr":
+            for loose in child.children:
+                if isinstance(loose, str) and loose.strip():
+                    page.end_line()
+                    page.text(loose)
+                    page.end_line()
             cells = [c for c in child.children if isinstance(c, Element) and not hidden(c)]
             rows.append([x for c in cells for x in _cell(c, page.depth + 1)])
         elif child.name not in ("col", "colgroup"):

@@ -37,6 +37,23 @@ def test_cases(html, text):
     assert visible_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("a <math><mi>x</mi><mo>+</mo><mn>1</mn></math> b", "a x+1 b"),
+        ("<math><semantics><mi>y</mi><annotation>\\y</annotation></semantics></math>", "y"),
+        ("<svg><title>t</title><defs><text>no</text></defs><text>North</text><text>South</text></svg>", "North\nSouth"),
+        ("<desc>d</desc>", "d"),
+        ("c: <select><option>a<option selected>b<option>c</select>!", "c: b!"),
+        ("<select multiple><option>a<option>b</select>", "a\nb"),
+        ("<table><tr>loose<td>a</td>more<td>b</table>", "loose\nmore\na  b"),
+        ("<table><tbody><tr> <td>a</td> <td>b</td> </tr></table>", "a  b"),
+    ],
+)
+def test_formulas_drawings_menus_and_loose_text(html, text):
+    assert visible_text(html) == text
+
+
 def test_deep_and_long_pages():
     assert visible_text("<div>" * 50_000 + "x") == "x"
     assert visible_text("<table><tr><td>" * 300 + "x") == "x"
