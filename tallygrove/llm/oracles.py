@@ -86,4 +86,33 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM doc_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
-ORACLES = {"op3_license_scan": OP3, "op5_line_dedup": OP5, "op7_decontamination": OP7}
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP13 = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS doc, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') AS terms FROM documents
+), totals AS (
+    SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM docs WHERE len(terms) > 0
+), counts AS (
+    SELECT doc, doc_id, n, term, count(*) AS tf
+    FROM (SELECT doc, doc_id, len(terms) AS n, unnest(terms) AS term FROM docs) GROUP BY ALL
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM counts, totals GROUP BY term, n_docs
+), item_terms AS (
+    SELECT DISTINCT item_id,
+           unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM benchmark
+), scores AS (
+    SELECT item_id, doc, doc_id,
+           CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+    FROM item_terms JOIN counts USING (term) JOIN weights USING (term), totals GROUP BY ALL
+), ranked AS (
+    SELECT item_id, doc_id, score,
+           CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+    FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLES = {"op3_license_scan": OP3, "op5_line_dedup": OP5, "op7_decontamination": OP7, "op13_lexical_search": OP13}

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallygrove.llm import chat, decontaminate, html_text, license_scan, line_dedup, neighbours, pack, quality, simhash, toxicity
+from tallygrove.llm import chat, decontaminate, html_text, lexical, license_scan, line_dedup, neighbours, pack, quality, simhash, toxicity
 from tallygrove.llm.common import crc, drawn_rows, only, read
 
 
@@ -98,6 +98,12 @@ def op10_html_extraction(spark, sf_dir):
     return html_text.extract(read(spark, sf_dir, "pages"))
 
 
+def op13_lexical_search(spark, sf_dir):
+    """The ten best documents of every benchmark item."""
+    documents = only(read(spark, sf_dir, "documents"), doc_id="bigint", text="string")
+    return lexical.search(documents, read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -109,5 +115,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_neighbours": op9_neighbours,
     "op10_html_extraction": op10_html_extraction,
+    "op13_lexical_search": op13_lexical_search,
 }
 
