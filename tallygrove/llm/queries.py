@@ -3,7 +3,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallygrove.llm import chat, decontaminate, html_text, lexical, license_scan, line_dedup, neighbours, pack, quality, simhash, toxicity
+from tallygrove.llm import chat, decontaminate, fingerprint, html_text, lexical, license_scan, line_dedup
+from tallygrove.llm import neighbours, pack, quality, simhash, toxicity
 from tallygrove.llm.common import crc, drawn_rows, only, read
 
 
@@ -98,6 +99,11 @@ def op10_html_extraction(spark, sf_dir):
     return html_text.extract(read(spark, sf_dir, "pages"))
 
 
+def op12_fingerprints(spark, sf_dir):
+    """Every document's fingerprint beside those of its edited text and of the next document."""
+    return fingerprint.compare_edits(read(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark, sf_dir):
     """The ten best documents of every benchmark item."""
     documents = only(read(spark, sf_dir, "documents"), doc_id="bigint", text="string")
@@ -115,6 +121,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_neighbours": op9_neighbours,
     "op10_html_extraction": op10_html_extraction,
+    "op12_fingerprints": op12_fingerprints,
     "op13_lexical_search": op13_lexical_search,
 }
 
