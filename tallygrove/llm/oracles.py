@@ -86,6 +86,44 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM doc_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
+CRC32 = """
+xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)::BIGINT[]), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))))
+"""
+
+OP11 = f"""
+WITH turns AS (
+    SELECT conv_id, sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text) AS digest, length(text) AS n,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text)) AS place
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), wanted AS (
+    SELECT conv_id, {CRC32} % 6 AS taken FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+    SELECT w.conv_id, t.place, t.digest, t.n FROM wanted w JOIN turns t ON t.conv_id = w.conv_id - w.conv_id % 100 WHERE t.place <= w.taken
+    UNION ALL
+    SELECT w.conv_id, t.place, t.digest, t.n FROM wanted w JOIN turns t ON t.conv_id = w.conv_id WHERE t.place > w.taken
+), prefixes AS (
+    SELECT conv_id, n, row_number() OVER path AS depth, string_agg(digest, '') OVER path AS key,
+           count(*) OVER (PARTITION BY conv_id) AS n_turns
+    FROM rebuilt WINDOW path AS (PARTITION BY conv_id ORDER BY place)
+    UNION ALL
+    SELECT conv_id, 0, 0, '', (SELECT count(*) FROM rebuilt r WHERE r.conv_id = w.conv_id) FROM wanted w
+), nodes AS (
+    SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n) AS saved,
+           sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n_turns = depth), '')) AS ends_sha256
+    FROM prefixes GROUP BY key, depth
+), counted AS (
+    SELECT n.*, coalesce(c.n_children, 0) AS n_children
+    FROM nodes n LEFT JOIN (SELECT left(key, length(key) - 64) AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL) c USING (key)
+), sums AS (
+    SELECT left(key, 64 * level) AS key, CAST(sum(saved) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+    FROM (SELECT *, unnest(range(depth + 1)) AS level FROM counted) GROUP BY ALL
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM counted n JOIN sums s USING (key) LEFT JOIN nodes p ON n.depth > 0 AND p.key = left(n.key, length(n.key) - 64)
+"""
+
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 OP13 = f"""
@@ -115,4 +153,4 @@ WITH docs AS (
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """
 
-ORACLES = {"op3_license_scan": OP3, "op5_line_dedup": OP5, "op7_decontamination": OP7, "op13_lexical_search": OP13}
+ORACLES = {"op3_license_scan": OP3, "op5_line_dedup": OP5, "op7_decontamination": OP7, "op11_prefix_trie": OP11, "op13_lexical_search": OP13}

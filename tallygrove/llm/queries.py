@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tallygrove.llm import chat, decontaminate, fingerprint, html_text, lexical, license_scan, line_dedup
-from tallygrove.llm import neighbours, pack, quality, simhash, toxicity
+from tallygrove.llm import neighbours, pack, quality, simhash, toxicity, trie
 from tallygrove.llm.common import crc, drawn_rows, only, read
 
 
@@ -99,6 +99,12 @@ def op10_html_extraction(spark, sf_dir):
     return html_text.extract(read(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    """The nodes of the prefix trie of all conversations, after turns were borrowed within hundreds."""
+    conversations = trie.digested(read(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(trie.regrown(conversations, 100, 5, crc("conv_id") % 6))
+
+
 def op12_fingerprints(spark, sf_dir):
     """Every document's fingerprint beside those of its edited text and of the next document."""
     return fingerprint.compare_edits(read(spark, sf_dir, "documents"))
@@ -121,6 +127,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_neighbours": op9_neighbours,
     "op10_html_extraction": op10_html_extraction,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_fingerprints": op12_fingerprints,
     "op13_lexical_search": op13_lexical_search,
 }
