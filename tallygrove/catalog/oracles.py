@@ -271,6 +271,9 @@ FROM wanted LEFT JOIN files USING (path)""",
 SELECT path, tokens, mtime, seq FROM latest WHERE mtime >= 1000 + doc_id % 4""",
     "store_hits_exact": f"""WITH {PATHS}, {STORED}
 SELECT path, tokens, mtime, seq FROM latest WHERE mtime = 1000 + doc_id % 4""",
+    "store_bucketed_hits": f"""WITH {PATHS}, {STORED}
+SELECT path, tokens, mtime, seq, len(text)::INTEGER AS n_chars
+FROM latest JOIN documents USING (doc_id) WHERE mtime >= 1000 + doc_id % 4""",
     "store_misses": f"""WITH {PATHS}, {STORED}
 SELECT path, 1000 + doc_id % 4 AS mtime, len(text)::INTEGER AS n_chars
 FROM files JOIN documents USING (doc_id)

@@ -24,7 +24,8 @@ from tallygrove.operators.path_rules import (
 )
 from tallygrove.plans import incremental
 from tallygrove.plans.documents import Options, merge_files
-from tallygrove.session import scratch_dir, spread
+from tallygrove.session import materialise, scratch_dir, spread
+from tallygrove.sinks.clustered import ClusteredStore
 from tallygrove.sinks.reports import report_json, report_lines
 from tallygrove.sinks.store import ResultStore
 from tallygrove.sources.decode import decode_utf8
@@ -415,6 +416,17 @@ def store_hits_exact(spark, sf_dir):
     return hits.select("path", "tokens", "mtime", "seq")
 
 
+@query
+def store_bucketed_hits(spark, sf_dir):
+    """Every document asked for, from the buckets of a clustered store that may hold it."""
+    results = ClusteredStore.create(spark, scratch_dir(spark))
+    for seq in (1, 2):
+        results.append(views.stored(spark, sf_dir).where(F.col("seq") == seq), seq=seq)
+    wanted = views.requests(spark, sf_dir).select("pos", "path", "mtime")
+    hits = results.hits(materialise(results.met(wanted, before=3)), before=3)
+    return hits.select("path", "tokens", "mtime", "seq", F.length("content").alias("n_chars"))
+
+
 @query
 def store_misses(spark, sf_dir):
     misses = store.lookup_misses(views.requests(spark, sf_dir), views.stored(spark, sf_dir))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrove.operators.measure import measure, normalise
-from tallygrove.operators.store import answer, few, hits_of, met_versions, misses_of
+from tallygrove.operators.store import answer, few, misses_of
 from tallygrove.session import materialise
 from tallygrove.sinks.store import ResultStore
 
@@ -29,15 +29,14 @@ def incremental_run(
     not kept, so a file that can be read later is tried again.
     """
     seq = store.next_seq() if seq is None else seq
-    log = store.log().where(F.col("seq") < seq)
     cut = few(requests)
     fields = ["path", "content", "tokens", "error"]
-    first = unique and log.isEmpty()
+    first = unique and store.is_empty(seq)
     if first:
         missing = requests
     else:
         # One lookup, slim and written: it says what to measure, and later where answers lie.
-        met = materialise(met_versions(requests, log, exact, cut, unique))
+        met = materialise(store.met(requests, seq, exact, cut, unique))
         missing = misses_of(met, requests)
     texts = read(missing) if read else missing
     store.append(measure(texts, vocab, table=read is None), seq=seq)
@@ -46,7 +45,7 @@ def incremental_run(
     written = store.written(seq)
     results = written.select(*fields)
     if not first:
-        results = hits_of(met, log).select(*fields).unionByName(results)
+        results = store.hits(met, seq).select(*fields).unionByName(results)
     if read or "error" in requests.columns:
         # What missed and was not written could not be read.
         kept = written.select(F.col("path").alias("_kept"))

@@ -1,6 +1,7 @@
 """Parquet files of the result store, one directory `seq=N` per write."""
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +39,20 @@ class ResultStore:
         return ops.latest_rows(self.log())
 
     def next_seq(self) -> int:
-        last = self.log().agg(F.max("seq")).first()[0]
-        return 1 if last is None else last + 1
+        """The number after the last write's, by the names of the files."""
+        found = (re.search(r"/seq=(\d+)/", name) for name in self.log().inputFiles())
+        return 1 + max((int(seq[1]) for seq in found if seq), default=0)
+
+    def is_empty(self, before: int) -> bool:
+        return self.log().where(F.col("seq") < before).isEmpty()
+
+    def met(self, requests: DataFrame, before: int, exact=False, cut=None, unique=False) -> DataFrame:
+        """(path, wanted, pos, seq) as `met_versions`, by the writes before the one numbered `before`."""
+        return ops.met_versions(requests, self.log().where(F.col("seq") < before), exact, cut, unique)
+
+    def hits(self, met: DataFrame, before: int) -> DataFrame:
+        """The stored rows that `met` names."""
+        return ops.hits_of(met, self.log().where(F.col("seq") < before))
 
     def written(self, seq: int) -> DataFrame:
         """Rows of one write."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallygrove.operators.measure import measure
-from tallygrove.operators.store import lookup_misses
+from tallygrove.operators.store import misses_of
 from tallygrove.sinks.store import ResultStore
 
 
@@ -37,8 +37,7 @@ def start_incremental(
             if requests.isEmpty():
                 return
             seq = first + batch_id
-            log = store.log().where(F.col("seq") < seq)
-            missing = lookup_misses(requests, log)
+            missing = misses_of(store.met(requests, seq), requests)
             texts = read(missing) if read else missing
             measured = measure(texts, vocab, table=read is None).persist()
             try:

@@ -6,15 +6,16 @@ from pyspark.sql import functions as F
 import tallygrove.operators.store as ops
 from tallygrove.operators.measure import measure
 from tallygrove.plans.incremental import incremental_run
+from tallygrove.sinks.clustered import ClusteredStore
 from tallygrove.sinks.store import ResultStore
 from tallygrove.streaming.incremental import start_incremental
 
 REQUEST = "pos bigint, path string, content string, mtime bigint"
 
 
-@pytest.fixture
-def store(spark, tmp_path):
-    return ResultStore.create(spark, str(tmp_path / "store"))
+@pytest.fixture(params=[ResultStore, ClusteredStore])
+def store(spark, tmp_path, request):
+    return request.param.create(spark, str(tmp_path / "store"))
 
 
 def requests(spark, *rows):
@@ -127,7 +128,7 @@ def test_info_compact_clear(spark, store, tmp_path):
 
 def test_a_store_is_not_created_over_another(spark, store):
     with pytest.raises(Exception):
-        ResultStore.create(spark, store.location)
+        type(store).create(spark, store.location)
 
 
 VERSION = "path string, content string, mtime bigint"
