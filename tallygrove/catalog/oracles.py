@@ -219,6 +219,18 @@ ORACLES = {
 SELECT path FROM files WHERE lang = 'de' AND NOT regexp_full_match(path, 'src1./.*')""",
     "context_rules": CONTEXTS,
     "ignore_rules": IGNORE,
+    "ignore_chains": f"""SELECT {PATH} AS path FROM documents d
+WHERE doc_id % 10 = 0 OR NOT EXISTS (
+  SELECT 1 FROM documents r WHERE r.source = d.source AND (
+    (r.doc_id % 20 = 5 AND ends_with(d.doc_id::VARCHAR, right(r.doc_id::VARCHAR, 3)))
+    OR (r.doc_id % 20 = 10 AND starts_with(d.doc_id || '.txt', left(r.doc_id::VARCHAR, 3)))
+    OR (r.doc_id % 20 = 15 AND r.doc_id = d.doc_id)))""",
+    "ignored_directories_not_listed": """WITH places AS (
+  SELECT DISTINCT source, CASE WHEN lang = 'de' THEN '.de' ELSE lang END AS folder FROM documents WHERE source <> 'src4'
+)
+SELECT DISTINCT source AS path FROM places
+UNION ALL SELECT source || '/' || folder FROM places
+WHERE source <> 'src2' AND (source, folder) NOT IN (('src1', 'fr'), ('src3', 'en'))""",
     "token_top_n": f"WITH {FILES} {TOP} 10",
     "token_order": f"WITH {FILES} SELECT path, tokens FROM files WHERE tokens > 0 ORDER BY tokens DESC, path",
     "token_total": f"WITH {FILES} SELECT sum(tokens)::BIGINT AS total FROM files",

@@ -2,9 +2,11 @@
 
 import os
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrove.catalog import views
@@ -14,7 +16,7 @@ from tallygrove.functions.globs import is_glob
 from tallygrove.operators import hierarchy, ranking, store
 from tallygrove.operators.bpe import with_bpe_tokens
 from tallygrove.operators.budgets import apply_budgets, prune_by_length
-from tallygrove.operators.ignore_rules import drop_ignored
+from tallygrove.operators.ignore_rules import compile_rules, drop_ignored
 from tallygrove.operators.measure import measure
 from tallygrove.operators.path_rules import (
     RuleSet,
@@ -23,7 +25,7 @@ from tallygrove.operators.path_rules import (
     select_paths,
 )
 from tallygrove.plans import incremental
-from tallygrove.plans.documents import Options, merge_files
+from tallygrove.plans.documents import IgnoringWalk, Options, merge_files
 from tallygrove.session import materialise, scratch_dir, spread
 from tallygrove.sinks.clustered import ClusteredStore
 from tallygrove.sinks.reports import report_json, report_lines
@@ -169,6 +171,13 @@ def ignore_rules(spark, sf_dir):
     return drop_ignored(views.files(spark, sf_dir).select("path"), views.ignore_rules(spark))
 
 
+@query
+def ignore_chains(spark, sf_dir):
+    """Hundreds of rules, most of them names of single files, in two directories of every source."""
+    files = views.files(spark, sf_dir).select("path")
+    return drop_ignored(files, compile_rules(views.many_rules(spark, sf_dir)))
+
+
 # Ranking and reports
 
 
@@ -391,6 +400,25 @@ def file_tree_scan(spark, sf_dir):
     return files.select(path.alias("path"), "length", "tokens", "error")
 
 
+@query
+def ignored_directories_not_listed(spark, sf_dir):
+    """The directories that a walk over written files lists, with ignore files among them."""
+    root = _written_corpus(spark, sf_dir)
+    location = root if "://" in root else "file://" + root
+    rules = spark.createDataFrame(list(views.WALK_FILES.items()), "place string, content string")
+    rules = rules.select(F.concat(F.lit(location + "/"), "place").alias("target"), F.col("content").cast("binary").alias("content"))
+    rules.mapInArrow(_write_files, "target string").write.format("noop").mode("overwrite").save()
+    walk, levels = IgnoringWalk(spark, root, repositories_only=False), []
+
+    def prune(entries):
+        levels.append(materialise(walk.prune(entries).select("path")))
+        return levels[-1]
+
+    list_files(spark, root, prune=prune)
+    listed = reduce(DataFrame.unionByName, levels)
+    return listed.select(scalar.relative_path(F.col("path"), root).alias("path"))
+
+
 @query
 def visible_file_scan(spark, sf_dir):
     root = _written_corpus(spark, sf_dir)

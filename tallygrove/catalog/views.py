@@ -114,3 +114,35 @@ def ignore_rules(spark: SparkSession) -> DataFrame:
     return parse_ignore_files(
         spark.createDataFrame(list(IGNORE_FILES.items()), "path string, content string")
     )
+
+
+def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(base, level, line, value): in every source a line for each fifth document, as a name, an
+    ending, a beginning or a path; on top of them, in a stronger file, one that takes back a tenth."""
+    documents = table(spark, sf_dir, "documents")
+    name = F.col("doc_id").cast("string")
+    kind = F.col("doc_id") % 20
+    value = (
+        F.when(kind == 0, F.concat(name, F.lit(".txt")))
+        .when(kind == 5, F.concat(F.lit("*"), F.substring(name, -3, 3), F.lit(".txt")))
+        .when(kind == 10, F.concat(F.substring(name, 1, 3), F.lit("*")))
+        .otherwise(F.concat(F.lit("/"), "lang", F.lit("/"), name, F.lit(".txt")))
+    )
+    own = documents.where("doc_id % 5 = 0").select(
+        F.col("source").alias("base"), F.lit(1).alias("level"), F.col("doc_id").cast("int").alias("line"), value.alias("value")
+    )
+    top = documents.where("doc_id % 10 = 0").select(
+        F.lit("").alias("base"), F.lit(2).alias("level"), F.col("doc_id").cast("int").alias("line"),
+        F.concat(F.lit("!"), name, F.when(F.col("doc_id") % 500 == 0, F.lit(".t?t")).otherwise(F.lit(".txt"))).alias("value"),
+    )
+    return own.unionByName(top)
+
+
+# Ignore files of the written corpus, for the walk over it.
+WALK_FILES = {
+    "src1/.gitignore": "fr/\n.de\n!.de/\n",
+    "src2/.gitignore": "*\n",
+    "src3/.ignore": "/e*\n!es\n",
+    ".gitignore": "src4/\n",
+    "src4/.gitignore": "!*\n",
+}

@@ -1,8 +1,8 @@
 """Hierarchical ignore files: per directory, last match wins, `!` re-includes.
 
-Rules are a table keyed by the directory of their ignore file. They are put together per
-directory of the listing first (far fewer rows than files); each file then meets only the
-rules of its own directory, in one join on it.
+Rules are a table keyed by the directory of their ignore file. Small ones go to all tasks as
+chains; larger ones are put together per directory of the listing first (far fewer rows than
+files), and each file then meets only the rules of its own directory, in one join on it.
 """
 
 from collections.abc import Iterator
@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallygrove.functions.globs import glob_to_regex
+from tallygrove.operators import skew
 from tallygrove.operators.paths import ancestor_keys, name_of, node_key, parent_key
-from tallygrove.operators.skew import join_lookup
+from tallygrove.operators.rule_chains import ALWAYS, Chains
+from tallygrove.operators.skew import held_bytes, join_lookup
+from tallygrove.session import materialise
 
 # Names of ignore files with their levels; a higher level overrules a lower
 # one at any depth. The exclude file speaks for the directory that holds `.git`.
 EXCLUDE_FILE, EXCLUDE = "/.git/info/exclude", 0
 IGNORE_FILES = {".gitignore": 1, ".ignore": 2}
-ALWAYS = 2  # from this level on, rules hold outside repositories, too
 
 
 @F.arrow_udf(T.StringType())
@@ -130,7 +132,7 @@ def _with_ancestors(key: str) -> Column:
 
 
 def drop_ignored(
-    files: DataFrame, rules: DataFrame, repositories: DataFrame | None = None, top: str = ""
+    files: DataFrame, rules: DataFrame, repositories: DataFrame | None = None, top: str = "", is_dir: bool = False
 ) -> DataFrame:
     """Rows of (path, …) that no ignore rule hides.
 
@@ -139,43 +141,74 @@ def drop_ignored(
     the same root. With `repositories` (base), rules of the git kinds hold only below one,
     and those from above the innermost one do not reach into it. `top` is the directory the
     files were listed from: neither it nor what is above is judged, but rules from there
-    hold. Give a listing, as the rows are joined on their directory.
+    hold. With `is_dir` the paths are directories.
+
+    Rules within LOOKUP_BYTES go to every task, compiled into chains, and rows stay where they
+    are. Larger tables of rules are joined, directory by directory, with the same result.
     """
+    rules = materialise(rules)
+    tops = None if repositories is None else materialise(repositories.select("base").distinct())
+    if held_bytes(rules) + (held_bytes(tops) if tops is not None else 0) <= skew.LOOKUP_BYTES:
+        return _drop_by_chains(files, rules, tops, top, is_dir)
+    return _drop_by_joins(files, rules, tops, top, is_dir)
+
+
+def _base_key() -> Column:
+    return F.when(F.col("base") == "", F.lit("")).otherwise(node_key(F.col("base")))
+
+
+def _drop_by_chains(files, rules, tops, top, is_dir):
+    held = rules.select(_base_key(), "level", "line", "neg", "dironly", "rx").collect()
+    places = None if tops is None else [row[0] for row in tops.select(_base_key()).collect()]
+    sent = files.sparkSession.sparkContext.broadcast((list(map(tuple, held)), places, f"/{top}" if top else ""))
+
+    @F.arrow_udf(T.BooleanType())
+    def kept(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        chains = Chains(*sent.value)
+        gone = chains.hidden if is_dir else chains.gone
+        for batch in batches:
+            yield pa.array([not gone(f"/{path}") for path in batch.to_pylist()], pa.bool_())
+
+    return files.where(kept("path"))
+
+
+def _drop_by_joins(files, rules, tops, top, is_dir):
     keyed = files.withColumn("_key", node_key(F.col("path")))
     keyed = keyed.withColumn("_dir", parent_key(F.col("_key")))
 
-    base = F.when(F.col("base") == "", F.lit("")).otherwise(node_key(F.col("base")))
     # Sorted descending by these fields, the strongest rule comes first.
-    rule = F.struct("level", F.length(base).alias("at"), "line", "neg", "dironly", "rx")
+    rule = F.struct("level", F.length(_base_key()).alias("at"), "line", "neg", "dironly", "rx")
     packed = (
-        rules.select(base.alias("base"), rule.alias("rule"))
+        rules.select(_base_key().alias("base"), rule.alias("rule"))
         .groupBy("base")
         .agg(F.collect_list("rule").alias("rules"))
     )
-    if repositories is not None:
-        tops = repositories.select(base.alias("base"), F.length(base).alias("top"))
-        packed = packed.join(tops, "base", "full")
+    if tops is not None:
+        places = tops.select(_base_key().alias("base")).withColumn("top", F.length("base"))
+        packed = packed.join(places, "base", "full")
     else:
         packed = packed.withColumn("top", F.lit(0))
-    # Directories that hold files, each with the rules of itself and of those above it.
-    above = keyed.select("_dir").distinct().select("_dir", F.explode(_with_ancestors("_dir")).alias("base"))
+    # All directories, each with the rules of itself and of those above it.
+    dirs = materialise(keyed.select("_dir").distinct())
+    every = dirs.select(F.explode(_with_ancestors("_dir")).alias("_dir")).distinct()
+    above = every.select("_dir", F.explode(_with_ancestors("_dir")).alias("base"))
     stacks = (
         join_lookup(above, packed, on="base", spread_by="_dir", how="inner")
         .groupBy("_dir")
         .agg(F.max("top").alias("top"), F.flatten(F.collect_list("rules")).alias("rules"))
     )
-    if repositories is not None:
+    if tops is not None:
         within = F.filter("rules", lambda r: (r["level"] >= ALWAYS) | (r["at"] >= F.col("top")))
         stacks = stacks.withColumn("rules", within)
-    # Such a directory is hidden if it or one above it is ignored.
-    judged = F.exists(
-        _with_ancestors("_dir"),
-        lambda key: (F.length(key) > len(top) + 1 if top else key != "")
-        & _ignored(key, F.col("rules"), is_dir=True),
-    )
-    stacks = stacks.select("_dir", F.sort_array("rules", asc=False).alias("rules"))
-    stacks = stacks.withColumn("hidden", judged)
-
-    gone = F.coalesce("hidden", F.lit(False)) | _ignored(F.col("_key"), F.col("rules"), is_dir=False)
+    stacks = materialise(stacks.select("_dir", F.sort_array("rules", asc=False).alias("rules")))
+    # A directory is judged by the rules of the one above; it hides all that is beneath.
+    named = every.where(F.length("_dir") > (len(top) + 1 if top else 0)).select(F.col("_dir").alias("base"))
+    judged = join_lookup(named.withColumn("_dir", parent_key(F.col("base"))), stacks, on="_dir", spread_by="base", how="inner")
+    judged = judged.where(_ignored(F.col("base"), F.col("rules"), is_dir=True)).select("base")
+    beneath = dirs.select("_dir", F.explode(_with_ancestors("_dir")).alias("base"))
+    hidden = join_lookup(beneath, judged.withColumn("hidden", F.lit(True)), on="base", spread_by="_dir", how="inner")
+    stacks = stacks.join(hidden.select("_dir", "hidden").distinct(), "_dir", "full")
+
+    gone = F.coalesce("hidden", F.lit(False)) | _ignored(F.col("_key"), F.col("rules"), is_dir=is_dir)
     joined = join_lookup(keyed, stacks, on="_dir", spread_by="_key", how="left")
     return joined.where(~gone).select(*files.columns)

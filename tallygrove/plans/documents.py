@@ -65,27 +65,62 @@ def select_files(spark: SparkSession, root: str, options: Options = Options()) -
 
     Of the contents only those of ignore files are read.
     """
-    listing = list_files(spark, root)
+    walk = IgnoringWalk(spark, root, options.repositories_only) if options.ignore_files else None
+    listing = list_files(spark, root, prune=walk and walk.prune)
     rules = effective_rules(options.include, options.ignore, options.rule_set)
-    inner = relative_path(F.col("path"), root)
-    chosen = select_paths(listing, rules.filters, rules.ignores, inner)
-    if not options.ignore_files:
-        return chosen
-    # From here on paths count from the top of the file system, as rules above `root` hold, too.
-    host, top = _place(root)
-    placed = F.concat(F.lit(top + "/" if top else ""), inner)
-    speaking = listing.where(is_ignore_file(inner) | inner.rlike(r"(^|/)\.git(/|$)"))
-    speaking = speaking.withColumn("place", placed).unionByName(_above(spark, host, top))
-    ignore_files = read_text(speaking.where(is_ignore_file(F.col("place"))))
-    rules = parse_ignore_files(ignore_files.select(F.col("place").alias("path"), "content"))
-    tops = repositories(speaking.select(F.col("place").alias("path")))
-    kept = drop_ignored(
-        chosen.withColumn("full", F.col("path")).withColumn("path", placed),
-        rules,
-        tops if options.repositories_only else None,
-        top,
-    )
-    return kept.withColumn("path", F.col("full")).drop("full")
+    chosen = select_paths(listing, rules.filters, rules.ignores, relative_path(F.col("path"), root))
+    return walk.kept(chosen) if walk else chosen
+
+
+class IgnoringWalk:
+    """Ignore rules as they come up on the way down a tree: an ignored directory is not listed.
+
+    Paths count from the top of the file system, as rules above `root` hold, too. On every level
+    the ignore files among its entries are read before its directories are judged, so a
+    directory meets all rules that may speak of it. Each level's rules are a small written table.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, repositories_only: bool = True):
+        self.spark, self.root, self.repositories_only = spark, root, repositories_only
+        self.host, self.top = _place(root)
+        above = _above(spark, self.host, self.top)
+        self.rules = self.tops = None
+        self._learn(above)
+
+    def _placed(self, paths: DataFrame) -> DataFrame:
+        inner = relative_path(F.col("path"), self.root)
+        return paths.withColumn("place", F.concat(F.lit(self.top + "/" if self.top else ""), inner))
+
+    def _learn(self, speaking: DataFrame) -> None:
+        """Rules and repositories of a listing, with `place`, of ignore files and `.git` entries."""
+        speaking = materialise(speaking)
+        if speaking.isEmpty():
+            return
+        files = read_text(speaking.where(is_ignore_file(F.col("place"))))
+        rules = materialise(parse_ignore_files(files.select(F.col("place").alias("path"), "content")))
+        tops = materialise(repositories(speaking.select(F.col("place").alias("path"))))
+        self.rules = rules if self.rules is None else self.rules.unionByName(rules)
+        self.tops = tops if self.tops is None else self.tops.unionByName(tops)
+
+    def prune(self, entries: DataFrame) -> DataFrame:
+        """Those directories of a level that no rule hides."""
+        placed = self._placed(entries)
+        git = F.col("place").rlike(r"(^|/)\.git$")
+        speaking = placed.where((~F.col("is_dir") & is_ignore_file(F.col("place"))) | git)
+        # What a repository's own file excludes is two levels further down.
+        excludes = [F.concat(c, F.lit("/info/exclude")).alias(c) for c in ("path", "place")]
+        exclude = stat_files(speaking.where(git).select(*excludes), tasks=1).where("length is not null")
+        self._learn(speaking.select("path", "place", "length", "mtime").unionByName(exclude))
+        return self.kept(entries.where("is_dir"), is_dir=True)
+
+    def kept(self, paths: DataFrame, is_dir: bool = False) -> DataFrame:
+        """Those of (path, …) that no rule known so far hides."""
+        if self.rules is None:
+            return paths
+        placed = self._placed(paths.withColumn("full", F.col("path"))).withColumn("path", F.col("place")).drop("place")
+        tops = self.tops if self.repositories_only else None
+        found = drop_ignored(placed, self.rules, tops, self.top, is_dir)
+        return found.withColumn("path", F.col("full")).drop("full")
 
 
 def _place(root: str) -> tuple[str, str]:

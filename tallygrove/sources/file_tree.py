@@ -10,7 +10,7 @@ after path rules and store lookup.
 
 import os
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import suppress
 
 import pyarrow as pa
@@ -114,11 +114,17 @@ def _tried(entries, directory):
             time.sleep(WAIT * 2**attempt)
 
 
-def list_files(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
+def list_files(
+    spark: SparkSession,
+    root: str,
+    tasks: int | None = None,
+    prune: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """(path, length, mtime) of all regular files below `root`; paths start with it.
 
     A file as `root` is itself the listing; a root that isn't there is an error. Runs one job
-    per directory level, each written to the scratch folder.
+    per directory level, each written to the scratch folder. `prune` gets each level's entries
+    (path, length, mtime, is_dir) and returns those of its directories that are to be listed.
     """
     tasks = tasks or spark.sparkContext.defaultParallelism
     scratch = scratch_dir(spark)
@@ -131,7 +137,8 @@ def list_files(spark: SparkSession, root: str, tasks: int | None = None) -> Data
     while not todo.isEmpty():
         target = f"{scratch}/level={level}"
         todo.repartition(tasks).mapInArrow(_list_directories, _ENTRY).write.parquet(target)
-        todo = spark.read.schema(_ENTRY).parquet(target).where("is_dir").select("path")
+        found = spark.read.schema(_ENTRY).parquet(target)
+        todo = (prune(found) if prune else found.where("is_dir")).select("path")
         level += 1
     entries = spark.read.schema(_ENTRY).option("basePath", scratch).parquet(scratch)
     return entries.where("not is_dir").select(*LISTING.fieldNames())

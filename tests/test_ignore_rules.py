@@ -1,10 +1,14 @@
 import os
 import random
 import subprocess
+import timeit
 
 import pytest
 
 from tallygrove.operators.ignore_rules import drop_ignored, parse_ignore_files, repositories
+from tallygrove.operators.rule_chains import Chains
+from tallygrove.plans.documents import IgnoringWalk, select_files
+from tallygrove.sources.file_tree import list_files
 
 RULES = {
     ".gitignore": "*.log\n!keep.log\nbuild/\n/tmp\n# c\n\nsrc/**/n.txt\n",
@@ -102,3 +106,77 @@ def test_git_rules_hold_in_their_repository_only(spark):
     found = {r["path"] for r in drop_ignored(listing, parsed, tops).collect()}
     inside = {"r/a.x", "r/s/a.x", "r/s/a.y", "r/.git/config", "r/s/.git"}
     assert found == inside | {"o/a.x", "a.x"}
+
+
+def test_an_ignored_directory_hides_a_repository_in_it(spark, lookups):
+    rules = {"r/.gitignore": "s/\n", "r/s/.gitignore": "*.z\n"}
+    listing = spark.createDataFrame([(p,) for p in ["r/a", "r/s/a.x", "r/t/s/b", "r/.git", "r/s/.git"]], "path string")
+    parsed = parse_ignore_files(spark.createDataFrame(list(rules.items()), "path string, content string"))
+    found = {r["path"] for r in drop_ignored(listing, parsed, repositories(listing)).collect()}
+    assert found == {"r/a", "r/.git"}
+
+
+def lines(n):
+    """Rules of which most are names, endings, beginnings and paths."""
+    forms = ["name{}", "*.end{}", "start{}*", "/some/path{}", "name{}/", "!name{}"]
+    return "".join(forms[k % 6].format(k) + "\n" for k in range(n - 2)) + "q?\n!some/**/r\n"
+
+
+def test_many_rules_cost_little(spark):
+    """400 rules take a path hardly longer than two."""
+    files = parse_ignore_files(spark.createDataFrame([(".gitignore", lines(400)), ("few/.gitignore", lines(2))], "path string, content string"))
+    held = {base: [("", *row[1:]) for row in map(tuple, files.where(files["base"] == base).collect())] for base in ("", "few")}
+    paths = [f"/d{k % 50}/e{k % 7}/name{k}.end{k % 900}" for k in range(40_000)]
+    seconds = {}
+    for base, rules in held.items():
+        def judged(rules=rules):
+            chains = Chains(rules, None)
+            return sum(map(chains.gone, paths))
+
+        assert (judged() > 0) == (base == "")
+        seconds[base] = min(timeit.repeat(judged, number=1, repeat=3))
+    assert seconds[""] < 2 * seconds["few"] + 0.1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chains_equal_the_joins(spark, monkeypatch, seed):
+    draw = random.Random(seed)
+    names = ["a", "b", "name0", "name4", "x.end1", "start2y", "some", "path3", "q1", "r", ".git"]
+    paths = sorted({"/".join(draw.choices(names, k=draw.randint(1, 5))) for _ in range(400)})
+    rules = {"/".join([*draw.choices(names[:7], k=draw.randint(0, 3)), draw.choice([".gitignore", ".ignore"])]): lines(draw.choice([5, 20])) for _ in range(8)}
+    listing = spark.createDataFrame([(p,) for p in paths], "path string")
+    parsed = parse_ignore_files(spark.createDataFrame(list(rules.items()), "path string, content string"))
+    found = []
+    for bound in (16 << 20, -1):
+        monkeypatch.setattr("tallygrove.operators.skew.LOOKUP_BYTES", bound)
+        some = [
+            {r["path"] for r in drop_ignored(listing, parsed, tops, top, is_dir).collect()}
+            for tops, top, is_dir in ((None, "", False), (repositories(listing), "a", False), (None, "a", True))
+        ]
+        found.append(some)
+    assert found[0] == found[1]
+    assert any(0 < len(kept) < len(paths) for kept in found[0])
+
+
+def test_ignored_directories_are_not_listed(spark, tmp_path):
+    tree = {
+        ".git/info/exclude": "out/\n", ".gitignore": "node_modules/\n*.log\n", "node_modules/x/y/z.js": "", "out/a": "",
+        "src/.gitignore": "gen*/\n!gen2/\n", "src/gen1/a": "", "src/gen2/b": "", "src/c.log": "", "src/d": "", "lib/out/e": "",
+    }
+    for path, text in tree.items():
+        target = tmp_path / "top" / path
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(text)
+    root = str(tmp_path / "top")
+    walk, listed = IgnoringWalk(spark, root), []
+
+    def prune(entries):
+        kept = walk.prune(entries)
+        listed.extend(r["path"][len(root) + 1 :] for r in kept.collect())
+        return kept
+
+    files = list_files(spark, root, prune=prune)
+    assert set(listed) == {".git", ".git/info", "src", "src/gen2", "lib"}
+    kept = {r["path"][len(root) + 1 :] for r in walk.kept(files).collect()}
+    assert kept == {".git/info/exclude", ".gitignore", "src/.gitignore", "src/gen2/b", "src/d"}
+    assert {r["path"][len(root) + 1 :] for r in select_files(spark, root).collect()} == kept
