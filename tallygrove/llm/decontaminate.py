@@ -13,6 +13,7 @@ Items are a fixed test set, not corpus rows: they come to the driver one automat
 automaton holds at most `ITEM_WORDS` words, and documents pass through all of them in turn.
 
 Null and empty texts have no words: not hit, coverage 0. Null or empty items have no window.
+Items without an id are one item, a null at the end of `items`.
 Repeated rows get equal results; items of an equal id count once. Empty tables give an empty
 result, or no hits.
 """
@@ -168,7 +169,7 @@ class ItemAutomaton:
 def automata(benchmark: DataFrame, item_id: str, text: str, window: int, item_words: int):
     """One automaton after another, of at most `item_words` words each or of one item."""
     held, size = [], 0
-    items = only(benchmark, **{item_id: "string", text: "string"}).dropna().dropDuplicates()
+    items = only(benchmark, **{item_id: "string", text: "string"}).dropna(subset=[text]).dropDuplicates()
     for row in items.orderBy(item_id, text).toLocalIterator():
         sequence = words(row[text].encode())
         if held and size + len(sequence) > item_words:
@@ -215,7 +216,7 @@ def with_matches(
                         ids = ids | set(before[1][row])
                     counts.append(len(tokens))
                     spans.append([{"start": a, "end": b} for a, b in hits])
-                    items.append(sorted(ids))
+                    items.append(sorted(ids, key=lambda i: (i is None, i or "")))
                 columns = batch.columns[:-3] if number else batch.columns
                 added = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*columns, *added], names)

@@ -9,8 +9,8 @@ weight cosine ** `SHARPNESS`.
 
 Null and empty texts have no terms, and with no cosine above zero the score is the share of
 label 1 in the sample. Texts of any length count whole. Equal cosines are taken in the order of
-the sample. Repeated rows get equal scores, an empty table gives an empty result. Without
-a labelled row of each class `fit` raises a ValueError.
+the sample. Repeated rows get equal scores, an empty table gives an empty result. Without a
+labelled row of each class every score is the share of label 1 with one row more of each, 0.5 for none.
 """
 
 from dataclasses import dataclass
@@ -89,7 +89,10 @@ def fit(training: DataFrame) -> QualityModel:
     rows = training.select("text", "label").mapInArrow(counted, "label int, counts array<float>").toArrow()
     labels = rows["label"].to_numpy().astype(np.float32)
     if not 0 < labels.sum() < len(labels):
-        raise ValueError("labelled rows of both classes are needed")
+        # One class, or none, tells nothing: a vector that no text is near to, and the smoothed share.
+        share = np.array([(labels.sum() + 1) / (len(labels) + 2)], np.float32)
+        none = np.zeros((TERMS, DIMENSIONS), np.float32)
+        return QualityModel(np.ones(TERMS), none, none[:1], share)
     counts = np.concatenate([c.flatten().to_numpy() for c in rows["counts"].chunks]).reshape(-1, TERMS)
     # The order in which tasks answer must not matter.
     order = np.lexsort((labels, *counts.T[:8], counts @ np.arange(1, TERMS + 1, dtype=np.float64)))

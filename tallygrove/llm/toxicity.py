@@ -7,7 +7,8 @@ n-gram, so a score is one pass over the bytes of the whole text.
 
 Null and empty texts have no n-grams and get the score of the intercept. Any length is scored
 whole, in blocks. Repeated rows get equal scores, an empty table gives an empty result. Without
-a labelled row of each class there is nothing to learn and `fit` raises a ValueError.
+a labelled row of each class every score is the share of label 1 with one row more of each, 0.5 for
+none.
 """
 
 from dataclasses import dataclass
@@ -88,7 +89,9 @@ def fit(training: DataFrame) -> ToxicityModel:
     training = materialise(training.select("text", "label"))
     totals = {r["label"]: r["count"] for r in training.groupBy("label").count().collect()}
     if not totals.get(0) or not totals.get(1):
-        raise ValueError("labelled rows of both classes are needed")
+        # One class, or none, tells nothing: the share of label 1 with one row more of each.
+        odds = (totals.get(1, 0) + 1) / (totals.get(0, 0) + 1)
+        return ToxicityModel(np.zeros(1 << BUCKETS_LOG2, np.float32), float(np.log(odds)))
 
     def counted(batches):
         sums = np.zeros((2, 1 << BUCKETS_LOG2), np.int32)

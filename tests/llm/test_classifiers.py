@@ -104,9 +104,11 @@ def test_votes_against_all_cosines(models):
 @pytest.mark.parametrize("scorer", [toxicity, quality])
 def test_nothing_to_learn_from(spark, scorer):
     schema = "text string, label int"
-    for data in ([], [("a", 1)], [("a", 0), (None, 0)]):
-        with pytest.raises(ValueError, match="both classes"):
-            scorer.fit(spark.createDataFrame(data, schema))
+    documents = spark.createDataFrame([("a",), ("",), (None,)], "text string")
+    for data, share in (([], 1 / 2), ([("a", 1)], 2 / 3), ([("a", 0), (None, 0)], 1 / 4)):
+        model = scorer.fit(spark.createDataFrame(data, schema))
+        scores = [r["s"] for r in scorer.score(documents, model, out="s").collect()]
+        assert scores == [pytest.approx(share)] * 3
 
 
 def test_drawn_rows(spark):

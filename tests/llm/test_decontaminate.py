@@ -88,3 +88,14 @@ def test_long_text_and_empty_tables(spark):
     assert d.with_matches(documents.limit(0), benchmark).count() == 0
     none = d.decontaminate(documents, benchmark.limit(0))
     assert sorted(r["text"] for r in none.collect()) == sorted([text, item])
+
+
+def test_items_without_an_id(spark):
+    text = "a b c d e f g h i j k l"
+    items = spark.createDataFrame([(None, text), (None, "m n"), ("x", None), ("y", "m n o")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, text), (2, "z m n o"), (3, "q")], "doc_id bigint, text string")
+    for bound in (200_000, 5):
+        found = d.with_matches(docs, items, item_words=bound).orderBy("doc_id").collect()
+        spans = [[(s["start"], s["end"]) for s in r["hit_spans"]] for r in found]
+        assert spans == [[(0, 12)], [(1, 4)], []]
+        assert [r["items"] for r in found] == [[None], ["y", None], []]
