@@ -11,8 +11,8 @@ whose length is a power of two needs no padding.
 The program runs over blocks of a bounded number of tokens, long documents in several; the last
 window of a block is open and goes on in the next, so blocks cost no padding.
 
-A null or empty text is its closing token alone. Rows of an equal id lie side by side, repeated
-rows as documents of their own; null ids come first. Null ids go in as null. An empty table gives
+A null or empty text is its closing token alone. Rows of an equal id lie side by side but for the
+ends of a range, repeated rows as documents of their own; null ids come first. Null ids go in as null. An empty table gives
 an empty result.
 """
 
@@ -22,6 +22,7 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +36,16 @@ LONGEST_STRETCH = 64  # without a sentence end, until other cuts are offered
 STRIDE = 16  # between such cuts
 SHORTEST_EXACT = 16  # of a sequence's length: no shorter windows for the sake of a power of two
 BLOCK = 256 * LENGTH  # tokens the program sees at once
-MEMO = 200_000  # pieces, about 40 MB
-LOT = 1 << 20  # characters whose pieces are looked up together
+MEMO = 200_000  # words, marks and odd pieces, about 30 MB
+LOT = 1 << 20  # characters whose words are looked up together
 SHARD_ROWS = 10_000
-MOST_SHARDS = 10_000  # a shard is streamed, so larger ones only sort more
+MOST_SHARDS = 100_000  # a shard is streamed, so larger ones only sort more
+SAMPLES = 20  # (id, tie) pairs a shard, from which the bounds are drawn
 # What the tokenizer splits off by itself: letters, a digit, marks. A piece between blanks with
 # anything else in it goes through the tokenizer whole, as do apostrophes, which begin endings
 # of their own, and "<", which begins special tokens.
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
+APART = r"([0-9]|[!-&(-/:;=-@\[-`{-~]+)"  # what stands beside the words of a plain piece
 ODD = re.compile(r"[^ -&(-;=-~\n\r\tÀ-ÖØ-öø-ÿ]")
 BLANK = re.compile("[ \n\r\t]+")
 WORD_END = "</w>"
@@ -52,11 +55,12 @@ class PieceEncoder:
     """Ids of whole texts as little-endian 32-bit numbers, equal to the tokenizer's own.
 
     Made for tokenizers that lower-case, drop white space and mark word ends: no token spans a
-    blank, so what stands between blanks is looked up. Unknown pieces fall into words, digits and
-    marks; unknown ones of these are encoded together and told apart by the word ends. Other
-    tokenizers encode whole texts.
+    blank, and what stands between blanks falls into words, digits and marks. These are looked up;
+    unknown ones are encoded together and told apart by the word ends. Other tokenizers encode
+    whole texts.
 
-    Pieces are remembered: when `MEMO` are young, those not seen since the last time go.
+    Words are remembered, not what marks stand at them: when `MEMO` are young, those not seen
+    since the last time go.
     """
 
     def __init__(self, path: str):
@@ -95,50 +99,60 @@ class PieceEncoder:
         return [ids for lot in lots for ids in self._encode_lot(lot)]
 
     def _encode_lot(self, texts: list) -> list:
-        odd = set()
-        split = [self._pieces(text, odd) for text in texts]
+        """Arrow splits plain texts and tells their different words, which alone Python looks up."""
+        out, odd = [b""] * len(texts), set()
+        others = [k for k, text in enumerate(texts) if ODD.search(text)]
+        plain = sorted(set(range(len(texts))).difference(others))
+        lower = pc.utf8_lower(pa.array([texts[k] for k in plain], pa.large_string()))
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, APART, r" \1 "))
+        words = split.flatten().dictionary_encode()
+        different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        pieces = [self._pieces(texts[k], odd) for k in others]
         if len(self.young) > MEMO:
             self.young, self.old = {}, self.young
-        fresh = set().union(*split).difference(self.young)
+        self.young[""] = b""
+        fresh = set(different).union(*pieces).difference(self.young)
         if fresh:
             self._learn(fresh, odd)
         known = self.young.__getitem__
-        return [b"".join(map(known, pieces)) for pieces in split]
+        for k, own in zip(others, pieces, strict=True):
+            out[k] = b"".join(map(known, own))
+        found = list(map(known, different))
+        data = np.frombuffer(b"".join(found), self.kind)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        number = words.indices.to_numpy()
+        begins, length = (np.cumsum(sizes) - sizes)[number], sizes[number]
+        ends = np.append(0, np.cumsum(length))
+        ids = data[np.arange(ends[-1]) + np.repeat(begins - ends[:-1], length)]
+        stops = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        for k, low, high in zip(plain, stops, stops[1:], strict=False):
+            out[k] = ids[low:high].tobytes()
+        return out
 
     def _pieces(self, text, odd):
-        """What stands between blanks, lower-cased unless it is odd."""
-        if not ODD.search(text):
-            return text.lower().split()
-        pieces = [p for p in BLANK.split(text) if p]
-        found = {p for p in pieces if ODD.search(p)}
-        odd |= found
-        return [p if p in found else p.lower() for p in pieces]
+        """Of an odd text the words, digits and marks, lower-cased, and odd pieces as they are."""
+        pieces = []
+        for piece in BLANK.split(text):
+            if ODD.search(piece):
+                odd.add(piece)
+                pieces.append(piece)
+            else:
+                pieces += PLAIN.findall(piece.lower())
+        return pieces
 
     def _learn(self, fresh: set, odd: set):
         young, old = self.young, self.old
         if old:
             young.update((p, old[p]) for p in fresh if p in old)
-        plain = [(p, _parts(p)) for p in fresh.difference(odd).difference(young)]
-        unknown = list({x for _, parts in plain for x in parts}.difference(young))
+        unknown = list(fresh.difference(odd).difference(young))
         ids = self.words.encode_batch_fast([" ".join(unknown)], add_special_tokens=False)[0].ids
         ids = np.array(ids, self.kind)
         stops = ((np.flatnonzero(self.word_ends[ids]) + 1) * ids.itemsize).tolist()
         data = ids.tobytes()
         young.update((p, data[a:b]) for p, a, b in zip(unknown, [0, *stops], stops, strict=False))
-        known = young.__getitem__
-        young.update((p, b"".join(map(known, parts))) for p, parts in plain if len(parts) > 1)
         young.update((p, self.ids(p).astype(self.kind).tobytes()) for p in fresh & odd if p not in young)
 
 
-def _parts(piece: str):
-    """Words, digits and marks of a piece that isn't odd: mostly a word, or one with a mark after it."""
-    if piece.isalpha():
-        return (piece,)
-    if piece[:-1].isalpha():
-        return piece[:-1], piece[-1]
-    return PLAIN.findall(piece)
-
-
 def cut_places(ids: np.ndarray, document_ends: np.ndarray, ends: np.ndarray, length: int) -> tuple:
     """Positions where a window may end, ascending, and what each costs."""
     cost = np.full(len(ids) + 1, -1, np.int16)
@@ -245,15 +259,18 @@ def pack(
     """One row for each piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids.
 
     `ids` are little-endian unsigned 32-bit numbers. `tokenizer` is the path of a tokenizer file
-    that every executor has. The only shuffle moves ids, by ranges of `doc_id`; the ranges are
-    quantiles of the ids alone.
+    that every executor has. The only shuffle moves ids, by ranges of `doc_id` and, among rows of
+    equal or null ids, of a hash of the text, so that these are spread, too. The ranges are quantiles
+    of a sample with `SAMPLES` rows for each of them.
     """
     texts = only(documents, **{doc_id: "bigint", text: "string"}).toDF("doc_id", "text")
     shards = max(texts.sparkSession.sparkContext.defaultParallelism, texts.count() // SHARD_ROWS)
     shards = min(shards, MOST_SHARDS)
-    shares = [k / shards for k in range(1, shards)]
-    bounds = texts.select(F.percentile_approx("doc_id", shares, 100 * shards)).first()[0] if shares else None
-    bounds = sorted(set(bounds or []))
+    texts = texts.withColumn("tie", F.xxhash64("text"))
+    step = max(1, texts.count() // (shards * SAMPLES))
+    drawn = texts.where(F.pmod(F.xxhash64("tie", "doc_id"), F.lit(step)) == 0).select("doc_id", "tie").distinct()
+    drawn = [(d is not None, d or 0, tie) for d, tie in drawn.orderBy("doc_id", "tie").toLocalIterator()]
+    bounds = sorted({drawn[k * len(drawn) // shards] for k in range(1, shards)}) if drawn else []
     encoder = PieceEncoder(tokenizer)
     sentence_ends = encoder.sentence_ends
     width = encoder.kind
@@ -265,14 +282,13 @@ def pack(
     def encoded(batches):
         encoder = kept.value.get(tokenizer) or kept.value.setdefault(tokenizer, PieceEncoder(tokenizer))
         for batch in batches:
-            docs, texts = (column.to_pylist() for column in batch.columns)
+            docs, texts, ties = (column.to_pylist() for column in batch.columns)
             ids = [x + closing for x in encoder.encode([t or "" for t in texts])]
-            shard = [0 if d is None else bisect_left(bounds, d) for d in docs]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard, pa.int32()), batch.column(0), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"]
-            )
+            shard = [bisect_left(bounds, (d is not None, d or 0, tie)) for d, tie in zip(docs, ties, strict=True)]
+            columns = [pa.array(shard, pa.int32()), batch.column(0), batch.column(2), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "doc_id", "tie", "ids"])
 
-    tokens = texts.mapInArrow(encoded, "shard int, doc_id bigint, ids binary").withColumn("tie", F.xxhash64("ids"))
+    tokens = texts.mapInArrow(encoded, "shard int, doc_id bigint, tie bigint, ids binary")
     ordered = tokens.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "tie")
 
     def packed(batches):
