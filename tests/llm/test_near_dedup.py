@@ -90,6 +90,20 @@ def test_bands_find_pairs_at_the_threshold():
     assert missed <= 1
 
 
+def test_sketches_keep_near_pairs_and_part_others():
+    draw = np.random.default_rng(5)
+    bound = near_dedup.most_differing(0.8)
+
+    def differing(shared, own):
+        pool = draw.integers(0, 1 << 64, shared + 2 * own, np.uint64)
+        a, b = (near_dedup.sketch(np.sort(x)) for x in (pool[: shared + own], pool[own:]))
+        return sum(int(x).bit_count() for x in (a ^ b).view("<u8"))
+
+    for shared, own in ((16, 2), (80, 10), (800, 100)):
+        assert max(differing(shared, own) for _ in range(200)) <= bound
+    assert min(differing(120, 40) for _ in range(200)) > bound  # a similarity of 0.6
+
+
 def test_stage_drops_copies_at_0_8(spark):
     """Copies with a tenth of the shingles changed are more than four bits apart, and near all the same."""
     draw = random.Random(9)
