@@ -1,5 +1,7 @@
 """Visible text of pages."""
 
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,6 +56,86 @@ def test_formulas_drawings_menus_and_loose_text(html, text):
     assert visible_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<div style='visibility: hidden'>no<b style='visibility:visible'>yes</b>no</div>", "yes"),
+        ("<div style='visibility:hidden'><table><tr><td>no<td style='visibility:visible'>yes</table></div>", "  yes"),
+        ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+        ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e</table>", "a  b  c\nd     e"),
+        ("<table><tr><td rowspan=2 colspan=2>x<td>b<tr><td>c</table>", "x  b\n   c"),
+        ("<textarea>a &amp; b</textarea>", "a & b"),
+        ("<input type=submit value='Send'> <input value=no> <input type=image alt=go>", "Send go"),
+        ("<style>.a, #b{display : none} @media print{i{display:none}} u{color:red}</style>"
+         "<p class='x a'>no</p><p id=b>no</p><i>i</i><u>u</u>", "iu"),
+        ("<style>/* c */ .ad{x:y;display:none", ""), ("<style>.ad{display:none}</style><b class=ad>no</b>y", "y"),
+        ("<table><tr><td>\u6f22\u5b57<td>b<tr><td>abcde<td>c</table>", "\u6f22\u5b57   b\nabcde  c"),
+        ("<table><tr><td>" + "w" * 500 + "<td>b<tr><td>a<td>c</table>", "w" * 500 + "  b\na  c"),
+        ("<p don't>a</p>b", "a\n\nb"), ("<a href='x>l</a> m", "l m"), ("a<b href=\"", 'a<b href="'),
+        ("<a x=\">\"", '<a x=">"'), ("a<![CDATA[ x > y ]]>b", "ab"), ("a<![CDATA[ x > y", "a y"),
+        ("<!doctype html>a<?php x ?>b", "ab"), ("a<!x", "a<!x"), ("a<!-- > b", "a"),
+        ("<table><tr><td>a</p></table>b", "a\n\nb"), ("<p>x<table><tr><td>y</p>z</table>", "x\n\nyz"),
+    ],
+)
+def test_visibility_tables_and_cut_tags(html, text):
+    assert visible_text(html) == text
+
+
+@pytest.mark.parametrize(
+    "unit, last",
+    [
+        ("<a ", ""), ("<![CDATA[x ", ""), ("<![CDATA[x>", ""), ("<a x=\"", ""), ("<a x=\"", "\">"), ("<a x='y", ">"), ("<a ", "x=\">\""),
+        ("<b>", "</i>" * 100_000), ("<b>", "<hr>" * 100_000), ("<b>", "<li></li>" * 50_000), ("<!--", ""), ("<!x", ""),
+        ("<title>", ""), ("<style>{", ""), ("<ul><li>x", ""), ("<blockquote>x", ""), ("</b", ""), ("<p><table>", "</p>" * 100_000),
+        ("<td colspan=1000>x", ""), ("<tr><td>x", "<td>" + "w " * 100_000), ("<b><td>", "<td></td>" * 50_000),
+    ],
+)
+def test_time_is_in_proportion(unit, last):
+    start = time.process_time()
+    found = visible_text(("<table>" if "<td" in unit and "<table" not in unit else "") + unit * (1_000_000 // len(unit)) + last)
+    assert time.process_time() - start < 15
+    assert len(found) < 250_000_000
+
+
+@settings(max_examples=200, deadline=None)
+@given(
+    st.lists(
+        st.lists(st.tuples(st.sampled_from(["a", "bb", "cc\u6f22", ""]), st.integers(1, 3), st.integers(1, 3)), max_size=4),
+        max_size=5,
+    )
+)
+def test_cells_stand_in_their_columns(rows):
+    """Against a grid filled cell by cell: all cells of a column begin at one place, right of the columns before."""
+    html = "".join(
+        "<tr>" + "".join(f"<td colspan={w} rowspan={h}>{t}</td>" for t, w, h in row) + "</tr>" for row in rows
+    )
+    taken, at = set(), {}
+    for y, row in enumerate(rows):
+        x = 0
+        for n, (text, w, h) in enumerate(row):
+            while (y, x) in taken:
+                x += 1
+            taken |= {(y + j, x + i) for j in range(h) for i in range(w)}
+            at[y, n] = x
+            x += w
+    own = {}
+    for (y, n), x in at.items():
+        text = rows[y][n][0]
+        own[x] = max(own.get(x, 0), len(text) + text.count("\u6f22"))
+    begin = {x: sum(own[before] + 2 for before in own if before < x) for x in own}
+    wanted = []
+    for y, row in enumerate(rows):
+        line, columns = "", 0
+        for n, (text, _, _) in enumerate(row):
+            if text:
+                line += " " * (begin[at[y, n]] - columns) + text
+                columns = begin[at[y, n]] + len(text) + text.count("\u6f22")
+        if row:
+            wanted.append(line)
+    assert visible_text(f"<table>{html}</table>").split("\n") == "\n".join(wanted).strip("\n").split("\n")
+
+
 def test_deep_and_long_pages():
     assert visible_text("<div>" * 50_000 + "x") == "x"
     assert visible_text("<table><tr><td>" * 300 + "x") == "x"
