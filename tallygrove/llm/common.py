@@ -46,6 +46,13 @@ def utf8(column: pa.Array) -> list:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def released(batches):
+    """The batches as they are; what Arrow has freed goes back to the system before each next one."""
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+
+
 def packed(column: pa.Array):
     """The bytes of all texts of a column on end, and the offsets where each begins."""
     column = column.cast(pa.large_binary())

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import only
+from tallygrove.llm.common import only, released
 
 LENGTH = 2048
 CLOSING = 1
@@ -37,7 +37,7 @@ STRIDE = 16  # between such cuts
 SHORTEST_EXACT = 16  # of a sequence's length: no shorter windows for the sake of a power of two
 BLOCK = 256 * LENGTH  # tokens the program sees at once
 MEMO = 200_000  # words, marks and odd pieces, about 30 MB
-LOT = 1 << 20  # characters whose words are looked up together
+LOT = 1 << 19  # characters whose words are looked up together
 SHARD_ROWS = 10_000
 MOST_SHARDS = 100_000  # a shard is streamed, so larger ones only sort more
 SAMPLES = 20  # (id, tie) pairs a shard, from which the bounds are drawn
@@ -281,7 +281,7 @@ def pack(
 
     def encoded(batches):
         encoder = kept.value.get(tokenizer) or kept.value.setdefault(tokenizer, PieceEncoder(tokenizer))
-        for batch in batches:
+        for batch in released(batches):
             docs, texts, ties = (column.to_pylist() for column in batch.columns)
             ids = [x + closing for x in encoder.encode([t or "" for t in texts])]
             shard = [bisect_left(bounds, (d is not None, d or 0, tie)) for d, tie in zip(docs, ties, strict=True)]
@@ -293,7 +293,7 @@ def pack(
 
     def packed(batches):
         packer, shard = None, None
-        for batch in batches:
+        for batch in released(batches):
             pieces = []
             for number, doc, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if number != shard:
