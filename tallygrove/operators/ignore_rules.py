@@ -1,8 +1,8 @@
 """Hierarchical ignore files: per directory, last match wins, `!` re-includes.
 
 Rules are a table keyed by the directory of their ignore file. Small ones go to all tasks as
-chains; larger ones are put together per directory of the listing first (far fewer rows than
-files), and each file then meets only the rules of its own directory, in one join on it.
+chains; larger ones are joined with the listing by their handles, the texts that a path or its name
+must be, start with or end with, so a path meets only the few rules that are likely to match it.
 """
 
 from collections.abc import Iterator
@@ -15,7 +15,16 @@ from pyspark.sql import types as T
 from tallygrove.functions.globs import glob_to_regex
 from tallygrove.operators import skew
 from tallygrove.operators.paths import ancestor_keys, name_of, node_key, parent_key
-from tallygrove.operators.rule_chains import ALWAYS, Chains
+from tallygrove.operators.rule_chains import (
+    ALWAYS,
+    NAME,
+    NAME_ENDS,
+    NAME_STARTS,
+    PATH,
+    PATH_STARTS,
+    Chains,
+    handle,
+)
 from tallygrove.operators.skew import held_bytes, join_lookup
 from tallygrove.session import materialise
 
@@ -110,20 +119,6 @@ def compile_rules(lines: DataFrame) -> DataFrame:
     )
 
 
-def _ignored(key: Column, rules: Column, is_dir: bool) -> Column:
-    """Does the strongest rule that matches say ignore? `rules` come strongest first.
-
-    Rules of the directory itself, and of those below, do not judge it.
-    """
-
-    def applies(rule):
-        below = F.substring(key, rule["at"] + 2, F.lit(1 << 30))
-        hit = (rule["at"] < F.length(key)) & F.call_function("rlike", below, rule["rx"])
-        return hit if is_dir else hit & ~rule["dironly"]
-
-    return F.coalesce(~F.get(F.filter(rules, applies), F.lit(0))["neg"], F.lit(False))
-
-
 def _with_ancestors(key: str) -> Column:
     """Keys of all directories above, the root first, and the key itself."""
     return F.when(F.col(key) == "", F.array(key)).otherwise(
@@ -144,7 +139,7 @@ def drop_ignored(
     hold. With `is_dir` the paths are directories.
 
     Rules within LOOKUP_BYTES go to every task, compiled into chains, and rows stay where they
-    are. Larger tables of rules are joined, directory by directory, with the same result.
+    are. Larger tables of rules are joined by what their patterns begin or end with, with the same result.
     """
     rules = materialise(rules)
     tops = None if repositories is None else materialise(repositories.select("base").distinct())
@@ -172,43 +167,99 @@ def _drop_by_chains(files, rules, tops, top, is_dir):
     return files.where(kept("path"))
 
 
+_HANDLE = T.StructType(
+    [T.StructField("kind", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("whole", T.BooleanType())]
+)
+
+
+@F.arrow_udf(_HANDLE)
+def _handle(rx: pa.Array) -> pa.Array:
+    found = [handle(x) for x in rx.to_pylist()]
+    kinds, texts, wholes = zip(*found, strict=True) if found else ((), (), ())
+    columns = [pa.array(kinds, pa.int32()), pa.array(texts, pa.string()), pa.array(wholes, pa.bool_())]
+    return pa.StructArray.from_arrays(columns, ["kind", "text", "whole"])
+
+
+def _handled(rules: DataFrame) -> DataFrame:
+    """(base, level, dironly, line, neg, kind, size, text, rx): `size` is -1 for a handle that is a whole
+    name or path, `rx` null where the handle says all. Of equal patterns the last line is left."""
+    last = F.max(F.struct("line", "neg")).alias("last")
+    once = rules.select(_base_key().alias("base"), "level", "dironly", "rx", "line", "neg")
+    once = once.where("base is not null").groupBy("base", "level", "dironly", "rx").agg(last)
+    found = once.withColumn("found", _handle("rx"))
+    kind, text = F.col("found.kind"), F.col("found.text")
+    size = F.when(kind.isin(NAME, PATH), F.lit(-1)).otherwise(F.length(text))
+    rx = F.when(~F.col("found.whole"), F.col("rx"))
+    return found.select(
+        "base", "level", "dironly", "last.line", "last.neg", kind.alias("kind"), size.alias("size"), text.alias("text"), rx.alias("rx")
+    )
+
+
+def _reach(dirs: DataFrame, rules: DataFrame, tops: DataFrame | None) -> DataFrame:
+    """(_dir, top, bases): the directories above with rules, each with the kinds and sizes of its handles."""
+    looks = rules.groupBy("base").agg(F.collect_set(F.struct("kind", "size")).alias("looks"))
+    above = dirs.select("_dir", F.explode(_with_ancestors("_dir")).alias("base"))
+    bases = F.collect_list(F.struct("base", "looks")).alias("bases")
+    reach = join_lookup(above, looks, on="base", spread_by="_dir", how="inner").groupBy("_dir").agg(bases)
+    if tops is None:
+        return reach.withColumn("top", F.lit(0))
+    places = tops.select(_base_key().alias("base")).distinct()
+    places = join_lookup(above, places, on="base", spread_by="_dir", how="inner")
+    return reach.join(places.groupBy("_dir").agg(F.max(F.length("base")).alias("top")), "_dir", "left")
+
+
+def _ignored(keys: DataFrame, reach: DataFrame, rules: DataFrame, is_dir: bool) -> DataFrame:
+    """(_key) of those (_key, _dir) that the strongest rule that matches ignores.
+
+    Every key is looked up by its name, its path and their beginnings and ends of the sizes that
+    handles have, so the rows of the join do not grow with the number of rules.
+    """
+    rules = rules if is_dir else rules.where(~F.col("dironly"))
+    handle_of = F.struct("base", "kind", "text").alias("handle")
+    held = rules.groupBy(handle_of).agg(
+        F.sort_array(F.collect_list(F.struct("level", "line", "neg", "rx")), asc=False).alias("rules")
+    )
+    met = join_lookup(keys, reach, on="_dir", spread_by="_key", how="inner")
+    met = met.select("_key", "top", F.explode("bases").alias("of"))
+    met = met.select("_key", "top", F.col("of.base").alias("base"), F.explode("of.looks").alias("look"))
+    kind, size = F.col("look.kind"), F.col("look.size")
+    below = F.substring("_key", F.length("base") + 2, F.lit(1 << 30))
+    subject = F.when(kind.isin(NAME, NAME_STARTS, NAME_ENDS), name_of(F.col("_key"))).otherwise(below)
+    text = (
+        F.when(size < 0, subject)
+        .when(kind.isin(NAME_STARTS, PATH_STARTS), F.left(subject, size))
+        .otherwise(F.right(subject, size))
+    )
+    met = met.where(F.length(subject) >= size).withColumn("handle", F.struct("base", kind.alias("kind"), text.alias("text")))
+    met = join_lookup(met.select("_key", "top", "handle"), held, on="handle", spread_by="_key", how="inner")
+    at = F.length("handle.base")
+    below = F.substring("_key", at + 2, F.lit(1 << 30))
+
+    def applies(rule):
+        holds = (rule["level"] >= ALWAYS) | F.coalesce(at >= F.col("top"), F.lit(False))
+        return holds & (rule["rx"].isNull() | F.call_function("rlike", below, rule["rx"]))
+
+    first = F.get(F.filter("rules", applies), F.lit(0))
+    met = met.select("_key", at.alias("at"), first.alias("first")).where("first is not null")
+    strongest = F.max(F.struct("first.level", "at", "first.line", "first.neg")).alias("strongest")
+    return met.groupBy("_key").agg(strongest).where("not strongest.neg").select("_key")
+
+
 def _drop_by_joins(files, rules, tops, top, is_dir):
     keyed = files.withColumn("_key", node_key(F.col("path")))
-    keyed = keyed.withColumn("_dir", parent_key(F.col("_key")))
-
-    # Sorted descending by these fields, the strongest rule comes first.
-    rule = F.struct("level", F.length(_base_key()).alias("at"), "line", "neg", "dironly", "rx")
-    packed = (
-        rules.select(_base_key().alias("base"), rule.alias("rule"))
-        .groupBy("base")
-        .agg(F.collect_list("rule").alias("rules"))
-    )
-    if tops is not None:
-        places = tops.select(_base_key().alias("base")).withColumn("top", F.length("base"))
-        packed = packed.join(places, "base", "full")
-    else:
-        packed = packed.withColumn("top", F.lit(0))
-    # All directories, each with the rules of itself and of those above it.
-    dirs = materialise(keyed.select("_dir").distinct())
+    keys = materialise(keyed.where("_key is not null").select("_key", parent_key(F.col("_key")).alias("_dir")).distinct())
+    rules = materialise(_handled(rules))
+    # All directories, each with those above it that have rules.
+    dirs = materialise(keys.select("_dir").distinct())
     every = dirs.select(F.explode(_with_ancestors("_dir")).alias("_dir")).distinct()
-    above = every.select("_dir", F.explode(_with_ancestors("_dir")).alias("base"))
-    stacks = (
-        join_lookup(above, packed, on="base", spread_by="_dir", how="inner")
-        .groupBy("_dir")
-        .agg(F.max("top").alias("top"), F.flatten(F.collect_list("rules")).alias("rules"))
-    )
-    if tops is not None:
-        within = F.filter("rules", lambda r: (r["level"] >= ALWAYS) | (r["at"] >= F.col("top")))
-        stacks = stacks.withColumn("rules", within)
-    stacks = materialise(stacks.select("_dir", F.sort_array("rules", asc=False).alias("rules")))
+    reach = materialise(_reach(every, rules, tops))
     # A directory is judged by the rules of the one above; it hides all that is beneath.
-    named = every.where(F.length("_dir") > (len(top) + 1 if top else 0)).select(F.col("_dir").alias("base"))
-    judged = join_lookup(named.withColumn("_dir", parent_key(F.col("base"))), stacks, on="_dir", spread_by="base", how="inner")
-    judged = judged.where(_ignored(F.col("base"), F.col("rules"), is_dir=True)).select("base")
+    named = every.where(F.length("_dir") > (len(top) + 1 if top else 0)).select(F.col("_dir").alias("_key"))
+    named = named.withColumn("_dir", parent_key(F.col("_key")))
+    judged = _ignored(named, reach, rules, is_dir=True).select(F.col("_key").alias("base"))
     beneath = dirs.select("_dir", F.explode(_with_ancestors("_dir")).alias("base"))
-    hidden = join_lookup(beneath, judged.withColumn("hidden", F.lit(True)), on="base", spread_by="_dir", how="inner")
-    stacks = stacks.join(hidden.select("_dir", "hidden").distinct(), "_dir", "full")
-
-    gone = F.coalesce("hidden", F.lit(False)) | _ignored(F.col("_key"), F.col("rules"), is_dir=is_dir)
-    joined = join_lookup(keyed, stacks, on="_dir", spread_by="_key", how="left")
-    return joined.where(~gone).select(*files.columns)
+    hidden = join_lookup(beneath, judged, on="base", spread_by="_dir", how="inner").select("_dir").distinct()
+    gone = _ignored(keys, reach, rules, is_dir)
+    gone = gone.union(join_lookup(keys, hidden, on="_dir", spread_by="_key", how="inner").select("_key"))
+    keyed = keyed.withColumn("_row", F.monotonically_increasing_id())
+    return join_lookup(keyed, gone.distinct(), on="_key", spread_by="_row", how="left_anti").select(*files.columns)

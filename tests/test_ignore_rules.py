@@ -5,7 +5,7 @@ import timeit
 
 import pytest
 
-from tallygrove.operators.ignore_rules import drop_ignored, parse_ignore_files, repositories
+from tallygrove.operators.ignore_rules import compile_rules, drop_ignored, parse_ignore_files, repositories
 from tallygrove.operators.rule_chains import Chains
 from tallygrove.plans.documents import IgnoringWalk, select_files
 from tallygrove.sources.file_tree import list_files
@@ -180,3 +180,41 @@ def test_ignored_directories_are_not_listed(spark, tmp_path):
     kept = {r["path"][len(root) + 1 :] for r in walk.kept(files).collect()}
     assert kept == {".git/info/exclude", ".gitignore", "src/.gitignore", "src/gen2/b", "src/d"}
     assert {r["path"][len(root) + 1 :] for r in select_files(spark, root).collect()} == kept
+
+
+FORMS = ["na{}", "*.e{}", "st{}*", "/a/b{}", "n{}/", "!n{}", "q{}?", "?{}q", "a/?{}*", "a/**/x{}", "{{a{},b}}", "[ab]{}", "x[!c]{}", "**", "*", "a/*/{}*", "{},a", "\\*{}", "**/a{}/b", "a{}/**", "/{}?b"]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_joins_of_all_forms_equal_the_chains(spark, monkeypatch, seed):
+    draw = random.Random(seed)
+    parts = ["a", "b", "b1", "a2", "na1", "x.e2", "st1y", "n1", "q1z", "x1", "xd2", "1", "*1", "1,a", ".git", "é1q", "1zb"]
+    paths = sorted({"/".join(draw.choices(parts, k=draw.randint(1, 4))) for _ in range(600)})
+    forms = [f.format(k) + "\n" for f in FORMS if f not in ("**", "*") for k in (1, 2)]
+    rules = {
+        "/".join([*draw.choices(parts[:3], k=draw.randint(0, 2)), draw.choice([".gitignore", ".ignore"])]):
+        "".join(draw.choices(["*\n", "**\n", "!*\n"], k=1) * (draw.random() < 0.3) + [draw.choice(["", "!"]) * (not f.startswith("!")) + f for f in draw.choices(forms, k=6)])
+        for _ in range(8)
+    }
+    listing = spark.createDataFrame([(p,) for p in [*paths, None]], "path string")
+    parsed = parse_ignore_files(spark.createDataFrame(list(rules.items()), "path string, content string"))
+    tops, found = repositories(listing), []
+    listing = listing.where("path is not null")
+    for bound in (16 << 20, -1):
+        monkeypatch.setattr("tallygrove.operators.skew.LOOKUP_BYTES", bound)
+        found.append([{r["path"] for r in drop_ignored(listing, parsed, t).collect()} for t in (None, tops)])
+    assert found[0] == found[1]
+    assert any(0 < len(kept) < len(paths) for kept in found[0])
+
+
+def test_joined_rules_of_one_directory_cost_no_more_each(spark, monkeypatch):
+    """As many rules as files, in one directory: a file meets those of its own handles."""
+    monkeypatch.setattr("tallygrove.operators.skew.LOOKUP_BYTES", -1)
+    seconds = {}
+    for n in (50, 8000):
+        files = spark.range(8000).selectExpr("concat('d/', id, '.txt') as path")
+        lines = spark.range(n).selectExpr("'d' as base", "1 as level", "cast(id as int) as line", "concat(id, '.t?t') as value")
+        started = timeit.default_timer()
+        assert drop_ignored(files, compile_rules(lines)).count() == 8000 - n
+        seconds[n] = timeit.default_timer() - started
+    assert seconds[8000] < 2 * seconds[50] + 5
