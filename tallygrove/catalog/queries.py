@@ -3,6 +3,7 @@
 import os
 from collections.abc import Iterator
 from functools import reduce
+from math import ceil
 
 import pyarrow as pa
 from pyarrow import fs
@@ -26,7 +27,7 @@ from tallygrove.operators.path_rules import (
 )
 from tallygrove.plans import incremental
 from tallygrove.plans.documents import IgnoringWalk, Options, merge_files
-from tallygrove.session import materialise, scratch_dir, spread
+from tallygrove.session import estimated_bytes, materialise, scratch_dir, spread
 from tallygrove.sinks.clustered import ClusteredStore
 from tallygrove.sinks.reports import report_json, report_lines
 from tallygrove.sinks.store import ResultStore
@@ -37,6 +38,8 @@ from tallygrove.streaming.incremental import start_incremental
 
 QUERIES = {}
 
+FILE_BYTES = 32 << 20  # of a file that a stream reads, by the size of its table
+
 RULE_SETS = (
     RuleSet("default"),
     RuleSet("english", ("*/en/*",), ("src1?/**",)),
@@ -561,7 +564,8 @@ def stream_incremental(spark, sf_dir):
     results = _filled_store(spark, sf_dir)
     versions = views.requests(spark, sf_dir).select("path", "content", "mtime", "pos")
     location = scratch_dir(spark)
-    versions.repartitionByRange(3, "pos").drop("pos").write.parquet(location)
-    stream = spark.readStream.schema(versions.drop("pos").schema).option("maxFilesPerTrigger", 1)
+    files = max(1, ceil(estimated_bytes(versions) / 3 / FILE_BYTES))  # of each of three batches
+    versions.repartitionByRange(3 * files, "pos").drop("pos").write.parquet(location)
+    stream = spark.readStream.schema(versions.drop("pos").schema).option("maxFilesPerTrigger", files)
     start_incremental(stream.parquet(location), results, checkpoint=scratch_dir(spark)).awaitTermination()
     return results.latest().select("path", "tokens", "mtime")

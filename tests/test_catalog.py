@@ -6,8 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from tallygrove.catalog import queries
 from tallygrove.catalog.oracles import ORACLES
 from tallygrove.catalog.queries import QUERIES
+from tallygrove.session import scratch_dir
 from tests.conftest import SF
 
 
@@ -43,3 +45,20 @@ def test_query_equals_sql(spark, tables, name):
 
 def test_entry(spark):
     assert [row["tokens"] for row in entry_points.entry(spark).collect()][0] > 0
+
+
+def test_a_stream_reads_three_batches_of_bounded_files(spark, monkeypatch):
+    places = []
+
+    def noted(session):
+        places.append(scratch_dir(session))
+        return places[-1]
+
+    monkeypatch.setattr(queries, "scratch_dir", noted)
+    wanted = sorted(QUERIES["stream_incremental"](spark, SF).collect())
+    monkeypatch.setattr(queries, "FILE_BYTES", 20_000)
+    found = QUERIES["stream_incremental"](spark, SF)
+    assert sorted(found.collect()) == wanted
+    log, versions = (spark.read.parquet(place) for place in places[3:5])
+    assert len(versions.inputFiles()) > len(spark.read.parquet(places[1]).inputFiles())
+    assert log.select("seq").distinct().count() == 5
