@@ -44,7 +44,9 @@ def _resized(docs):
 
 
 def near_dedup_stage(spark, docs, sf_dir):
-    """Of texts linked by a Jaccard similarity of 0.8 or more of five-word shingles the smallest id stays."""
+    """Of texts linked by a Jaccard similarity of 0.8 or more of five-word shingles the smallest id stays.
+
+    SimHash fingerprints, linked by BK-trees, and MinHash bands find the pairs; each is verified."""
     return near_dedup.drop_near_duplicates(_documents(docs)).select(*COLUMNS)
 
 

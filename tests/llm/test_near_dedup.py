@@ -115,5 +115,22 @@ def test_stage_drops_copies_at_0_8(spark):
     assert sorted(r["doc_id"] for r in stage(spark, docs, "").collect()) == list(range(20))
 
 
+def test_fingerprints_find_pairs_of_their_own(spark, monkeypatch):
+    """Without a shared band, near copies whose fingerprints link go all the same, others never."""
+    draw = random.Random(4)
+    base = [" ".join(draw.choices([f"w{i}" for i in range(400)], k=900)) for _ in range(8)]
+    texts = [*base, *(edited(draw, t, 0.0012) for t in base), "x " + "one two " * 9, "y " + "two one " * 400]
+    values = [near_dedup.simhash.fingerprint(t.encode(), 5) for t in texts]
+    linked = [n for n in range(8) if (values[n] ^ values[n + 8]).bit_count() <= 4]
+    assert len(linked) > 3
+    monkeypatch.setattr(near_dedup, "bands", lambda hashes: hashes[:1])
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    judged = []
+    monkeypatch.setattr(near_dedup, "_similar", lambda pairs, *a, f=near_dedup._similar: judged.append(pairs) or f(pairs, *a))
+    found = {r["doc_id"] for r in near_dedup.drop_near_duplicates(table).collect()}
+    assert judged[0].count() >= len(linked)
+    assert not found & {n + 8 for n in linked} and found >= {*range(8), 16, 17}
+
+
 def test_empty_table(spark):
     assert near_dedup.drop_near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
