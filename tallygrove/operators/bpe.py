@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallygrove.functions.pieces import SPECIAL_TOKENS, pieces
-from tallygrove.operators.skew import join_salted
 from tallygrove.session import materialise
 
 # A vocabulary within both bounds is broadcast; a larger one is joined.
@@ -21,6 +20,7 @@ BROADCAST_BYTES = 64 << 20
 
 MEMO = 1_000_000  # distinct pieces a worker process remembers
 MEMO_PIECE = 256  # bytes of the longest piece it remembers, so that all take 256 MB at most
+LOT_BYTES = 32 << 20  # of text that shares its part of a vocabulary that is joined
 FILTER_BITS = 1 << 26  # of the bitmap of a vocabulary that is joined
 
 
@@ -90,43 +90,35 @@ def _piece_tally(shared):
     @F.arrow_udf(T.LongType())
     def tally(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ranks, memo = shared.value
-
-        def tokens(piece):
-            raw = piece.encode()
-            return 1 if raw in ranks or piece in SPECIAL_TOKENS else merged_parts(raw, ranks)
-
         for batch in batches:
-            coded = batch.flatten().dictionary_encode()
-            counts = []
-            for piece in coded.dictionary.to_pylist():
-                count = memo.get(piece)
-                if count is None:
-                    count = tokens(piece)
-                    if len(piece) <= MEMO_PIECE:
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        memo[piece] = count
-                counts.append(count)
-            each = np.array(counts, dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
-            sums = np.concatenate([[0], np.cumsum(each)])
-            lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
-            stops = np.cumsum(lengths, dtype=np.int64)
-            yield pa.array(sums[stops] - sums[stops - lengths], pa.int64())
+            yield _summed(batch, ranks, memo)
 
     return tally
 
 
-@F.arrow_udf(T.LongType())
-def _merge_with_own_tokens(
-    batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]],
-) -> Iterator[pa.Array]:
-    for piece, tokens, ranks in batches:
-        rows = zip(piece.to_pylist(), tokens.to_pylist(), ranks.to_pylist())
-        yield pa.array([merged_parts(p, dict(zip(t or (), r or ()))) for p, t, r in rows], pa.int64())
-
-
-def _likely_entries(rest: DataFrame, vocab: DataFrame, longest: int) -> DataFrame:
-    """(_id, token): runs of two bytes or more of each piece that may be entries.
+def _summed(lists: pa.Array, ranks: dict, memo: dict) -> pa.Array:
+    """Tokens of each list of pieces; `memo` holds counts of pieces met before."""
+    coded = lists.flatten().dictionary_encode()
+    counts = []
+    for piece in coded.dictionary.to_pylist():
+        count = memo.get(piece)
+        if count is None:
+            raw = piece.encode()
+            count = 1 if raw in ranks or piece in SPECIAL_TOKENS else merged_parts(raw, ranks)
+            if len(piece) <= MEMO_PIECE:
+                if len(memo) >= MEMO:
+                    memo.clear()
+                memo[piece] = count
+        counts.append(count)
+    each = np.array(counts, dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+    sums = np.concatenate([[0], np.cumsum(each)])
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    stops = np.cumsum(lengths, dtype=np.int64)
+    return pa.array(sums[stops] - sums[stops - lengths], pa.int64())
+
+
+def _likely_entries(dealt: DataFrame, vocab: DataFrame, longest: int) -> DataFrame:
+    """(_lot, token): runs of two bytes or more of each lot's pieces that may be entries; few come twice.
 
     Runs are looked up in a bitmap of the entries' hashes, of FILTER_BITS whatever the size of
     the vocabulary, so what leaves the task is what is an entry, and the odd run that only
@@ -143,70 +135,82 @@ def _likely_entries(rest: DataFrame, vocab: DataFrame, longest: int) -> DataFram
     for row in bitmaps.toLocalIterator():
         start = (row["bucket"] - 1) * size
         filled[start : start + size] = row["bits"].ljust(size, b"\0")
-    sent = rest.sparkSession.sparkContext.broadcast(bytes(filled))
+    sent = dealt.sparkSession.sparkContext.broadcast(bytes(filled))
 
     def found(batches):
         bits, hashed = sent.value, xxhash.xxh64_intdigest
+        at, met, seen = None, set(), set()  # pieces and runs of the present lot
         for batch in batches:
-            ids, tokens = [], []
-            for key, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = {
-                    piece[start:stop]
-                    for start in range(len(piece) - 1)
-                    for stop in range(start + 2, min(len(piece), start + longest) + 1)
-                    if bits[(at := hashed(piece[start:stop], 42) % FILTER_BITS) >> 3] >> (at & 7) & 1
-                }
-                ids += [key] * len(own)
-                tokens += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(tokens, pa.binary())], ["_id", "token"])
-
-    return rest.select("_id", "bytes").mapInArrow(found, "_id string, token binary")
+            lots, runs = [], []
+            starts = np.flatnonzero(np.diff(batch.column(0).to_numpy(), prepend=-1))
+            for first, last in zip(starts, [*starts[1:], len(batch)], strict=True):
+                lot = batch.column(0)[first].as_py()
+                if lot != at:
+                    at, met, seen = lot, set(), set()
+                for text in batch.column(1)[first:last].flatten().unique().to_pylist():
+                    if text in met:
+                        continue
+                    if len(text) <= MEMO_PIECE:
+                        if len(met) >= MEMO:
+                            met.clear()
+                        met.add(text)
+                    piece = text.encode()
+                    for start in range(len(piece) - 1):
+                        for stop in range(start + 2, min(len(piece), start + longest) + 1):
+                            run = piece[start:stop]
+                            if run not in seen:
+                                if len(seen) >= MEMO:
+                                    seen.clear()
+                                seen.add(run)
+                                place = hashed(run, 42) % FILTER_BITS
+                                if bits[place >> 3] >> (place & 7) & 1:
+                                    lots.append(lot)
+                                    runs.append(run)
+            yield pa.RecordBatch.from_arrays([pa.array(lots, pa.int32()), pa.array(runs, pa.binary())], ["_lot", "token"])
+
+    return dealt.mapInArrow(found, "_lot int, token binary")
 
 
 def _join_vocab(files: DataFrame, vocab: DataFrame) -> DataFrame:
-    """The same count with no broadcast: every distinct piece is joined with the entries it contains.
+    """The same count with no broadcast: files are dealt into lots of LOT_BYTES of text, and each lot
+    is joined with the entries that its pieces contain, every one once.
 
-    Counts are made per distinct text, so repeated paths need no care and copies are
-    measured once.
+    Only these go to a lot's task, before its files, so neither the pieces of a file nor the whole
+    vocabulary are moved or held.
     """
     vocab = vocab.select("token", "rank")
-    longest = vocab.agg(F.max(F.octet_length("token")).alias("longest"))
-    files = files.withColumn("_text", F.sha2("content", 256))
-
-    # Partial counts first, then one row per text and piece: copies of a text collapse.
-    copies = F.count("*").alias("copies")
-    found = files.select("_text", F.explode(pieces(F.col("content"))).alias("piece"))
-    found = found.groupBy("_text", "piece").agg(copies)
-    files_of = files.groupBy("_text").agg(F.count("*").alias("files"))
-    found = materialise(
-        join_salted(found, files_of, on="_text", spread_by="piece", how="inner").select(
-            "_text", "piece", (F.col("copies") / F.col("files")).cast("bigint").alias("n")
-        )
-    )
-
-    distinct = found.select("piece").distinct().withColumn("token", F.col("piece").cast("binary"))
-    distinct = materialise(distinct.join(vocab, "token", "left"))
-    is_token = F.col("rank").isNotNull() | F.col("piece").isin(*SPECIAL_TOKENS)
-    rest = distinct.where(~is_token).select("piece", F.col("token").alias("bytes"))
-    rest = rest.withColumn("_id", F.md5("bytes"))
-    runs = _likely_entries(rest, vocab, int(longest.first()[0] or 0))
-    entries = join_salted(runs, vocab, on="token", spread_by="_id", how="inner")
-    own = entries.groupBy("_id").agg(F.collect_set(F.struct("token", "rank")).alias("own"))
-    merged = rest.join(own, "_id", "left").select(
-        "piece",
-        _merge_with_own_tokens("bytes", F.col("own.token"), F.col("own.rank")).alias("each"),
-    )
-    counted = merged.unionByName(
-        distinct.where(is_token).select("piece", F.lit(1).cast("bigint").alias("each"))
-    )
-    totals = (
-        join_salted(found, counted, on="piece", spread_by="_text", how="inner")
-        .groupBy("_text")
-        .agg(F.sum(F.col("n") * F.col("each")).alias("_tokens"))
-    )
-    keyed = files.withColumn("_row", F.monotonically_increasing_id())
-    return (
-        join_salted(keyed, totals, on="_text", spread_by="_row", how="left")
-        .withColumn("tokens", F.coalesce("_tokens", F.lit(0).cast("bigint")))
-        .drop("_text", "_tokens", "_row")
-    )
+    names = [name for name in files.columns if name != "tokens"]
+    rows = files.select(*names).toDF(*[f"c{k}" for k in range(len(names))])
+    content = f"c{names.index('content')}"
+    size = rows.agg(F.sum(F.octet_length(content).cast("bigint"))).first()[0] or 0
+    lots = max(files.sparkSession.sparkContext.defaultParallelism, -(-size // LOT_BYTES))
+    # By the whole row, so that copies of a text do not meet; a map has no hash.
+    hashed = [name for name, kind in rows.dtypes if "map<" not in kind]
+    rows = rows.withColumn("_lot", F.pmod(F.xxhash64(*hashed), F.lit(lots)).cast("int"))
+
+    longest = vocab.agg(F.max(F.octet_length("token")).alias("longest")).first()[0] or 0
+    dealt = rows.select("_lot", content).repartition(lots, "_lot").sortWithinPartitions("_lot")
+    runs = _likely_entries(dealt.select("_lot", pieces(F.col(content))), vocab, int(longest))
+    entries = materialise(runs).join(vocab, "token").select("_lot", F.col("token").alias("_token"), F.col("rank").alias("_rank"))
+
+    schema = T.StructType([*rows.drop("_lot").schema.fields, T.StructField("tokens", T.LongType())])
+
+    def counted(batches):
+        lot, ranks, memo = None, {}, {}
+        for batch in batches:
+            turns = 2 * batch.column(0).to_numpy().astype(np.int64) + batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.diff(turns, prepend=-1))
+            for start, stop in zip(starts, [*starts[1:], len(batch)], strict=True):
+                part = batch.slice(start, stop - start)
+                if turns[start] >> 1 != lot:
+                    lot, ranks, memo = turns[start] >> 1, {}, {}
+                if turns[start] & 1:
+                    arrays = [*part.columns[4:], _summed(part.column(3), ranks, memo)]
+                    yield pa.RecordBatch.from_arrays(arrays, schema.names)
+                else:
+                    ranks.update(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True))
+
+    both = entries.unionByName(rows, allowMissingColumns=True).repartition(lots, "_lot")
+    both = both.sortWithinPartitions("_lot", F.col("_token").isNull())
+    both = both.select("_lot", "_token", "_rank", pieces(F.col(content)).alias("_pieces"), *rows.drop("_lot").columns)
+    return both.mapInArrow(counted, schema).toDF(*names, "tokens")

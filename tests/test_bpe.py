@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tests.conftest import SF
 from tallygrove.catalog import views
 from tallygrove.functions.pieces import SPECIAL_TOKENS
+from tallygrove.operators import bpe
 from tallygrove.operators.bpe import merged_parts, read_vocab, with_bpe_tokens
 from tallygrove.operators.measure import measure
+from tallygrove.session import materialise
 from tests.test_functions import PATTERN
 
 
@@ -69,6 +71,18 @@ def test_equal_to_an_independent_tokenizer(files, vocab, expected, bound):
     assert [row["tokens"] for row in sorted(found)] == expected
 
 
+def test_joined_pieces_are_not_shuffled(spark, vocab, ranks, monkeypatch):
+    """However many texts have the same pieces, a lot is joined with an entry once."""
+    joined = []
+    monkeypatch.setattr(bpe, "materialise", lambda df: joined.append(materialise(df)) or joined[-1])
+    files = spark.range(500).selectExpr("id", "repeat('the corpus of tokens ', 1 + cast(id % 7 as int)) as content", "map('k', id) as m")
+    found = with_bpe_tokens(files, vocab, broadcast_entries=0)
+    assert found.columns == ["id", "content", "m", "tokens"]
+    assert sum(table.count() for table in joined) <= 4 * len(ranks)
+    wanted = with_bpe_tokens(files, vocab)
+    assert sorted(found.select("id", "tokens").collect()) == sorted(wanted.select("id", "tokens").collect())
+
+
 def test_measure_blanks_nothing_else(files, vocab, expected, texts):
     found = {r["id"]: r for r in measure(files, vocab).collect()}
     for i, text in enumerate(texts):
