@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tallygrove.llm import decontaminate, line_dedup, near_dedup, pack, toxicity
-from tallygrove.llm.common import drawn_rows, only, read
+from tallygrove.llm.common import BATCH_ROWS, drawn_rows, only, read
 from tallygrove.session import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -19,6 +19,8 @@ TOXIC_SCORE = 0.7
 
 
 def _documents(docs):
+    # Whole texts are read: a reader's batch of Spark's own size takes tens of megabytes a task.
+    docs.sparkSession.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS))
     return docs.select(*COLUMNS)
 
 

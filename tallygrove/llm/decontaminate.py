@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import extended, numbered, only, utf8
+from tallygrove.llm.common import extended, numbered, only, released, utf8
 
 WINDOW = 10
 ITEM_WORDS = 200_000  # of one automaton
@@ -188,11 +188,14 @@ def with_matches(
     item_text: str = "text",
     window: int = WINDOW,
     item_words: int = ITEM_WORDS,
+    cut: bool = False,
 ) -> DataFrame:
     """All columns of `documents` with `n_words`, `hit_spans` and `items`.
 
     `hit_spans` are [first word, end) pairs, in order and not touching; `items` the ids, as
     sorted strings, of items with a window that occurs. Such columns of `documents` are replaced.
+    With `cut`, `text` comes without the words of the spans, in the same pass: another one would hold
+    another Python worker a core.
     """
     kept = documents.drop("n_words", "hit_spans", "items")
     place = kept.columns.index(text)
@@ -200,12 +203,15 @@ def with_matches(
     spans_type = "array<struct<start:bigint,end:bigint>>"
     schema = extended(found, n_words="bigint", hit_spans=spans_type, items="array<string>")
     names, span = schema.names, pa.struct([("start", pa.int64()), ("end", pa.int64())])
-    for number, automaton in enumerate(automata(benchmark, item_id, item_text, window, item_words)):
+    rest, number = automata(benchmark, item_id, item_text, window, item_words), 0
+    automaton = next(rest)
+    while automaton:
         sent = documents.sparkSession.sparkContext.broadcast(vars(automaton))
+        automaton = next(rest, None)
 
-        def matched(batches, sent=sent, number=number):
+        def matched(batches, sent=sent, number=number, cutting=cut and not automaton):
             automaton = ItemAutomaton.of(sent.value)
-            for batch in batches:
+            for batch in released(batches):
                 counts, spans, items = [], [], []
                 before = [x.to_pylist() for x in batch.columns[-2:]] if number else None
                 for row, data in enumerate(utf8(batch.column(place))):
@@ -218,10 +224,12 @@ def with_matches(
                     spans.append([{"start": a, "end": b} for a, b in hits])
                     items.append(sorted(ids, key=lambda i: (i is None, i or "")))
                 columns = batch.columns[:-3] if number else batch.columns
+                if cutting:
+                    columns[place] = _cut(columns[place], spans)
                 added = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*columns, *added], names)
 
-        found = found.mapInArrow(matched, schema)
+        found, number = found.mapInArrow(matched, schema), number + 1
     return found.toDF(*kept.columns, *names[-3:])
 
 
@@ -246,6 +254,13 @@ def without_spans(text: bytes, spans: list) -> bytes:
     return b"".join([*out, text[at:]])
 
 
+def _cut(texts: pa.Array, spans: list) -> pa.Array:
+    """A column of texts, each without the words of its own list of spans."""
+    pairs = zip(texts.cast(pa.binary()).to_pylist(), spans, strict=True)
+    kept = [without_spans(t, [(s["start"], s["end"]) for s in x]) if x else t for t, x in pairs]
+    return pa.array(kept, pa.binary()).cast(pa.string())
+
+
 def decontaminate(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -260,17 +275,8 @@ def decontaminate(
     """
     rows, place = numbered(documents), documents.columns.index(text)
     names = rows.columns
-    found = with_matches(rows, benchmark, names[place], window=window, **options)
+    found = with_matches(rows, benchmark, names[place], window=window, cut=True, **options)
     hit = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
-    kept = found.where(hit <= F.lit(most_coverage) * F.col("n_words")).select(*names, "hit_spans")
-
-    def cut(batches):
-        for batch in batches:
-            columns, spans = list(batch.columns[:-1]), batch.column(len(names)).to_pylist()
-            texts = columns[place].cast(pa.binary()).to_pylist()
-            texts = [without_spans(t, [(s["start"], s["end"]) for s in x]) if x else t for t, x in zip(texts, spans, strict=True)]
-            columns[place] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return kept.mapInArrow(cut, rows.schema).toDF(*documents.columns)
+    kept = found.where(hit <= F.lit(most_coverage) * F.col("n_words"))
+    return kept.select(*names).toDF(*documents.columns)
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrove.llm import simhash
-from tallygrove.llm.common import extended, numbered, released, utf8
+from tallygrove.llm.common import numbered, released, utf8
 from tallygrove.llm.simhash import BROADCAST_ROWS, SEED, components
 from tallygrove.session import materialise
 
@@ -106,20 +106,18 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / max(1, len(a) + len(b) - shared)
 
 
-def _marked(rows: DataFrame, place: int, size: int) -> DataFrame:
-    schema = extended(rows, _set="binary", _bands="array<bigint>")
+def _marked(rows: DataFrame, text: str, size: int) -> DataFrame:
+    """All columns of `rows` with `fingerprint`, `_set` and `_bands`."""
 
-    def marked(batches):
-        for batch in released(batches):
-            digests, keys = [], []
-            for text in utf8(batch.column(place)):
-                found = shingles(text, size)
-                digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                keys.append(bands(found).view("<i8"))
-            added = [pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], schema.names)
+    def marks(texts):
+        digests, keys = [], []
+        for data in texts:
+            found = shingles(data, size)
+            digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+            keys.append(bands(found).view("<i8"))
+        return pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))
 
-    return rows.mapInArrow(marked, schema)
+    return simhash.with_fingerprints(rows, text, size, marks, _set="binary", _bands="array<bigint>")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -297,9 +295,8 @@ def drop_near_duplicates(
     `BROADCAST_ROWS`, else joined.
     """
     names = documents.columns
-    place = names.index(text)
     key, text = (f"c{names.index(name)}" for name in (doc_id, text))
-    rows = _marked(simhash.with_fingerprints(numbered(documents), text, size), place, size)
+    rows = _marked(numbered(documents), text, size)
     rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()))
     fingerprint = F.min("fingerprint").alias("fingerprint")  # repeats of a shingle count, so a set may have several
     nodes = rows.groupBy("_set").agg(F.min("_row").alias("node"), F.first("_bands").alias("bands"), fingerprint)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import extended, numbered, only, utf8
+from tallygrove.llm.common import extended, numbered, only, released, utf8
 from tallygrove.session import materialise
 
 SHINGLE_WORDS = 4
@@ -58,19 +58,27 @@ def fingerprint(text: bytes, size: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(documents: DataFrame, text: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
-    """All columns of `documents` and `fingerprint`, the 64 bits as a bigint. No shuffle."""
-    documents = documents.drop("fingerprint")
+def with_fingerprints(
+    documents: DataFrame, text: str = "text", size: int = SHINGLE_WORDS, marks=None, **added
+) -> DataFrame:
+    """All columns of `documents` and `fingerprint`, the 64 bits as a bigint. No shuffle.
+
+    What else a caller makes of the texts goes in the same pass, as a second one would hold a second
+    Python worker a core: `added` names and types such columns, `marks` gives them for a list of texts.
+    """
+    documents = documents.drop("fingerprint", *added)
     place = documents.columns.index(text)
     rows = numbered(documents)
-    schema = extended(rows, fingerprint="bigint")
+    schema = extended(rows, fingerprint="bigint", **added)
 
     def marked(batches):
-        for batch in batches:
-            found = np.array([fingerprint(x, size) for x in utf8(batch.column(place))], "<u8")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view("<i8"))], schema.names)
+        for batch in released(batches):
+            texts = utf8(batch.column(place))
+            found = np.array([fingerprint(x, size) for x in texts], "<u8")
+            more = marks(texts) if marks else ()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view("<i8")), *more], schema.names)
 
-    return rows.mapInArrow(marked, schema).toDF(*documents.columns, "fingerprint")
+    return rows.mapInArrow(marked, schema).toDF(*documents.columns, "fingerprint", *added)
 
 
 class BKTree:

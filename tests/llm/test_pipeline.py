@@ -1,9 +1,13 @@
 """The pipeline's stages against plain Python over a small fixture, each on its own input."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tallygrove.llm import line_dedup, near_dedup, simhash
+from tallygrove.session import materialise
 from tests.llm.test_decontaminate import expected as contaminated
 from tests.llm.test_decontaminate import words
 from tests.llm.test_line_dedup import expected as lines_kept
@@ -24,6 +28,24 @@ def outputs(spark, tmp_path_factory):
     return found
 
 
+def test_one_python_worker_a_core(spark, monkeypatch):
+    """No stage of a job has two Python passes, each of which would hold a worker of its own."""
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df)
+
+    for module in (line_dedup, near_dedup, simhash):
+        if hasattr(module, "materialise"):
+            monkeypatch.setattr(module, "materialise", noted)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = noted(stage(spark, docs, SF))
+    passes = [len(re.findall("InArrow|ArrowEval", part)) for plan in plans for part in plan.split("Exchange")]
+    assert max(passes) == 1
+
+
 def texts(docs):
     return {r["doc_id"]: r["text"] for r in docs.collect()}
 
